@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, packing, pii
+from . import decontam, language, neardup, packing, pii
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,12 @@ def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op3_pii, op6_language_id, op7_benchmark_containment)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op3_pii, op6_language_id, op7_benchmark_containment, op8_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
