@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, language, neardup, packing, pii
+from . import decontam, language, neardup, packing, pii, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +33,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op3_pii, op6_language_id, op7_benchmark_containment, op8_near_duplicates)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op3_pii, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
