@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, neardup, packing, pii, substring
+from . import ann, decontam, extract, language, neardup, packing, pii, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,19 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op3_pii, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_multi_index_hashing, op3_pii, op5_html_extraction, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
