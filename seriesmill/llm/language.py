@@ -253,7 +253,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
     """Pipeline stage: the rows whose language is recognised with a score of `least` or more, columns unchanged.
 
     Rejected are 'und' rows and rows of which the network is unsure at most positions. Without any labelled row

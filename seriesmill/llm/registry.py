@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, extract, language, neardup, packing, pii, substring
+from . import ann, decontam, extract, language, neardup, packing, pii, shards, substring, toolcalls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(table(spark, sf_dir, "conversations"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -42,13 +46,23 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(shards.ordered(table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_multi_index_hashing, op3_pii, op5_html_extraction, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_multi_index_hashing, op3_pii, op4_tool_call_linking, op5_html_extraction, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op9_training_order, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
