@@ -5,10 +5,157 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import crossval, keys, metrics, prep, stats
+from ..sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Register a query; sql may use {daily}, {users}, {monthly} and {demand} for the derived series."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql.replace("{daily}", f"({t.DAILY})").replace("{users}", f"({t.USERS})").replace("{monthly}", f"({t.MONTHLY})").replace("{demand}", f"({t.DEMAND})")
+        return f
+
+    return put
+
+
+def simple(name: str, source, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, sf_dir: build(source(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ preparation
+
+simple("drop_constant", t.users, lambda d: prep.drop_constant(d, "id", "y"), "SELECT * FROM {users} QUALIFY min(y) OVER (PARTITION BY id) IS DISTINCT FROM max(y) OVER (PARTITION BY id) OR min(y) OVER (PARTITION BY id) IS NULL")
+simple("drop_short", t.users, lambda d: prep.drop_short(d, "id", 4), "SELECT * FROM {users} QUALIFY count(*) OVER (PARTITION BY id) >= 4")
+simple("drop_gappy", t.users, lambda d: prep.drop_gappy(d, "id", "y", 0.2), "SELECT * FROM {users} QUALIFY avg(CASE WHEN y IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY id) <= 0.2")
+simple("drop_zeros", t.users, lambda d: prep.drop_zeros(d, "id", "y"), "SELECT u.* FROM {users} u WHERE id IN (SELECT id FROM {users} WHERE y <> 0)")
+_EDGE = "WITH u AS {users}, b AS (SELECT id, min(ds) FILTER (y <> 0) AS lo, max(ds) FILTER (y <> 0) AS hi FROM u GROUP BY id) SELECT u.* FROM u JOIN b USING (id) WHERE "
+simple("drop_leading_zeros", t.users, lambda d: prep.drop_leading_zeros(d, "id", "ds", "y"), _EDGE + "ds >= lo")
+simple("drop_trailing_zeros", t.users, lambda d: prep.drop_trailing_zeros(d, "id", "ds", "y"), _EDGE + "ds <= hi")
+simple("drop_edge_zeros", t.users, lambda d: prep.drop_edge_zeros(d, "id", "ds", "y"), _EDGE + "ds BETWEEN lo AND hi")
+simple("fill_nulls_const", t.users, lambda d: prep.fill_nulls_const(d, "id", "ds", "y", -1.5), "SELECT *, coalesce(y, -1.5) AS filled_value FROM {users}")
+simple("fill_nulls_forward", t.users, lambda d: prep.fill_nulls_forward(d, "id", "ds", "y"), "SELECT *, last_value(y IGNORE NULLS) OVER (PARTITION BY id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_value FROM {users}")
+simple("fill_nulls_backward", t.users, lambda d: prep.fill_nulls_backward(d, "id", "ds", "y"), "SELECT *, first_value(y IGNORE NULLS) OVER (PARTITION BY id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS filled_value FROM {users}")
+simple("fill_nulls_mean", t.users, lambda d: prep.fill_nulls_mean(d, "id", "ds", "y").withColumn("filled_value", F.round("filled_value", 6)), "SELECT *, round(coalesce(y, avg(y) OVER (PARTITION BY id)), 6) AS filled_value FROM {users}")
+simple("diff", t.users, lambda d: prep.diff(d, "id", "ds", "y", 2).withColumn("diff_value", F.round("diff_value", 6)), "SELECT *, round(y - lag(y, 2) OVER (PARTITION BY id ORDER BY ds), 6) AS diff_value FROM {users}")
+simple("fill_gaps", t.users, lambda d: prep.fill_gaps(d, "id", "ds", "y", "1d"), "WITH u AS {users}, g AS (SELECT id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM u GROUP BY id) SELECT g.id, g.ds, u.y FROM g LEFT JOIN u USING (id, ds)")
+simple("fill_gaps_monthly", t.demand, lambda d: prep.fill_gaps(d, "id", "ds", "y", "1mo"), "WITH u AS {demand}, g AS (SELECT id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS DATE) AS ds FROM u GROUP BY id) SELECT g.id, g.ds, u.y FROM g LEFT JOIN u USING (id, ds)")
+simple("fill_forward", t.daily, lambda d: prep.fill_forward(d, "id", "ds", "y", "2025-03-01", "1d"), "WITH u AS {daily} SELECT id, ds, y FROM u UNION ALL SELECT id, CAST(unnest(generate_series(CAST(m + 1 AS TIMESTAMP), TIMESTAMP '2025-03-01', INTERVAL 1 DAY)) AS DATE), NULL FROM (SELECT id, max(ds) AS m FROM u GROUP BY id)")
+simple("fill_forward_monthly", t.monthly, lambda d: prep.fill_forward(d, "id", "ds", "y", "2002-06-01", "1mo"), "WITH u AS {monthly} SELECT id, ds, y FROM u UNION ALL SELECT id, CAST(unnest(generate_series(m + INTERVAL 1 MONTH, TIMESTAMP '2002-06-01', INTERVAL 1 MONTH)) AS DATE), NULL FROM (SELECT id, max(ds) AS m FROM u GROUP BY id)")
+simple("detect_frequency", t.users, lambda d: prep.detect_frequency(d, "id", "ds"), "WITH s AS (SELECT id, CAST(ds - lag(ds) OVER (PARTITION BY id ORDER BY ds) AS BIGINT) AS step FROM {users}), c AS (SELECT id, step, count(*) AS n FROM s WHERE step > 0 GROUP BY 1, 2) SELECT id, step FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, step) = 1")
+_MID = "2024-01-16"
+simple("mark_unknown", t.users, lambda d: prep.mark_unknown(d, "id", "ds", _MID), f"SELECT *, ds > DATE '{_MID}' AS is_unknown, max(ds) FILTER (ds <= DATE '{_MID}') OVER (PARTITION BY id) AS last_known_date FROM {{users}}")
+simple("fill_unknown", t.users, lambda d: prep.fill_unknown(d, "id", "ds", "y", _MID), f"SELECT id AS group_col, ds AS date_col, CASE WHEN ds <= DATE '{_MID}' THEN y ELSE last_value(CASE WHEN ds <= DATE '{_MID}' THEN y END IGNORE NULLS) OVER (PARTITION BY id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS value_col FROM {{users}}")
+simple("fill_unknown_default", t.users, lambda d: prep.fill_unknown(d, "id", "ds", "y", _MID, "default", 9.0), f"SELECT id AS group_col, ds AS date_col, CASE WHEN ds <= DATE '{_MID}' THEN y ELSE 9.0 END AS value_col FROM {{users}}")
+_EXPECT = ["2024-01-03", "2024-01-10", "2024-01-20"]
+_VALID = "WITH u AS {users}, e AS (SELECT unnest([DATE '2024-01-03', DATE '2024-01-10', DATE '2024-01-20']) AS d), v AS (SELECT g.id, e.d, EXISTS (FROM u WHERE u.id = g.id AND u.ds = e.d) AS found FROM (SELECT DISTINCT id FROM u) g, e), r AS (SELECT id AS group_col, bool_and(found) AS is_valid, count(*) AS n_expected, CAST(sum(CASE WHEN found THEN 1 ELSE 0 END) AS BIGINT) AS n_found, CAST(sum(CASE WHEN found THEN 0 ELSE 1 END) AS BIGINT) AS n_missing, list(CAST(d AS VARCHAR) ORDER BY d) FILTER (NOT found) AS missing FROM v GROUP BY id) "
+simple("validate_timestamps", t.users, lambda d: prep.validate_timestamps(d, "id", "ds", _EXPECT).withColumn("missing_timestamps", F.array_join("missing_timestamps", ",")), _VALID + "SELECT group_col, is_valid, n_expected, n_found, n_missing, array_to_string(missing, ',') AS missing_timestamps FROM r")
+simple("validate_timestamps_summary", t.users, lambda d: prep.validate_timestamps_summary(d, "id", "ds", _EXPECT).withColumn("invalid_groups", F.array_join(F.col("invalid_groups").cast("array<string>"), ",")), _VALID + "SELECT bool_and(is_valid) AS all_valid, count(*) AS n_groups, CAST(sum(CASE WHEN is_valid THEN 1 ELSE 0 END) AS BIGINT) AS n_valid_groups, CAST(sum(CASE WHEN is_valid THEN 0 ELSE 1 END) AS BIGINT) AS n_invalid_groups, array_to_string(list(group_col ORDER BY group_col) FILTER (NOT is_valid), ',') AS invalid_groups FROM r")
+
+# ------------------------------------------------------------------ keys and hierarchies
+
+
+def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lambda n: t.parquet(spark, sf_dir, n)
+    j = p("orders").join(p("customer"), F.col("o_custkey") == F.col("c_custkey")).join(p("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(p("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), F.trunc("o_orderdate", "YEAR").alias("ds"), F.round("o_totalprice", 0).alias("y"))
+
+
+_GEO = "(SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, CAST(date_trunc('year', o_orderdate) AS DATE) AS ds, round(o_totalprice, 0) AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_IDS = ["region", "nation", "segment"]
+_SEP = "WITH g AS {geo}, v AS (SELECT DISTINCT unnest([region, nation, segment]) AS v FROM g), b AS (SELECT coalesce(list(v ORDER BY v) FILTER (contains(v, 'A')), []) AS bad FROM v) SELECT 'A' AS separator, len(bad) = 0 AS is_valid, CAST(len(bad) AS BIGINT) AS n_conflicts, array_to_string(bad, ',') AS conflicting_values FROM b"
+simple("validate_separator", _geography, lambda d: keys.validate_separator(d, _IDS, "A").select("separator", "is_valid", "n_conflicts", F.array_join("conflicting_values", ",").alias("conflicting_values")), _SEP.replace("{geo}", _GEO))
+simple("combine_keys", _geography, lambda d: keys.combine_keys(d, "ds", "y", _IDS), f"SELECT concat_ws('|', region, nation, segment) AS unique_id, ds, y FROM {_GEO}")
+simple("aggregate_hierarchy", _geography, lambda d: keys.aggregate_hierarchy(d, "ds", "y", _IDS), f"WITH g AS {_GEO} SELECT unique_id, ds, sum(y) AS y FROM (SELECT unnest(['AGGREGATED|AGGREGATED|AGGREGATED', concat_ws('|', region, 'AGGREGATED', 'AGGREGATED'), concat_ws('|', region, nation, 'AGGREGATED'), concat_ws('|', region, nation, segment)]) AS unique_id, ds, y FROM g) GROUP BY 1, 2")
+simple("split_keys", _geography, lambda d: keys.split_keys(keys.aggregate_hierarchy(d, "ds", "y", ["region", "segment"]), "unique_id", "ds", "y", "|", ["a", "b", "c"]), f"WITH g AS {_GEO}, h AS (SELECT unnest([{{'a': 'AGGREGATED', 'b': 'AGGREGATED'}}, {{'a': region, 'b': 'AGGREGATED'}}, {{'a': region, 'b': segment}}]) AS k, ds, y FROM g) SELECT k.a AS a, k.b AS b, '' AS c, ds, sum(y) AS y FROM h GROUP BY 1, 2, 3, 4")
+
+# ------------------------------------------------------------------ metrics
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual values with the lag-1 and lag-7 forecasts and a band around the first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy("ds")
+    d = t.daily(spark, sf_dir)
+    return d.select("id", "ds", "y", F.lag("y", 1).over(w).alias("f"), F.lag("y", 2).over(w).alias("g")).withColumns({"lo": F.col("f") * 0.9, "hi": F.col("f") * 1.1})
+
+
+_P = "WITH p0 AS (SELECT id, ds, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f, lag(y, 2) OVER (PARTITION BY id ORDER BY ds) AS g FROM {daily}), p AS (SELECT *, f * 0.9 AS lo, f * 1.1 AS hi FROM p0) "
+_two = lambda f: (lambda d: f(d.select("id", "ds", "y", "f"), "ds", "y", "f"))
+_METRICS = {
+    "mae": (metrics.mae_by, "avg(abs(y - f))"),
+    "mse": (metrics.mse_by, "avg((y - f) * (y - f))"),
+    "rmse": (metrics.rmse_by, "sqrt(avg((y - f) * (y - f)))"),
+    "mape": (metrics.mape_by, "100 * avg(abs(y - f) / abs(y)) FILTER (abs(y) > 2.3e-16)"),
+    "smape": (metrics.smape_by, "100 * avg(2 * abs(y - f) / (abs(y) + abs(f)))"),
+    "r2": (metrics.r2_by, "1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*))"),
+    "bias": (metrics.bias_by, "avg(f - y)"),
+}
+for _name, (_f, _sql) in _METRICS.items():
+    simple(f"{_name}_by", _pairs, lambda d, f=_f, n=_name: _two(f)(d).withColumn(n, F.round(n, 5)), _P + f"SELECT id, round({_sql}, 5) AS {_name} FROM p WHERE y IS NOT NULL AND f IS NOT NULL GROUP BY id")
+simple("mase_by", _pairs, lambda d: metrics.mase_by(d.select("id", "ds", "y", "f", "g"), "ds", "y", "f", "g").withColumn("mase", F.round("mase", 6)), _P + "SELECT id, round(avg(abs(y - f)) / avg(abs(y - g)), 6) AS mase FROM p WHERE g IS NOT NULL GROUP BY id")
+simple("rmae_by", _pairs, lambda d: metrics.rmae_by(d.select("id", "ds", "y", "f", "g"), "ds", "y", "f", "g").withColumn("rmae", F.round("rmae", 6)), _P + "SELECT id, round(avg(abs(y - f)) / avg(abs(y - g)), 6) AS rmae FROM p WHERE g IS NOT NULL GROUP BY id")
+simple("quantile_loss_by", _pairs, lambda d: metrics.quantile_loss_by(d.select("id", "ds", "y", "f"), "ds", "y", "f", 0.9).withColumn("quantile_loss", F.round("quantile_loss", 5)), _P + "SELECT id, round(avg(greatest(0.9 * (y - f), (0.9 - 1.0) * (y - f))), 5) AS quantile_loss FROM p WHERE f IS NOT NULL GROUP BY id")
+simple("coverage_by", _pairs, lambda d: metrics.coverage_by(d.select("id", "ds", "y", "lo", "hi"), "ds", "y", "lo", "hi").withColumn("coverage", F.round("coverage", 6)), _P + "SELECT id, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM p WHERE f IS NOT NULL GROUP BY id")
+
+
+def _array_metrics(d: DataFrame) -> DataFrame:
+    z = d.where("g IS NOT NULL").groupBy("id").agg(*[F.collect_list(F.struct("ds", c)).alias(c) for c in ("y", "f", "g", "lo", "hi")])
+    z = z.select("id", *[F.array_sort(c)[c].alias(c) for c in ("y", "f", "g", "lo", "hi")])
+    m = metrics
+    measures = {"mae": m.array_mae("y", "f"), "mse": m.array_mse("y", "f"), "rmse": m.array_rmse("y", "f"), "mape": m.array_mape("y", "f"), "smape": m.array_smape("y", "f"), "bias": m.array_bias("y", "f"), "r2": m.array_r2("y", "f"), "mase": m.array_mase("y", "f", "g"), "rmae": m.array_rmae("y", "f", "g"), "quantile_loss": m.array_quantile_loss("y", "f", 0.25), "mqloss": m.array_mqloss("y", F.array("f", "g"), F.array(F.lit(0.25), F.lit(0.75))), "coverage": m.array_coverage("y", "lo", "hi")}
+    return z.select("id", *[F.round(c, 5).alias(n) for n, c in measures.items()])
+
+
+simple("array_metrics", _pairs, _array_metrics, _P + "SELECT id, round(avg(abs(y - f)), 5) AS mae, round(avg((y - f) * (y - f)), 5) AS mse, round(sqrt(avg((y - f) * (y - f))), 5) AS rmse, round(100 * avg(abs(y - f) / abs(y)), 5) AS mape, round(100 * avg(2 * abs(y - f) / (abs(y) + abs(f))), 5) AS smape, round(avg(f - y), 5) AS bias, round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 5) AS r2, round(avg(abs(y - f)) / avg(abs(y - g)), 5) AS mase, round(avg(abs(y - f)) / avg(abs(y - g)), 5) AS rmae, round(avg(greatest(0.25 * (y - f), -0.75 * (y - f))), 5) AS quantile_loss, round((avg(greatest(0.25 * (y - f), -0.75 * (y - f))) + avg(greatest(0.75 * (y - g), -0.25 * (y - g)))) / 2, 5) AS mqloss, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 5) AS coverage FROM p WHERE g IS NOT NULL GROUP BY id")
+
+# ------------------------------------------------------------------ cross-validation
+
+_POS = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n FROM {daily}), "
+simple("cv_folds", t.daily, lambda d: crossval.cv_folds(d, "id", "ds", "y", 3, 3), _POS + "f AS (SELECT unnest([0, 1, 2]) AS k), b AS (SELECT r.*, k, greatest(n - 9, 1) - 1 + k * 3 AS e FROM r, f) SELECT id, ds, y, CAST(k + 1 AS BIGINT) AS fold_id, CASE WHEN pos <= e THEN 'train' ELSE 'test' END AS split FROM b WHERE e + 3 < n AND pos <= e + 3")
+simple("cv_folds_fixed", t.daily, lambda d: crossval.cv_folds(d, "id", "ds", "y", 2, 4, {"gap": 1, "window_type": "fixed", "min_train_size": 5, "initial_train_size": 12, "skip_length": 6, "clip_horizon": True}), _POS + "f AS (SELECT unnest([0, 1]) AS k), b AS (SELECT r.*, k, 11 + k * 6 AS e FROM r, f) SELECT id, ds, y, CAST(k + 1 AS BIGINT) AS fold_id, CASE WHEN pos <= e THEN 'train' ELSE 'test' END AS split FROM b WHERE e + 2 < n AND ((pos <= e AND pos > e - 5) OR pos BETWEEN e + 2 AND e + 5)")
+_ENDS = ["2024-01-10", "2024-01-20"]
+simple("cv_split", t.daily, lambda d: crossval.cv_split(d, "id", "ds", "y", _ENDS, 3), _POS + "c AS (SELECT unnest([1, 2]) AS k, unnest([DATE '2024-01-10', DATE '2024-01-20']) AS d), e AS (SELECT k, id, max(pos) AS e FROM r, c WHERE ds <= d GROUP BY 1, 2) SELECT r.id, ds, y, CAST(k AS BIGINT) AS fold_id, CASE WHEN pos <= e THEN 'train' ELSE 'test' END AS split FROM r JOIN e USING (id) WHERE pos <= e + 3")
+simple("cv_split_folds", t.daily, lambda d: crossval.cv_split_folds(d, "ds", _ENDS, 3, "1d", {"gap": 1, "embargo": 1}), "WITH m AS (SELECT CAST(min(ds) AS TIMESTAMP) AS first FROM {daily}), f AS (SELECT unnest([1, 2]) AS fold_id, unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20']) AS train_end), g AS (SELECT *, train_end + INTERVAL 2 DAY AS test_start, train_end + INTERVAL 4 DAY AS test_end FROM f) SELECT CAST(fold_id AS BIGINT) AS fold_id, greatest(first, coalesce(lag(test_end) OVER (ORDER BY fold_id) + INTERVAL 1 DAY, first)) AS train_start, train_end, test_start, test_end, CAST(3 AS BIGINT) AS horizon, CAST(1 AS BIGINT) AS gap, CAST(1 AS BIGINT) AS embargo FROM g, m")
+simple("cv_split_index", t.daily, lambda d: crossval.cv_split_index(d, "id", "ds", _ENDS, 3, "1d", {"window_type": "sliding", "min_train_size": 4}), "WITH f AS (SELECT unnest([1, 2]) AS k, unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20']) AS e), s AS (SELECT DISTINCT id, CAST(ds AS TIMESTAMP) AS d FROM {daily}) SELECT id AS group_col, d AS date_col, CAST(k AS BIGINT) AS fold_id, CASE WHEN d <= e THEN 'train' ELSE 'test' END AS split FROM s, f WHERE (d BETWEEN e - INTERVAL 4 DAY AND e) OR (d BETWEEN e + INTERVAL 1 DAY AND e + INTERVAL 3 DAY)")
+simple("cv_hydrate", t.daily, lambda d: crossval.cv_hydrate(crossval.cv_folds(d, "id", "ds", "y", 2, 3), d.withColumn("dow", F.dayofmonth("ds")), "id", "ds", ["dow"]), _POS + "f AS (SELECT unnest([0, 1]) AS k), b AS (SELECT r.*, k, greatest(n - 6, 1) - 1 + k * 3 AS e FROM r, f), c AS (SELECT *, CASE WHEN pos <= e THEN 'train' ELSE 'test' END AS split FROM b WHERE e + 3 < n AND pos <= e + 3) SELECT id, ds, y, CAST(k + 1 AS BIGINT) AS fold_id, split, CAST(day(CASE WHEN split = 'train' THEN ds ELSE max(ds) FILTER (split = 'train') OVER (PARTITION BY id, k) END) AS VARCHAR) AS dow FROM c")
+simple("check_leakage", t.daily, lambda d: crossval.check_leakage(d.withColumn("is_test", F.col("ds") > F.lit("2024-01-20").cast("date")), "is_test").drop("recommendation"), "SELECT 'Leakage check complete' AS status, CAST(count(*) FILTER (ds > DATE '2024-01-20') AS BIGINT) AS test_row_count, CAST(count(*) FILTER (ds <= DATE '2024-01-20') AS BIGINT) AS train_row_count FROM {daily}")
+query("estimate_backtest_memory", "SELECT CAST((1000 * 365 * 5 * 40 + 1000 * 5 * (365 // 2) * 8 + 1000 * 5 * 14 * 88) // 1048576 AS BIGINT) AS mb")(lambda spark, sf_dir: spark.createDataFrame([(metrics.estimate_backtest_memory(1000, 365, 5, 14),)], "mb long"))
+
+# ------------------------------------------------------------------ statistics
+
+_R = lambda names: [F.round(n, 5).alias(n) for n in names]
+_STAT_SQL = """SELECT id, count(*) AS length, count(*) FILTER (y IS NULL) AS n_nulls, count(*) FILTER (y = 0) AS n_zeros, count(*) FILTER (y > 0) AS n_positive, count(DISTINCT y) AS n_unique_values,
+round(avg(y), 5) AS mean, round(median(y), 5) AS median, round(min(y), 5) AS min, round(max(y), 5) AS max, round(sum(y), 5) AS sum, round(CASE WHEN count(y) = 1 THEN 0 ELSE stddev_samp(y) END, 5) AS std_dev,
+round(quantile_cont(y, 0.25), 5) AS q1, round(quantile_cont(y, 0.75), 5) AS q3, CASE WHEN count(*) >= 2 THEN max(ds) - min(ds) + 1 ELSE count(*) END AS expected_length FROM {users} GROUP BY id HAVING count(y) > 0"""
+simple("stats_by", t.users, lambda d: stats.stats_by(d, "id", "ds", "y", "1d").where("length > n_nulls").select("id", "length", "n_nulls", "n_zeros", "n_positive", "n_unique_values", *_R(["mean", "median", "min", "max", "sum", "std_dev", "q1", "q3"]), "expected_length"), _STAT_SQL)
+simple("stats_all", t.daily, lambda d: stats.stats_by(d, "id", "ds", "y", "1d"))
+simple("stats_agg", t.daily, lambda d: stats.stats_agg(d, ["id"], "ds", "y").select("id", F.col("stats.length").alias("length"), F.round("stats.mean", 5).alias("mean")), "SELECT id, count(*) AS length, round(avg(y), 5) AS mean FROM {daily} GROUP BY id")
+simple("stats_summary", t.users, lambda d: stats.stats_summary(stats.stats_by(d, "id", "ds", "y")).withColumn("avg_length", F.round("avg_length", 6)), "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (y IS NULL) AS z FROM {users} GROUP BY id) SELECT count(*) AS n_series, round(avg(n), 6) AS avg_length, min(n) AS min_length, max(n) AS max_length, CAST(sum(z) AS BIGINT) AS total_nulls, CAST(0 AS BIGINT) AS total_nans FROM s")
+simple("quality_report", t.users, lambda d: stats.quality_report(stats.stats_by(d, "id", "ds", "y"), 3), "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (y IS NULL) AS z, count(DISTINCT y) = 1 AS c FROM {users} GROUP BY id) SELECT CAST(count(*) FILTER (n >= 3 AND NOT c) AS BIGINT) AS n_passed, CAST(0 AS BIGINT) AS n_nan_issues, CAST(count(*) FILTER (z > 0) AS BIGINT) AS n_missing_issues, CAST(count(*) FILTER (c) AS BIGINT) AS n_constant, count(*) AS n_total FROM s")
+simple("data_quality_by", t.users, lambda d: stats.data_quality_by(d, "id", "ds", "y").select("unique_id", F.round("structural_score", 6).alias("structural_score"), "n_gaps", "n_missing"), "SELECT id AS unique_id, round(CASE WHEN count(y) = 0 THEN 0.0 ELSE 0.7 * count(y) / count(*) + 0.3 * least(count(y) / 30.0, 1) END, 6) AS structural_score, CAST(0 AS BIGINT) AS n_gaps, count(*) FILTER (y IS NULL) AS n_missing FROM {users} GROUP BY id")
+simple("data_quality_agg", t.users, lambda d: stats.data_quality_agg(d, ["id"], "ds", "y").select("id", "quality.*"))
+simple("data_quality_summary", t.users, lambda d: stats.data_quality_summary(d, "id", "ds", "y"))
+_FEATS = ["length", "sum", "mean", "minimum", "maximum", "variance", "standard_deviation", "median", "quantile_0.1", "quantile_0.9", "abs_energy", "root_mean_square", "count_above_mean", "linear_trend_slope", "mean_change", "absolute_sum_of_changes", "first_value", "last_value", "count_unique", "autocorrelation_lag1", "c3_lag1"]
+_FEAT_SQL = "WITH r AS (SELECT *, row_number() OVER w - 1 AS i, lag(y) OVER w AS p, lag(y, 2) OVER w AS pp, avg(y) OVER (PARTITION BY id) AS m FROM {daily} WINDOW w AS (PARTITION BY id ORDER BY ds)) SELECT id, " + ", ".join(
+    f'round({e}, 4) AS "{n}"'
+    for n, e in zip(_FEATS, ["CAST(count(*) AS DOUBLE)", "sum(y)", "avg(y)", "min(y)", "max(y)", "var_pop(y)", "stddev_pop(y)", "median(y)", "quantile_cont(y, 0.1)", "quantile_cont(y, 0.9)", "sum(y * y)", "sqrt(avg(y * y))", "CAST(count(*) FILTER (y > m) AS DOUBLE)", "regr_slope(y, i)", "avg(y - p)", "sum(abs(y - p))", "arg_min(y, ds)", "arg_max(y, ds)", "CAST(count(DISTINCT y) AS DOUBLE)", "sum((y - m) * (p - m)) / sum((y - m) * (y - m))", "avg(y * p * pp)"])
+) + " FROM r GROUP BY id"
+simple("features_by", t.daily, lambda d: stats.features_by(d, "id", "ds", "y", _FEATS).select("id", *[F.round(F.col(f"`{n}`"), 4).alias(n) for n in _FEATS]), _FEAT_SQL)
+simple("features_all", t.daily, lambda d: stats.features_by(d, "id", "ds", "y"))
+simple("features_table", t.daily, lambda d: stats.features_table(d, "ds", "y"))
+simple("features_agg", t.daily, lambda d: stats.features_agg(d, ["id"], "ds", "y", ["mean", "length"]).select("id", F.round("features.mean", 5).alias("mean"), "features.length"), "SELECT id, round(avg(y), 5) AS mean, CAST(count(*) AS DOUBLE) AS length FROM {daily} GROUP BY id")
+query("features_list")(lambda spark, sf_dir: stats.features_list(spark))
+query("features_config_template")(lambda spark, sf_dir: stats.features_config_template(spark))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+    return prep.fill_gaps(t.monthly(spark, sf_dir), "id", "ds", "y", "1mo")
