@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crossval, keys, metrics, prep, stats
+from ..functions import models as _models
+from ..operators import analysis, conformal, crossval, forecast, keys, metrics, prep, stats
 from ..sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,5 +158,133 @@ query("features_list")(lambda spark, sf_dir: stats.features_list(spark))
 query("features_config_template")(lambda spark, sf_dir: stats.features_config_template(spark))
 
 
+# ------------------------------------------------------------------ forecasting
+
+_HIST = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) AS i, count(*) OVER (PARTITION BY id) AS n FROM {daily}), s AS (SELECT id, max(n) AS n, max(ds) AS last, stddev_pop(y) AS sd, arg_min(y, ds) AS y1, arg_max(y, ds) AS yn, avg(y) FILTER (i > n - 3) AS m3, list(y ORDER BY ds) AS ys FROM r GROUP BY id), k AS (SELECT unnest([1, 2, 3, 4]) AS k) "
+
+
+def _forecast_sql(expr: str, name: str) -> str:
+    return _HIST + f"SELECT id, CAST(k AS INTEGER) AS forecast_step, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, round({expr}, 4) AS yhat, round({expr} - 1.645 * sd * sqrt(k), 4) AS yhat_lower, round({expr} + 1.645 * sd * sqrt(k), 4) AS yhat_upper, '{name}' AS model_name FROM s, k"
+
+
+def _forecast(method: str, params: dict | None = None, horizon: int = 4):
+    return lambda d: forecast.forecast_by(d, "id", "ds", "y", method, horizon, "1d", params).withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
+_SIMPLE = {
+    "Naive": "yn",
+    "SeasonalNaive": "list_extract(ys, n - 7 + CAST(k AS INTEGER))",
+    "SMA": "m3",
+    "RandomWalkDrift": "yn + (yn - y1) / (n - 1) * k",
+    "SES": "list_reduce(ys, lambda a, b: 0.7 * a + 0.3 * b)",
+    "ARIMA": "yn + k * ((yn - y1) / (n - 1)) + (list_extract(ys, n) - list_extract(ys, n - 1) - (yn - y1) / (n - 1)) * (1 - pow(0.5, k))",
+}
+for _name in _models.MODELS:
+    _params = {"seasonal_period": 7} if _name == "SeasonalNaive" else {"window": 3} if _name == "SMA" else None
+    simple(f"forecast_{_name}", t.daily, _forecast(_name, _params), _forecast_sql(_SIMPLE[_name], _name) if _name in _SIMPLE else None)
+simple("forecast_seasonal_window", t.daily, _forecast("SeasonalWindowAverage", {"seasonal_period": 7}))
+simple("forecast_ets_spec", t.daily, _forecast("ETS", {"model": "MAdM", "seasonal_period": 7}))
+simple("forecast_monthly", t.monthly, lambda d: forecast.forecast_by(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", "AutoETS", 6, "1mo", {"seasonal_period": 12}))
+simple("forecast_one", t.daily, lambda d: forecast.forecast(d.where("id = 'click'"), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: F.round(x, 4).cast("string")), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(round(arg_max(y, ds), 4) AS VARCHAR) AS v FROM {daily} WHERE id = 'click')")
+simple("forecast_agg", t.daily, lambda d: forecast.forecast_agg(d, ["id"], "ds", "y", "Theta", 3))
+
+
+def _exog(method: str):
+    def build(d: DataFrame) -> DataFrame:
+        x = d.withColumns({"dow": F.dayofweek("ds").cast("double"), "trend": F.datediff("ds", F.lit("2024-01-01")).cast("double")})
+        last = d.groupBy("id").agg(F.max("ds").alias("m"))
+        future = last.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.date_add("m", k))).alias("fd")).withColumns({"dow": F.dayofweek("fd").cast("double"), "trend": F.datediff("fd", F.lit("2024-01-01")).cast("double")})
+        return forecast.forecast_exog_by(x, "id", "ds", "y", ["dow", "trend"], future, "fd", ["dow", "trend"], "1d", method, 5)
+
+    return build
+
+
+simple("forecast_exog", t.daily, _exog("ARIMA"))
+simple("forecast_exog_theta", t.daily, _exog("Theta"))
+simple("forecast_exog_mfles", t.daily, _exog("MFLES"))
+simple("forecast_inspect", t.daily, lambda d: forecast.forecast_inspect_by(d, "id", "ds", "y", "AutoETS"))
+simple("forecast_explain", t.daily, lambda d: forecast.forecast_explain_by(d, "id", "ds", "y", "MSTL", 7, {"seasonal_period": 7}))
+
+_CV_SQL = _POS + "f AS (SELECT unnest([0, 1]) AS k), b AS (SELECT r.*, k, greatest(n - 6, 1) - 1 + k * 3 AS e FROM r, f), c AS (SELECT * FROM b WHERE e + 3 < n), l AS (SELECT id, k, arg_max(y, pos) AS yhat, stddev_pop(y) AS sd FROM c WHERE pos <= e GROUP BY 1, 2) SELECT CAST(c.k + 1 AS BIGINT) AS fold_id, c.id, c.ds, c.y, 'test' AS split, round(l.yhat, 4) AS yhat, round(l.yhat - 1.645 * sd * sqrt(pos - e), 4) AS yhat_lower, round(l.yhat + 1.645 * sd * sqrt(pos - e), 4) AS yhat_upper, 'Naive' AS model_name FROM c JOIN l ON c.id = l.id AND c.k = l.k WHERE pos BETWEEN e + 1 AND e + 3"
+simple("cv_forecast", t.daily, lambda d: forecast.cv_forecast_by(crossval.cv_folds(d, "id", "ds", "y", 2, 3), "id", "ds", "y", "Naive").withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")}), _CV_SQL)
+_BT_SQL = "WITH d AS {daily}, g AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ds FROM d)), f AS (SELECT unnest([0, 1]) AS k), b AS (SELECT g.*, k, greatest(n - 6, 1) - 1 + k * 3 AS e FROM g, f), c AS (SELECT d.*, pos, k, e FROM d JOIN b USING (ds) WHERE e + 3 < n), l AS (SELECT id, k, arg_max(y, pos) AS yhat FROM c WHERE pos <= e GROUP BY 1, 2), o AS (SELECT c.k + 1 AS fold_id, c.id, c.ds, l.yhat, c.y AS actual FROM c JOIN l ON c.id = l.id AND c.k = l.k WHERE pos BETWEEN e + 1 AND e + 3) SELECT CAST(fold_id AS BIGINT) AS fold_id, id, ds, round(yhat, 4) AS yhat, actual, round(abs(yhat - actual), 4) AS abs_error, round(avg(abs(yhat - actual)) OVER (PARTITION BY fold_id), 4) AS fold_metric_score FROM o"
+simple("backtest", t.daily, lambda d: forecast.backtest_auto_by(d, "id", "ds", "y", 3, 2, "Naive", metric="mae").select("fold_id", "id", "ds", F.round("yhat", 4).alias("yhat"), "actual", F.round("abs_error", 4).alias("abs_error"), F.round("fold_metric_score", 4).alias("fold_metric_score")), _BT_SQL)
+simple("backtest_theta", t.daily, lambda d: forecast.backtest_auto_by(d, "id", "ds", "y", 3, 3, "Theta", {"gap": 1, "window_type": "sliding", "min_train_size": 15}, "smape"))
+
+# ------------------------------------------------------------------ conformal
+
+def _level_join(d: DataFrame) -> DataFrame:
+    return d.where("f IS NOT NULL").select("id", "ds", "y", "f")
+
+
+_RANK = "WITH p0 AS (SELECT id, ds, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT id, abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT id, list(r ORDER BY r) AS l, count(*) AS n FROM p GROUP BY id), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a), s AS (SELECT id, l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)) AS s, n FROM b) "
+simple("conformal_by", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f").select("group_col", F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "method", F.size("lower").alias("n")), _RANK + "SELECT id AS group_col, round(s, 4) AS conformity_score, 0.9 AS coverage, 'split_conformal' AS method, CAST(n AS INTEGER) AS n FROM s")
+simple("conformal_rows", _pairs, lambda d: conformal.conformal_rows_by(_level_join(d), "id", "y", "f", "f").withColumns({c: F.round(c, 4) for c in ("lower", "upper")}), _RANK + "SELECT p0.id, ds, y, f, round(f - s, 4) AS lower, round(f + s, 4) AS upper FROM p0 JOIN s USING (id) WHERE f IS NOT NULL")
+simple("conformal_asymmetric", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f", {"method": "asymmetric", "alpha": 0.2}))
+simple("conformal_calibrate", _pairs, lambda d: conformal.conformal_calibrate(_level_join(d), "y", "f").select(F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "n_residuals"), "WITH p0 AS (SELECT id, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM p), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a) SELECT round(l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)), 4) AS conformity_score, 0.9 AS coverage, n AS n_residuals FROM b")
+simple("conformal_apply_by", _pairs, lambda d: conformal.conformal_apply_by(_level_join(d), "id", "f", 5.0).select("group_col", F.round(F.col("lower")[0], 4).alias("lower"), F.round(F.element_at("upper", -1), 4).alias("upper")), "WITH p AS (SELECT id, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}) SELECT id AS group_col, round(min(f) - 5, 4) AS lower, round(max(f) + 5, 4) AS upper FROM p GROUP BY id")
+simple("interval_width_by", _pairs, lambda d: conformal.interval_width_by(d, "id", "lo", "hi").withColumn("mean_width", F.round("mean_width", 4)), _P + "SELECT id AS group_col, round(avg(hi - lo), 4) AS mean_width, count(*) AS n_intervals FROM p WHERE f IS NOT NULL GROUP BY id")
+
+
+def _arrays(d: DataFrame) -> DataFrame:
+    z = _level_join(d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ds", "y", "f"))).alias("s"))
+    return z.select("id", F.col("s.y").alias("a"), F.col("s.f").alias("f"), F.zip_with("s.y", "s.f", lambda x, y: x - y).alias("r"))
+
+
+def _conformal_arrays(d: DataFrame) -> DataFrame:
+    c = conformal
+    z = _arrays(d).withColumn("profile", c.conformal_learn("r", [0.1, 0.2])).withColumn("applied", c.conformal_apply("f", "profile")).withColumn("bounds", c.conformal_intervals("f", c.conformal_quantile("r", 0.1)))
+    return z.select("id", c.conformal_evaluate("a", "bounds.lower", "bounds.upper", 0.1).alias("e"), "profile", c.conformal_predict_asymmetric("r", "f", 0.1)["conformity_score"].alias("asymmetric"), F.size("applied.lower").alias("levels")).select("id", "e.*", "profile.scores_lower", "asymmetric", "levels")
+
+
+simple("conformal_arrays", _pairs, _conformal_arrays)
+simple("conformal_per_step", _pairs, lambda d: _arrays(d).select("id", conformal.conformal_predict_per_step(F.slice("f", 1, 20), F.slice("a", 1, 20), F.slice("f", 21, 4), 0.1, 4).alias("c")).select("id", "c.*"))
+simple("bootstrap_intervals", _pairs, lambda d: conformal.bootstrap_intervals(_arrays(d), "r", "f", 200).select("id", "intervals.*"))
+simple("bootstrap_quantiles", _pairs, lambda d: conformal.bootstrap_quantiles(_arrays(d), "r", "f", 200).select("id", "quantiles.*"))
+
+
+# ------------------------------------------------------------------ periods, shape, changepoints
+
+for _name in ("fft", "acf", "regression", "multi", "auto", "autoperiod", "cfd_autoperiod", "lomb_scargle", "aic", "ssa", "stl", "matrix_profile", "sazed"):
+    simple(f"detect_periods_{_name}", t.daily, lambda d, m=_name: analysis.detect_periods_by(d, "id", "ds", "y", {"method": m, "expected_periods": [7.0], "min_confidence": 0.0}))
+simple("detect_periods_table", t.daily, lambda d: analysis.detect_periods(d.where("id = 'click'"), "ds", "y"))
+simple("detect_periods_agg", t.daily, lambda d: analysis.detect_periods_agg(d, ["id"], "ds", "y"))
+
+
+def _on_arrays(function: str, **options):
+    def build(d: DataFrame) -> DataFrame:
+        z = d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ds", "y")))["y"].alias("values"))
+        return analysis.over_arrays(z, "values", function, **options).drop("values")
+
+    return build
+
+
+for _name, _options in {
+    "estimate_period_fft": {}, "estimate_period_acf": {}, "estimate_period_regression": {}, "detect_multiple_periods": {}, "autoperiod": {}, "cfd_autoperiod": {}, "lomb_scargle": {}, "aic_period": {}, "ssa_period": {}, "stl_period": {}, "matrix_profile_period": {}, "sazed_period": {},
+    "detect_seasonality": {}, "analyze_seasonality": {}, "classify_seasonality": {"period": 7}, "seasonal_strength": {"period": 7}, "seasonal_strength_windowed": {"period": 7}, "detect_seasonality_changes": {"period": 7}, "instantaneous_period": {}, "detect_amplitude_modulation": {"period": 7},
+    "detect_peaks": {}, "analyze_peak_timing": {"period": 7}, "detrend": {"method": "loess"}, "decompose_seasonal": {"period": 7}, "mstl_decomposition": {"periods": [7]}, "detect_changepoints_pelt": {},
+}.items():
+    simple(_name, t.daily, _on_arrays(_name, **_options))
+simple("seasonal_strength_spectral", t.daily, _on_arrays("seasonal_strength", period=7, method="spectral"))
+simple("seasonal_strength_wavelet", t.daily, _on_arrays("seasonal_strength", period=7, method="wavelet"))
+simple("classify_seasonality_by", t.daily, lambda d: analysis.classify_seasonality_by(d, "id", "ds", "y", 7))
+simple("classify_seasonality_agg", t.daily, lambda d: analysis.classify_seasonality_agg(d, ["id"], "ds", "y", 7))
+simple("detect_peaks_by", t.daily, lambda d: analysis.detect_peaks_by(d, "id", "ds", "y").select("id", "n_peaks"), "WITH r AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM {daily} WINDOW w AS (PARTITION BY id ORDER BY ds)) SELECT id, count(*) FILTER (y > a AND y >= b) AS n_peaks FROM r GROUP BY id")
+simple("analyze_peak_timing_by", t.daily, lambda d: analysis.analyze_peak_timing_by(d, "id", "ds", "y", 7))
+simple("detrend_by", t.daily, lambda d: analysis.detrend_by(d, "id", "ds", "y", "linear").select("id", F.round(F.col("coefficients")[1], 5).alias("slope"), F.round("rss", 2).alias("rss")), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS i FROM {daily}) SELECT id, round(regr_slope(y, i), 5) AS slope, round(regr_syy(y, i) * (1 - regr_r2(y, i)), 2) AS rss FROM r GROUP BY id")
+simple("mstl_decomposition_by", t.daily, lambda d: analysis.mstl_decomposition_by(d, "id", "ds", "y"))
+simple("detect_changepoints_by", t.daily, lambda d: analysis.detect_changepoints_by(d, "id", "ds", "y", {"include_probabilities": True}))
+simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(d.where("id = 'click'"), "ds", "y"))
+simple("detect_changepoints_agg", t.daily, lambda d: analysis.detect_changepoints_agg(d, ["id"], "ds", "y"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.fill_gaps(t.monthly(spark, sf_dir), "id", "ds", "y", "1mo")
+    """Monthly revenue by market segment with gaps filled: mean absolute error of two models over the last six months."""
+    filled = prep.fill_gaps(t.monthly(spark, sf_dir), "id", "ds", "y", "1mo")
+    folds = crossval.cv_folds(filled, "id", "ds", "y", 1, 6)
+    models = [forecast.cv_forecast_by(folds, "id", "ds", "y", m, p) for m, p in (("Naive", None), ("SeasonalNaive", {"seasonal_period": 12}))]
+    both = models[0].unionByName(models[1])
+    return metrics.mae_by(both.select("id", "model_name", "ds", "y", "yhat"), "ds", "y", "yhat")
+
+
+query("flagship")(flagship)
