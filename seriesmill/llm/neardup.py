@@ -8,15 +8,20 @@ weighted Jaccard similarity. Weights are cut into dyadic strips; within a strip
 ranks (exponential gaps), so a strip without a dart below the text's rank bound costs one hash and one comparison.
 
 Steps: equal texts become one (an aggregation with map-side combining); signatures become BANDS band keys; of every
-key with several texts one text is the centre, and the others are compared with it exactly. Texts of a key that are
-still in different classes meet further centres, four times as many each round, until every key's texts are in one
-class or every pair of texts of different classes that share a key has been compared. So no link between texts that
-share a key is lost that could join two classes, and a group of n copies costs n comparisons rather than n*n.
+key with several texts one text is the centre, and the others are compared with it exactly. A key whose texts are in
+one class then is done, so a group of n copies costs n comparisons rather than n*n. The others go on without the
+texts that provably resemble nothing: a shingle that no other open text has can't be shared, which bounds every
+similarity of its text. A second centre, the text farthest from the first, is compared with the rest, and then every
+pair of different classes that shares a key and that no bound rules out: the triangle inequality (one less the
+weighted Jaccard similarity is a metric) with both centres, and parity bitmaps of the shingles, whose bits that differ
+are at most as many as the shingles that differ. So no link between texts that share a key is lost that could join two
+classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Texts of similarity 0.8 share no band with probability (1 - 0.8**4)**15, 4 in 10,000.
 BANDS, ROWS = 15, 4
 HASHES = BANDS * ROWS
+#: Longs in a text's parity bitmap.
+BITMAP = 8
 #: Expected darts below rank bound 1: a coordinate stays empty with probability exp(-DARTS / HASHES), then the bound grows.
 DARTS = HASHES * (np.log(HASHES) + 2)
 _U = np.uint64
@@ -92,18 +99,36 @@ def weighted_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return doc[first], h[first], np.diff(np.r_[first, len(h)]).astype(float)
 
 
+def parity(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(n, BITMAP) longs: every copy of a shingle flips one bit of its text's bitmap."""
+    out = np.zeros((n, BITMAP), np.int64)
+    for i in range(0, n, 2000):
+        lo, hi = np.searchsorted(doc, (i, min(n, i + 2000)))
+        k = count[lo:hi].astype(np.int64)
+        nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        at = mix(np.repeat(h[lo:hi], k) ^ (nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))) % _U(64 * BITMAP)
+        m = min(n, i + 2000) - i
+        odd = np.bincount(np.repeat(doc[lo:hi] - i, k) * 64 * BITMAP + at.astype(np.int64), minlength=m * 64 * BITMAP) & 1
+        out[i : i + m] = np.packbits(odd.astype(bool).reshape(m, -1), axis=1, bitorder="little").view(np.int64)
+    return out
+
+
 def band_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text's 128-bit digest (t1, t2), keys array<long> of BANDS band keys; null keys for a text without words."""
+    """doc_id, text's 128-bit digest (t1, t2), size (total weight), bits array<long> (its parity
+    bitmap), keys array<long> of BANDS band keys; no keys for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(3))
-            keys, has = np.zeros((b.num_rows, BANDS), np.int64), np.zeros(b.num_rows, bool)
+            keys, has, size = np.zeros((b.num_rows, BANDS), np.int64), np.zeros(b.num_rows, bool), np.zeros(b.num_rows)
+            bits = np.zeros((b.num_rows, BITMAP), np.int64)
             for i, j in chunks(offsets):
                 o = offsets[i : j + 1]
                 doc, h, count = weighted_sets(raw[o[0] : o[-1]], o - o[0])
                 if not len(doc):
                     continue
+                size[i:j] = np.bincount(doc, count, j - i)
+                bits[i:j] = parity(doc, h, count, j - i)
                 texts, owner = np.unique(doc, return_inverse=True)
                 sig = signatures(h, count, owner, len(texts)).reshape(len(texts), BANDS, ROWS)
                 k = np.zeros((len(texts), BANDS), np.uint64)
@@ -113,14 +138,14 @@ def band_keys(docs: DataFrame) -> DataFrame:
                 keys[i + texts], has[i + texts] = k.view(np.int64), True
             edges = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], ["doc_id", "t1", "t2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size), pa.FixedSizeListArray.from_arrays(pa.array(bits.reshape(-1)), BITMAP).cast(pa.list_(pa.int64())), lists], ["doc_id", "t1", "t2", "size", "bits", "keys"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2"), text.alias("text")).mapInArrow(run, "doc_id long, t1 long, t2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2"), text.alias("text")).mapInArrow(run, "doc_id long, t1 long, t2 long, size double, bits array<long>, keys array<long>")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b, similarity) of pairs of nodes whose texts (node, text) reach the threshold, computed exactly."""
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) of nodes, computed exactly from their texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +168,7 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 out.append(shared / np.maximum(total, 1))
                 i = j
             s = np.concatenate(out) if out else np.zeros(0)
-            good = pa.array(s >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(s).filter(good)], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "similarity"])
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -174,43 +198,98 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """(node, class) of the texts that are linked with others. texts: node, keys; base: node, text of at least them."""
-    keyed = texts.select("node", F.posexplode("keys").alias("band", "key"))
+def unshared(open_nodes: DataFrame, body: DataFrame) -> DataFrame:
+    """(node, alone): the weight of those shingles of each open text that no other open text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = text_buffer(b.column(1))
+            for i, j in chunks(offsets):
+                o = offsets[i : j + 1]
+                doc, h, w = weighted_sets(raw[o[0] : o[-1]], o - o[0])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + doc)), pa.array(h.view(np.int64)), pa.array(w)], ["node", "h", "w"])
+
+    each = body.join(open_nodes, "node", "left_semi").select("node", "text").mapInArrow(run, f"node {_NODE}, h long, w double")
+    single = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("w").alias("w")).where("node = other")
+    return single.groupBy("node").agg(F.sum("w").alias("alone"))
+
+
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Classes (node, class) after more links between nodes."""
+    if links.isEmpty():
+        return label
+    if label is None:
+        return components(links)
+    at = lambda c: label.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
+    joined = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a != b").distinct()
+    if joined.isEmpty():
+        return label
+    moved = components(joined).select(F.col("node").alias("class"), F.col("class").alias("new"))
+    known = label.unionByName(moved.select(F.col("class").alias("node"), "class")).distinct()
+    return written(known.join(moved, "class", "left").select("node", F.coalesce("new", "class").alias("class")).distinct(), "neardup-labels")
+
+
+def _open(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows (band, key, node, ...) of keys whose texts are in several classes, with the class of each row and the
+    smallest size of each key."""
+    rows = rows.withColumn("class", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = written(rows, "neardup-rows")
+    keys = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("size").alias("least")).where("lo != hi").select("band", "key", "least")
+    return written(rows.join(keys, ["band", "key"]), "neardup-open")
+
+
+def _met(state: DataFrame, best: DataFrame, body: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of state other than their key's centre (band, key, centre) with the similarity to it as column `name`,
+    and all (a, b, similarity) that were computed for that."""
+    rows = state.join(best, ["band", "key"]).where("node != centre").withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
+    rows = written(rows, "neardup-met")
+    known = written(similar(rows.select("a", "b").distinct(), body), "neardup-similar")
+    return rows.join(known.withColumnRenamed("similarity", name), ["a", "b"]).drop("a", "b", "centre"), known
+
+
+def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFrame | None:
+    """(node, class) of the texts that are linked with others. texts: node, size, bits, keys; base: node, text of them at
+    least. None if there is no link."""
+    enough = F.col("similarity") >= threshold - 1e-12
+    keyed = texts.select("node", "size", F.posexplode("keys").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     state = written(keyed.join(sizes, ["band", "key"]), "neardup-members")
     # The best centre is the text that shares most keys with most texts: of a base and its edited copies, the base.
     degree = state.groupBy("node").agg(F.sum("n").alias("degree"))
     body = written(base.join(degree.select("node"), "node", "left_semi"), "neardup-bodies")
-    state = state.join(degree, "node").select("band", "key", "node", "n", "degree", F.col("node").alias("class"))
-    label, centres = None, 1
-    while True:
-        if centres == 1:
-            best = state.groupBy("band", "key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "class")).alias("c")).select("band", "key", F.col("c.node").alias("centre"), F.col("c.class").alias("centre_class"))
-        else:
-            chance = F.pmod(F.xxhash64("node", "band", F.lit(centres)), F.lit(1_000_003)) / 1_000_003
-            best = state.where(chance * F.col("n") < centres).select("band", "key", F.col("node").alias("centre"), F.col("class").alias("centre_class"))
-        met = state.join(best, ["band", "key"]).where(F.col("class") != F.col("centre_class"))
-        pairs = written(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "neardup-pairs")
-        links = written(similar(pairs, body, threshold), "neardup-links")
-        rest = state.join(best.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti").drop("n")
-        if not links.isEmpty():
-            if label is None:
-                label = components(links)
-            else:  # links now join classes
-                at = lambda c: label.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class"))
-                joined = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a != b").distinct()
-                moved = components(joined).select(F.col("node").alias("class"), F.col("class").alias("new"))
-                known = label.unionByName(moved.select(F.col("class").alias("node"), "class")).distinct()
-                label = written(known.join(moved, "class", "left").select("node", F.coalesce("new", "class").alias("class")).distinct(), "neardup-labels")
-            rest = rest.drop("class").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        # Keys whose remaining texts are in several classes go on.
-        rest = written(rest, "neardup-rest")
-        open_keys = rest.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("band", "key", "n")
-        state = written(rest.join(open_keys, ["band", "key"]), "neardup-state")
-        if state.isEmpty():
-            return label
-        centres *= 4
+    state = state.join(degree, "node")
+    best = state.groupBy("band", "key").agg(F.max_by("node", F.struct("degree", (-F.col("node.id")).alias("i"), F.col("node.t"))).alias("centre"))
+    rest, known = _met(state.drop("n", "degree"), best, body, "s1")
+    label = _relabelled(None, known.where(enough).select("a", "b"))
+    state = _open(rest, label)
+    if state.isEmpty():
+        return label
+    # Texts whose shareable weight is too small for any partner of their key leave.
+    share = state.join(unshared(state.select("node").distinct(), body), "node", "left").withColumn("share", F.col("size") - F.coalesce("alone", F.lit(0.0)))
+    limit = threshold - 1e-9
+    able = share.where(F.col("share") >= limit * (F.greatest("least", "share") + F.col("size") - F.col("share"))).drop("alone", "least", "class")
+    state = _open(able, label)
+    if state.isEmpty():
+        return label
+    best = state.groupBy("band", "key").agg(F.min_by("node", F.struct("s1", "node")).alias("centre"))
+    rest, known = _met(state.drop("class", "least"), best, body, "s2")
+    label = _relabelled(label, known.where(enough).select("a", "b"))
+    state = _open(rest, label)
+    if state.isEmpty():
+        return label
+    state = state.join(texts.select("node", "bits", "keys"), "node")
+    side = lambda x: state.select("band", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "class", "size", "bits", "keys", "s1", "s2")])
+    near = lambda c: F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) <= 1 - limit
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(BITMAP)])
+    common = (F.col("size_x") + F.col("size_y") - differ) / 2
+    # A pair meets in the first of the keys that it shares only; where it is missing there, it has been compared with a
+    # centre or ruled out.
+    before = reduce(lambda a, b: a | b, [(F.col("band") > k) & (F.col("keys_x")[k] == F.col("keys_y")[k]) for k in range(BANDS - 1)])
+    possible = (F.col("node_x") < F.col("node_y")) & (F.col("class_x") != F.col("class_y")) & near("s1") & near("s2") & (common >= limit * (F.col("size_x") + F.col("size_y") - common)) & ~before
+    x, y = side("x"), side("y").withColumnsRenamed({"band": "band_y", "key": "key_y"})
+    pairs = x.join(y, (F.col("band") == F.col("band_y")) & (F.col("key") == F.col("key_y")) & possible)
+    known = written(similar(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), body), "neardup-similar")
+    return _relabelled(label, known.where(enough).select("a", "b"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -225,10 +304,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(band_keys(base), "neardup-signed")
     compared = signed.where((F.size("keys") > 0) & F.col("doc_id").isNotNull())
     # One row for each text: equal texts have equal keys, and the aggregation combines before its shuffle.
-    texts = compared.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    texts = compared.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     texts = written(texts.withColumn("node", F.struct(F.col("rep").alias("id"), F.col("t1").alias("t"))), "neardup-texts")
     nodes = base.where(F.col("doc_id").isNotNull()).select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("node"), "text")
-    label = text_classes(texts.select("node", "keys"), nodes, threshold)
+    label = text_classes(texts.select("node", "size", "bits", "keys"), nodes, threshold)
     found = texts.select("t1", "t2", "node", "copies")
     if label is not None:
         found = found.join(label, "node", "left").select("t1", "t2", "copies", F.coalesce("class", "node").getField("id").alias("class_id"))
