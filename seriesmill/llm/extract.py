@@ -1,7 +1,7 @@
 """Main text of web pages: the maximum-scoring contiguous run of tokens.
 
-A page is a sequence of word and tag tokens. A word's score depends on the element it stands in, a tag's on its name;
-both are log-odds fitted to labelled pages, where the label of a token is whether it lies in the page's main element
+A page is a sequence of word and tag tokens. A word's score depends on the element it stands in, a tag's on its name,
+or on the boilerplate that either stands in; all are log-odds fitted to labelled pages, where the label of a token is whether it lies in the page's main element
 (<article> or <main>). A linear scan finds the best contiguous region. Within the region, blocks of navigation, forms,
 adverts, comments and the like are left out, and the rest becomes the text.
 """
@@ -49,7 +49,12 @@ class Weights:
 
 
 #: Used where no labelled page is at hand.
-DEFAULT = Weights({"p": 1.0, "h1": 1.0, "a": -1.0, "boilerplate": -2.0}, {"p": -0.2, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "br": -0.1, "h1": 0.5, "article": 3.0, "main": 3.0, "/article": -3.0, "/main": -3.0}, 0.5, -1.0)
+_PLAIN = "p b i em strong br h1 h2 h3 ul ol li blockquote span".split()
+DEFAULT = Weights(
+    {"p": 1.0, "h1": 1.0, "a": -0.2, "boilerplate": -2.0, "inner": 0.0},
+    {t: -0.1 for n in _PLAIN for t in (n, "/" + n)} | {"article": 3.0, "main": 3.0, "/article": -3.0, "/main": -3.0, "inner tag": 0.0, "boilerplate tag": -1.0},
+    0.5, -1.0,
+)
 
 
 def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
@@ -64,7 +69,7 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(kind, value, context, within main, block boundary): kind 'tag' with its name ('/' first for an end), or 'text'
-    with the raw characters between two tags. context: the nearest block or link element, or 'boilerplate'."""
+    with the raw characters between two tags. context: the nearest block or link element, 'boilerplate', or 'inner' for boilerplate within the main element."""
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
     at, n = 0, len(page)
 
@@ -73,7 +78,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             return "", False
         name, bad, main = stack[-1]
         if bad:
-            return "boilerplate", main
+            return "inner" if main else "boilerplate", main
         for name, _, _ in reversed(stack):
             if name == "a" or name in BLOCKS:
                 return name, main
@@ -129,6 +134,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         yield "tag", name, c, main, name in BLOCKS
 
 
+def tag_feature(value: str, context: str) -> str:
+    return f"{context} tag" if context in ("boilerplate", "inner") else value
+
+
 def counts(page: str) -> Counter:
     """(kind, feature, within main): number, over a page's tokens; empty for a page without a main element."""
     out: Counter = Counter()
@@ -137,7 +146,7 @@ def counts(page: str) -> Counter:
             if k := len(_WORD.findall(value)):
                 out["word", context, main] += k
         else:
-            out["tag", value, main] += 1
+            out["tag", tag_feature(value, context), main] += 1
     return out if any(k[2] for k in out) else Counter()
 
 
@@ -177,12 +186,12 @@ def main_text(page: str | None, weights: Weights = DEFAULT) -> str:
         if kind == "text":
             scores.append(len(_WORD.findall(value)) * weights.word.get(context, weights.word_default))
         else:
-            scores.append(weights.tag.get(value, weights.tag_default))
+            scores.append(weights.tag.get(tag_feature(value, context), weights.tag_default))
     start, end = best_region(scores)
     blocks, now = [], []
     for kind, value, context, _, boundary in seq[start:end]:
         if kind == "text":
-            if context != "boilerplate":
+            if context not in ("boilerplate", "inner"):
                 now.append(value)
         elif boundary:
             blocks.append("".join(now))
