@@ -67,7 +67,8 @@ def acf(v: np.ndarray, most: int | None = None) -> dict:
 def _harmonic_fit(v: np.ndarray, period: float, harmonics: int) -> float:
     """Share of the variance that a harmonic regression explains."""
     t = 2 * np.pi * np.arange(len(v)) / period
-    X = np.column_stack([np.ones(len(v)), *[f(k * t) for k in range(1, harmonics + 1) for f in (np.cos, np.sin)]])
+    top = max(1, min(harmonics, int(period / 2)))  # higher ones would be aliases of lower ones
+    X = np.column_stack([np.ones(len(v)), *[f(k * t) for k in range(1, top + 1) for f in (np.cos, np.sin)]])
     rest = v - X @ np.linalg.lstsq(X, v, rcond=None)[0]
     total = ((v - v.mean()) ** 2).sum()
     return float(1 - rest @ rest / total) if total > EPS else 0.0
@@ -76,11 +77,14 @@ def _harmonic_fit(v: np.ndarray, period: float, harmonics: int) -> float:
 def regression(v: np.ndarray, longest: int | None = None, candidates: int = 50, harmonics: int = 3) -> dict:
     _need(v, 8)
     grid = np.linspace(2, min(longest or len(v) / 2, len(v) / 2), candidates)
-    r2 = np.array([_harmonic_fit(v, p, harmonics) for p in grid])
-    i = int(np.flatnonzero(r2 >= 0.8 * r2.max())[0])  # multiples of a period fit as well; take the first region's best
-    while i + 1 < len(r2) and r2[i + 1] > r2[i]:
-        i += 1
-    return _estimate(grid[i], r2[i], r2[i], "regression")
+    fits = [(_harmonic_fit(v, p, harmonics), p) for p in grid]
+    best = max(fits)
+    for k in (1, 2, 3):  # a multiple of the period fits as well, through its higher harmonics
+        fits += [(_harmonic_fit(v, p, harmonics), p) for p in np.linspace(0.95, 1.05, 21) * best[1] / k if p >= 2]
+    top = max(fits)[0]
+    first = min(p for f, p in fits if f >= top - 0.1 * abs(top))
+    r2, period = max((f, p) for f, p in fits if p <= 1.1 * first)
+    return _estimate(period, r2, r2, "regression")
 
 
 def multiple(v: np.ndarray, most: int = 5, min_confidence: float = 2.0, min_strength: float = 0.1) -> list[dict]:

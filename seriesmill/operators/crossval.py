@@ -97,8 +97,7 @@ def cv_split_folds(df: DataFrame, date: str, training_end_times: list, horizon:
     The number of folds is the caller's list's; the source is read once for its first date.
     """
     o, f = _options(params, {"gap": 0, "embargo": 0}), fq.parse(freq)
-    kind = df.schema[date].dataType
-    first = df.agg(F.min(F.date_trunc("second", F.col(date).cast("timestamp_ntz"))).alias("_first"))
+    first = df.agg(F.min(F.date_trunc("second", F.col(date).cast("timestamp_ntz")).cast("timestamp_ntz")).alias("_first"))
     ends = F.array(*[F.lit(_as_time(t)).cast("timestamp_ntz") for t in sorted(map(_as_time, training_end_times))])
     move = lambda at, k: _shift_time(at, f, k)
     rows = first.select("_first", F.posexplode(ends).alias("_k", "train_end"))
@@ -108,7 +107,6 @@ def cv_split_folds(df: DataFrame, date: str, training_end_times: list, horizon:
         start = F.greatest("_first", F.coalesce(move(before, o["embargo"]), F.col("_first")))
     else:
         start = F.col("_first")
-    del kind
     return rows.select("fold_id", start.alias("train_start"), "train_end", "test_start", "test_end", F.lit(horizon).cast("long").alias("horizon"), F.lit(o["gap"]).cast("long").alias("gap"), F.lit(o["embargo"]).cast("long").alias("embargo"))
 
 
@@ -121,7 +119,7 @@ def _shift_time(at: Column, f: fq.Frequency, k: int) -> Column:
 def cv_split_index(df: DataFrame, group: str, date: str, training_end_times: list, horizon: int, freq: str | int, params: dict | None = None) -> DataFrame:
     """group_col, date_col, fold_id, split of the distinct (group, date): folds by date, without the target."""
     o, f = _options(params, {"gap": 0, "embargo": 0, "window_type": "expanding", "min_train_size": 1}), fq.parse(freq)
-    at = F.date_trunc("second", F.col(date).cast("timestamp_ntz"))
+    at = F.date_trunc("second", F.col(date).cast("timestamp_ntz")).cast("timestamp_ntz")
     src = df.select(F.col(group).alias("group_col"), at.alias("date_col")).distinct()
     folds = []
     times = sorted(map(_as_time, training_end_times))

@@ -211,6 +211,19 @@ _BT_SQL = "WITH d AS {daily}, g AS (SELECT ds, row_number() OVER (ORDER BY ds) -
 simple("backtest", t.daily, lambda d: forecast.backtest_auto_by(d, "id", "ds", "y", 3, 2, "Naive", metric="mae").select("fold_id", "id", "ds", F.round("yhat", 4).alias("yhat"), "actual", F.round("abs_error", 4).alias("abs_error"), F.round("fold_metric_score", 4).alias("fold_metric_score")), _BT_SQL)
 simple("backtest_theta", t.daily, lambda d: forecast.backtest_auto_by(d, "id", "ds", "y", 3, 3, "Theta", {"gap": 1, "window_type": "sliding", "min_train_size": 15}, "smape"))
 
+# ------------------------------------------------------------------ many series
+
+
+def _filled(d: DataFrame) -> DataFrame:
+    """Monthly demand of every part, months without any as 0."""
+    return prep.fill_nulls_const(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", 0.0).select("id", "ds", F.col("filled_value").alias("y"))
+
+
+for _name in ("AutoETS", "CrostonSBA", "Theta"):
+    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(_filled(d), "id", "ds", "y", n, 6, "1mo", {"seasonal_period": 12} if n == "AutoETS" else None))
+simple("demand_stats", t.demand, lambda d: stats.stats_by(_filled(d), "id", "ds", "y", "1mo"))
+simple("demand_features", t.demand, lambda d: stats.features_by(_filled(d), "id", "ds", "y"))
+
 # ------------------------------------------------------------------ conformal
 
 def _level_join(d: DataFrame) -> DataFrame:
@@ -218,10 +231,10 @@ def _level_join(d: DataFrame) -> DataFrame:
 
 
 _RANK = "WITH p0 AS (SELECT id, ds, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT id, abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT id, list(r ORDER BY r) AS l, count(*) AS n FROM p GROUP BY id), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a), s AS (SELECT id, l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)) AS s, n FROM b) "
-simple("conformal_by", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f").select("group_col", F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "method", F.size("lower").alias("n")), _RANK + "SELECT id AS group_col, round(s, 4) AS conformity_score, 0.9 AS coverage, 'split_conformal' AS method, CAST(n AS INTEGER) AS n FROM s")
+simple("conformal_by", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f").select("group_col", F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "method", F.size("lower").alias("n")), _RANK + "SELECT id AS group_col, round(s, 4) AS conformity_score, CAST(0.9 AS DOUBLE) AS coverage, 'split_conformal' AS method, CAST(n AS INTEGER) AS n FROM s")
 simple("conformal_rows", _pairs, lambda d: conformal.conformal_rows_by(_level_join(d), "id", "y", "f", "f").withColumns({c: F.round(c, 4) for c in ("lower", "upper")}), _RANK + "SELECT p0.id, ds, y, f, round(f - s, 4) AS lower, round(f + s, 4) AS upper FROM p0 JOIN s USING (id) WHERE f IS NOT NULL")
 simple("conformal_asymmetric", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f", {"method": "asymmetric", "alpha": 0.2}))
-simple("conformal_calibrate", _pairs, lambda d: conformal.conformal_calibrate(_level_join(d), "y", "f").select(F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "n_residuals"), "WITH p0 AS (SELECT id, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM p), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a) SELECT round(l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)), 4) AS conformity_score, 0.9 AS coverage, n AS n_residuals FROM b")
+simple("conformal_calibrate", _pairs, lambda d: conformal.conformal_calibrate(_level_join(d), "y", "f").select(F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "n_residuals"), "WITH p0 AS (SELECT id, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM p), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a) SELECT round(l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)), 4) AS conformity_score, CAST(0.9 AS DOUBLE) AS coverage, n AS n_residuals FROM b")
 simple("conformal_apply_by", _pairs, lambda d: conformal.conformal_apply_by(_level_join(d), "id", "f", 5.0).select("group_col", F.round(F.col("lower")[0], 4).alias("lower"), F.round(F.element_at("upper", -1), 4).alias("upper")), "WITH p AS (SELECT id, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}) SELECT id AS group_col, round(min(f) - 5, 4) AS lower, round(max(f) + 5, 4) AS upper FROM p GROUP BY id")
 simple("interval_width_by", _pairs, lambda d: conformal.interval_width_by(d, "id", "lo", "hi").withColumn("mean_width", F.round("mean_width", 4)), _P + "SELECT id AS group_col, round(avg(hi - lo), 4) AS mean_width, count(*) AS n_intervals FROM p WHERE f IS NOT NULL GROUP BY id")
 
