@@ -458,8 +458,8 @@ def laplace(v, h, m, variant="auto"):
     n = len(v)
     leaves: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for a in (0.05, 0.1, 0.3, 0.6, 0.9):
-        f = es.run(v, es.Spec("A", "N", False, "N"), 1, np.array([a]), *(np.zeros(1),) * 2, np.ones(1), keep=True)
-        leaves[f"ema({a})"] = np.array(f[4][0])[:, 0], np.full(h, f[1][0])
+        f = es.fit(v, es.Spec("A", "N", False, "N"), fixed={"alpha": a})
+        leaves[f"ema({a})"] = f.fitted, f.forecast(h)
     k = np.arange(n)
     slope = np.where(k > 1, (np.r_[v[0], v[:-1]] - v[0]) / np.maximum(k - 1, 1), 0.0)
     leaves["drift"] = np.r_[v[0], v[:-1]] + slope, drift(v, h)
@@ -582,6 +582,49 @@ def point_forecast(v: np.ndarray, h: int, o: Options) -> tuple[np.ndarray, str]:
     return p, name
 
 
+def _batched(o: Options, n: int, m: int):
+    """What fits many series at once for a model: function of (series, period), or None."""
+    S, seasonal = es.Spec, m > 1 and n >= 2 * m
+    fixed = {"SESOptimized": (S("A", "N", False, "N"), {}), "Holt": (S("A", "A", False, "N"), {})}
+    if n >= 2 * max(m, 2):
+        fixed |= {"HoltWinters": (S("A", "A", False, "A"), {}), "SeasonalES": (S("A", "N", False, "A"), {"alpha": 0.3, "gamma": 0.1}), "SeasonalESOptimized": (S("A", "N", False, "A"), {})}
+    if o.model == "ETS" and not o.spec and n >= 10:
+        fixed["ETS"] = (S("A", "A", False, "A" if seasonal else "N"), {})
+    if o.model == "AutoETS":
+        return lambda x: es.auto_many(x, m, o.model_pool)
+    if o.model in fixed:
+        spec, kept = fixed[o.model]
+        return lambda x: es.fit_many(x, spec, max(m, 2) if spec.season != "N" else 1, kept, details=False)
+    return None
+
+
+def point_forecasts(many: list[np.ndarray], horizons: list[int], o: Options) -> list[tuple[np.ndarray, str] | None]:
+    """point_forecast of many series, None where it fails. Exponential smoothing of equally long series with the same
+    period is fitted for all of them together."""
+    out: list = [None] * len(many)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, v in enumerate(many):
+        if len(v) >= 3:
+            groups.setdefault((len(v), season_of(v, o)), []).append(i)
+    if o.seasonal_period > 1 and o.model in NOT_SEASONAL and groups:
+        raise InputError(f"model {o.model} does not use seasonal_period")
+    for (n, m), own in groups.items():
+        together = _batched(o, n, m) if len(own) > 1 else None
+        fits = together([many[i] for i in own]) if together else [None] * len(own)
+        for i, f in zip(own, fits):
+            try:
+                if f is None:
+                    out[i] = point_forecast(many[i], horizons[i], o)
+                else:
+                    p = f.forecast(horizons[i])
+                    out[i] = (p, f"AutoETS({f.spec.name})" if o.model == "AutoETS" else o.model) if np.isfinite(p).all() else None
+            except InputError:
+                raise
+            except Exception:
+                out[i] = None
+    return out
+
+
 def bounds(p: np.ndarray, v: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
     """The interval is the same for every model: a random walk of the history's standard deviation."""
     z = next((z for least, z in Z if level >= least), 1.0)

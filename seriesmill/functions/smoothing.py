@@ -97,25 +97,27 @@ def start(v: np.ndarray, spec: Spec, m: int) -> tuple[float, float, np.ndarray]:
     return slope[1] - slope[0], slope[0], np.zeros(0)
 
 
-def run(v: np.ndarray, spec: Spec, m: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, phi: np.ndarray, first=None, keep: bool = False):
-    """Losses (-2 log likelihood up to a constant), final states and, with keep, one-step forecasts and states, for
-    parameter arrays of equal length."""
-    n, p = len(v), len(a)
-    l0, b0, s0 = first or start(v, spec, m)
-    level, trend = np.full(p, l0), np.full(p, b0)
-    season = np.tile(s0, (p, 1)).T.copy() if len(s0) else None
-    sq, logs = np.zeros(p), np.zeros(p)
+def run(v: np.ndarray, spec: Spec, m: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, phi: np.ndarray, first, keep: bool = False):
+    """Losses (-2 log likelihood up to a constant), final states and, with keep, one-step forecasts and states.
+
+    v is (steps, series); the parameters are (candidates, series), and so are all states; first is the start of each
+    series: level and trend (series), seasonal figures (m, series).
+    """
+    n = len(v)
+    l0, b0, s0 = first
+    level, trend = np.broadcast_to(l0, a.shape).copy(), np.broadcast_to(b0, a.shape).copy()
+    season = np.broadcast_to(s0[:, None], (len(s0), *a.shape)).copy() if len(s0) else None
+    sq, logs, ab = np.zeros(a.shape), 0.0, a * b
     fits, levels, trends, seasons = [], [], [], []
     for t in range(n):
         y = v[t]
         if spec.trend == "N":
             base = level
-            damp = trend
         elif spec.trend == "A":
-            damp = phi * trend
+            damp = phi * trend if spec.damped else trend
             base = level + damp
         else:
-            damp = np.abs(trend) ** phi
+            damp = np.abs(trend) ** phi if spec.damped else trend
             base = level * damp
         s = None if season is None else season[t % m]
         hat = base if s is None else base + s if spec.season == "A" else base * s
@@ -125,24 +127,24 @@ def run(v: np.ndarray, spec: Spec, m: int, a: np.ndarray, b: np.ndarray, g: np.n
         else:
             safe = np.where(np.abs(hat) < TINY, TINY, hat)
             sq += ((y - hat) / safe) ** 2
-            logs += np.log(np.abs(safe))
+            logs = logs + np.log(np.abs(safe))
         if keep:
             fits.append(hat.copy())
         # Updates in the observation form, which is the same for both kinds of error.
         clean = y if s is None else y - s if spec.season == "A" else y / np.where(np.abs(s) < TINY, TINY, s)
-        new = base + a * (clean - base)
+        off = clean - base
         if spec.trend == "A":
-            trend = damp + a * b * (clean - base)
+            trend = damp + ab * off
         elif spec.trend == "M":
-            trend = np.clip(damp + a * b * (clean - base) / np.where(np.abs(level) < TINY, TINY, level), 0.5, 2.0)
+            trend = np.clip(damp + ab * off / np.where(np.abs(level) < TINY, TINY, level), 0.5, 2.0)
+        level = base + a * off
         if season is not None:
             ratio = y - base if spec.season == "A" else y / np.where(np.abs(base) < TINY, TINY, base)
             season[t % m] = s + g * (ratio - s)
-        level = new
         if keep:
             levels.append(level.copy())
             trends.append(trend.copy())
-            seasons.append(np.zeros(p) if season is None else season[t % m].copy())
+            seasons.append(np.zeros(a.shape) if season is None else season[t % m].copy())
     with np.errstate(all="ignore"):
         loss = n * np.log(np.maximum(sq, TINY)) + 2 * logs
     if season is not None:  # the next step's figure first
@@ -159,38 +161,55 @@ def _points(spec: Spec, count: int, rng) -> list[np.ndarray]:
     return [alpha, beta, gamma, phi]
 
 
-def fit(v: np.ndarray, spec: Spec, m: int = 1, fixed: dict | None = None, first=None, count: int = 80, rounds: int = 4) -> Fit:
-    """The best parameters found by shrinking random search (a fixed seed); `fixed` ones stay. ValueError if the series
-    does not allow the specification."""
-    n = len(v)
-    if spec.season != "N" and (m < 2 or n < 2 * m):
-        raise ValueError("a seasonal model needs two seasons")
-    if "M" in (spec.error, spec.trend, spec.season) and v.min() <= 0:
-        raise ValueError("a multiplicative model needs positive values")
+def possible(v: np.ndarray, spec: Spec, m: int) -> bool:
+    """Whether a series allows the specification: two seasons, and positive values for a multiplicative part."""
+    return not ((spec.season != "N" and (m < 2 or len(v) < 2 * m)) or ("M" in (spec.error, spec.trend, spec.season) and v.min() <= 0))
+
+
+def fit_many(series: list[np.ndarray], spec: Spec, m: int = 1, fixed: dict | None = None, count: int = 80, rounds: int = 4, details: bool = True) -> list[Fit]:
+    """Fits of equally long series, all of which allow the specification: the best parameters of each, found by a
+    shrinking random search (a fixed seed) that runs over all series at once; `fixed` parameters stay."""
+    v = np.array(series).T
+    n, k_series = v.shape
     rng, fixed = np.random.default_rng(13), fixed or {}
     names = ["alpha", "beta", "gamma", "phi"]
-    first = first or start(v, spec, m)
+    starts = [start(x, spec, m) for x in series]
+    first = np.array([s[0] for s in starts]), np.array([s[1] for s in starts]), np.array([s[2] for s in starts]).T
     free = [k for k, on in zip(names, (True, spec.trend != "N", spec.season != "N", spec.damped)) if on and k not in fixed]
     pts = _points(spec, count if free else 1, rng)
-    pts = [np.full(len(pts[0]), fixed[k]) if k in fixed else p for k, p in zip(names, pts)]
-    best, width = None, 0.25
+    pts = [np.broadcast_to(np.full(len(p), fixed[k]) if k in fixed else p, (k_series, len(p))).T for k, p in zip(names, pts)]
+    best, at, width = np.full(k_series, np.inf), [p[0].copy() for p in pts], 0.25
     for _ in range(rounds if free else 1):
         loss = run(v, spec, m, *pts, first=first)[0]
-        i = int(np.argmin(loss))
-        if best is None or loss[i] < best[0]:
-            best = (loss[i], [p[i] for p in pts])
-        low, high = {"phi": 0.8}, {"phi": 0.98}
-        pts = [np.clip(x + width * rng.uniform(-1, 1, count // 2), low.get(k, 1e-3), high.get(k, 0.999)) if k in free else np.full(count // 2, x) for k, x in zip(names, best[1])]
+        i = np.argmin(loss, axis=0)
+        low = np.take_along_axis(loss, i[None], 0)[0]
+        better = low < best
+        best = np.where(better, low, best)
+        at = [np.where(better, np.take_along_axis(p, i[None], 0)[0], x) for p, x in zip(pts, at)]
+        floor, top = {"phi": 0.8}, {"phi": 0.98}
+        step = {k: width * rng.uniform(-1, 1, (count // 2, 1)) for k in free}
+        pts = [np.clip(x[None] + step[k], floor.get(k, 1e-3), top.get(k, 0.999)) if k in free else np.broadcast_to(x, (count // 2, k_series)) for k, x in zip(names, at)]
         width /= 3
-    p = [np.array([x]) for x in best[1]]
-    loss, level, trend, season, (fits, levels, trends, seasons) = run(v, spec, m, *p, first=first, keep=True)
+    loss, level, trend, season, (fits, levels, trends, seasons) = run(v, spec, m, *(x[None] for x in at), first=first, keep=details)
     k = len(free) + 1 + (spec.trend != "N") + (m if spec.season != "N" else 0) + 1
-    aic = float(loss[0]) + 2 * k
-    return Fit(
-        spec, m, *(float(x[0]) for x in p), float(level[0]), float(trend[0]), season[:, 0] if season is not None else np.zeros(0), float(loss[0]), aic,
-        aic + 2 * k * (k + 1) / max(n - k - 1, 1), float(loss[0]) + k * math.log(n), np.array(fits)[:, 0],
-        {"level": np.array(levels)[:, 0], "trend": np.array(trends)[:, 0], "season": np.array(seasons)[:, 0]},
-    )
+    out = []
+    for i in range(k_series):
+        aic = float(loss[0, i]) + 2 * k
+        part = lambda x: np.array(x)[:, 0, i] if details else np.zeros(0)  # noqa: B023, E731
+        out.append(
+            Fit(
+                spec, m, *(float(x[i]) for x in at), float(level[0, i]), float(trend[0, i]), season[:, 0, i] if season is not None else np.zeros(0), float(loss[0, i]), aic,
+                aic + 2 * k * (k + 1) / max(n - k - 1, 1), float(loss[0, i]) + k * math.log(n), part(fits), {"level": part(levels), "trend": part(trends), "season": part(seasons)},
+            )
+        )
+    return out
+
+
+def fit(v: np.ndarray, spec: Spec, m: int = 1, fixed: dict | None = None, count: int = 80, rounds: int = 4) -> Fit:
+    """fit_many of one series; ValueError if it does not allow the specification."""
+    if not possible(v, spec, m):
+        raise ValueError("the series does not allow the specification")
+    return fit_many([v], spec, m, fixed, count, rounds)[0]
 
 
 POOLS = ("complete", "no_multiplicative_trend", "damped_trend_only", "match_error_seasonal", "reduced")
@@ -214,16 +233,22 @@ def pool(name: str, positive: bool, seasonal: bool) -> list[Spec]:
     return out
 
 
+def auto_many(series: list[np.ndarray], m: int, pool_name: str = "reduced") -> list[Fit]:
+    """Of each of equally long series the specification of the pool with the least AICc."""
+    seasonal = m > 1 and len(series[0]) >= 2 * m
+    best: list[Fit | None] = [None] * len(series)
+    for spec in pool(pool_name, True, seasonal):
+        own = [i for i, v in enumerate(series) if possible(v, spec, m)]
+        for i, f in zip(own, fit_many([series[i] for i in own], spec, m, count=40, rounds=3, details=False) if own else ()):
+            if np.isfinite(f.aicc) and (best[i] is None or f.aicc < best[i].aicc):
+                best[i] = f
+    return best
+
+
 def auto(v: np.ndarray, m: int, pool_name: str = "reduced") -> Fit:
-    """The specification of the pool with the least AICc."""
-    seasonal = m > 1 and len(v) >= 2 * m
-    fits = []
-    for spec in pool(pool_name, v.min() > 0, seasonal):
-        try:
-            fits.append(fit(v, spec, m, count=40, rounds=3))
-        except ValueError:
-            continue
-    return min(fits, key=lambda f: f.aicc)
+    """auto_many of one series, with the fitted values and states."""
+    f = auto_many([v], m, pool_name)[0]
+    return fit(v, f.spec, m, count=40, rounds=3)
 
 
 # ------------------------------------------------------------------ theta

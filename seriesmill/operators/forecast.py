@@ -83,6 +83,19 @@ def _kernel(values: np.ndarray, *more, h: int, o: m.Options, in_sample: bool = F
     return out
 
 
+def _kernels(values: list[np.ndarray], steps: list[np.ndarray] | None = None, h: int = 0, o: m.Options = None) -> list[dict | None]:
+    """_kernel of many series at once, without regressors; steps, if given, are as long as each forecast shall be."""
+    many = [m.interpolate(v) for v in values]
+    out = []
+    for v, got in zip(many, m.point_forecasts(many, [h] * len(many) if steps is None else [len(x) for x in steps], o)):
+        if got is None:
+            out.append(None)
+            continue
+        lo, hi = m.bounds(got[0], v, o.confidence_level)
+        out.append({"yhat": got[0].tolist(), "lower": lo.tolist(), "upper": hi.tolist(), "model_name": got[1]})
+    return out
+
+
 def _ahead(kind, freq: fq.Frequency) -> Column:
     """array<struct<forecast_step, ds, yhat, ...>> from _r and the last of _d."""
     last = F.element_at("_d", -1)
@@ -99,7 +112,7 @@ def _check(df: DataFrame, date: str, horizon: int):
 def forecast_by(df: DataFrame, group: str, date: str, target: str, method: str, horizon: int, freq: str | int = "1d", params: dict | None = None) -> DataFrame:
     """group, forecast_step, ds, yhat, yhat_lower, yhat_upper, model_name."""
     kind, o, f = _check(df, date, horizon), options(method, params), fq.parse(freq)
-    got = series.apply(series.collect(df, group, date, target), ["_v"], partial(_kernel, h=horizon, o=o), _POINTS)
+    got = series.apply(series.collect(df, group, date, target), ["_v"], partial(_kernels, h=horizon, o=o), _POINTS, together=True)
     return got.where(F.col("_r").isNotNull()).select(group, F.inline(_ahead(kind, f)))
 
 
@@ -270,13 +283,9 @@ def cv_forecast_by(folds: DataFrame, group: str, date: str, target: str, method:
         o.confidence_level = 0.0
     rows = folds.where(F.col(date).isNotNull()).select("fold_id", group, F.col("split"), F.struct(F.col(date).alias("d"), F.coalesce(F.col(target).cast("double"), F.lit(0.0)).alias("v")).alias("s"))
     part = lambda name: F.array_sort(F.collect_list(F.when(F.col("split") == name, F.col("s"))))
-    listed = rows.groupBy("fold_id", group).agg(part("train").alias("a"), part("test").alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    listed = series.spread(rows, ["fold_id", group]).groupBy("fold_id", group).agg(part("train").alias("a"), part("test").alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
     listed = listed.select("fold_id", group, F.col("a.v").alias("_v"), F.col("b.d").alias("_d"), F.col("b.v").alias("_y"))
-
-    def kernel(v: np.ndarray, y: np.ndarray) -> dict:
-        return _kernel(v, h=len(y), o=o)
-
-    got = series.apply(listed, ["_v", "_y"], kernel, _POINTS).where(F.col("_r").isNotNull())
+    got = series.apply(listed, ["_v", "_y"], partial(_kernels, o=o), _POINTS, together=True).where(F.col("_r").isNotNull())
     z = F.arrays_zip(F.col("_d").alias("d"), F.col("_y").alias("y"), F.col("_r.yhat").alias("yhat"), F.col("_r.lower").alias("lower"), F.col("_r.upper").alias("upper"))
     out = got.select("fold_id", group, F.col("_r.model_name").alias("model_name"), F.inline(z))
     return out.select("fold_id", group, F.col("d").alias(date), F.col("y").alias(target), F.lit("test").alias("split"), "yhat", F.col("lower").alias("yhat_lower"), F.col("upper").alias("yhat_upper"), "model_name")

@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import frequency as fq
 
-#: Series a batch: their arrays are in a worker's memory together.
-BATCH = 256
+#: Series a batch: their arrays are in a worker's memory together. Kernels of many series take larger ones.
+BATCH, BATCH_TOGETHER = 256, 2048
 
 
 def collect(df: DataFrame, group: list[str] | str | None, date: str, value: str, extra: dict[str, str] | None = None) -> DataFrame:
@@ -31,10 +31,16 @@ def collect(df: DataFrame, group: list[str] | str | None, date: str, value: str,
     v = F.expr(f"try_cast(`{value}` as double)") if text else F.col(value).cast("double")
     more = {k: F.col(c).cast("double") for k, c in (extra or {}).items()}
     rows = df.where(F.col(date).isNotNull()).select(*keys, F.struct(F.col(date).alias("d"), v.alias("v"), *[c.alias(k) for k, c in more.items()]).alias("_s"))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    listed = spread(rows, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
     return listed.select(*keys, F.col("_s.d").alias("_d"), F.col("_s.v").alias("_v"), *[F.col(f"_s.{k}").alias(k) for k in more]).where(F.size("_d") > 0)
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The exchange that the grouping needs anyway, but with a stated number of partitions: rows are few bytes next to
+    the work that a kernel does on them, and adaptive execution would put them into a few tasks by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else rows
+
+
 def to_numpy(column: pa.Array) -> list[np.ndarray]:
     """Double arrays of a list column; a null element is NaN, a null list is empty."""
     flat = column.flatten().cast(pa.float64())
@@ -43,10 +49,11 @@ def to_numpy(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def apply(df: DataFrame, columns: list[str], kernel: Callable[..., dict | None], schema: str, out: str = "_r", strict: tuple = (ValueError,)) -> DataFrame:
+def apply(df: DataFrame, columns: list[str], kernel: Callable, schema: str, out: str = "_r", together: bool = False) -> DataFrame:
     """df with struct column `out`: kernel(*arrays of `columns`, as numpy) as a dict by field name.
 
-    Errors of the types in `strict` that carry the attribute `fatal` stop the query; all others give null.
+    An error with the attribute `fatal` stops the query; all others give null. With `together` the kernel takes lists
+    of arrays and returns a list of dicts or None, for the series of a batch at once.
     """
     kept = df.schema
     struct = T._parse_datatype_string(schema)
@@ -55,11 +62,12 @@ def apply(df: DataFrame, columns: list[str], kernel: Callable[..., dict | None],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, BATCH):
-                b = whole.slice(i, BATCH)
+            size = BATCH_TOGETHER if together else BATCH
+            for i in range(0, whole.num_rows, size):
+                b = whole.slice(i, size)
                 arrays = [to_numpy(b.column(k)) if pa.types.is_list(b.column(k).type) or pa.types.is_large_list(b.column(k).type) else b.column(k).to_pylist() for k in at]
-                rows = []
-                for args in zip(*arrays):
+                rows = list(kernel(*arrays)) if together else []
+                for args in () if together else zip(*arrays):
                     try:
                         rows.append(kernel(*args))
                     except Exception as e:
