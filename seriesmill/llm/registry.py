@@ -65,5 +65,31 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_harmonic_packing, op2_multi_index_hashing, op3_pii, op4_tool_call_linking, op5_html_extraction, op6_language_id, op7_benchmark_containment, op8_near_duplicates, op9_training_order, op10_substring_dedup, pipeline)}
 
 
+#: Words as the operators take them: runs of bytes other than ASCII white space.
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+_CONTAINED = f"""
+WITH q AS (SELECT item_id, {_WORDS} AS a FROM benchmark),
+n AS (SELECT DISTINCT least(5, len(a)) AS n FROM q WHERE len(a) > 0),
+qs AS (SELECT DISTINCT item_id, least(5, len(a)) AS n, array_to_string(a[i:i + least(5, len(a)) - 1], ' ') AS s FROM q, unnest(range(1, len(a) - least(5, len(a)) + 2)) AS t(i) WHERE len(a) > 0),
+d AS (SELECT doc_id, {_WORDS} AS a FROM documents),
+ds AS (SELECT DISTINCT doc_id, n, array_to_string(a[i:i + n - 1], ' ') AS s FROM d, n, unnest(range(1, len(a) - n + 2)) AS t(i)),
+z AS (SELECT item_id, count(*) AS item_shingles FROM qs GROUP BY 1),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN qs USING (n, s) GROUP BY 1, 2)
+SELECT doc_id, item_id, shared, item_shingles, CAST(shared AS DOUBLE) / item_shingles AS containment FROM m JOIN z USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9
+"""
+
+_SUBSTRING = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS a FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(a) - 48)) AS t(i)),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS f FROM x) WHERE f < doc_id),
+c AS (SELECT DISTINCT doc_id, p FROM r, unnest(range(i, i + 50)) AS t(p)),
+k AS (SELECT w.doc_id, string_agg(a[p], ' ' ORDER BY p) AS kept, count(*) AS n FROM w, unnest(range(1, len(a) + 1)) AS t(p) ANTI JOIN c ON c.doc_id = w.doc_id AND c.p = t.p GROUP BY 1)
+SELECT w.doc_id, len(a) AS n_words, len(a) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that counts every window and every shingle, without buckets or signatures. The other queries need a
+    tokenizer, a trained model or an approximate index; tests/llm compares those with brute force."""
+    return {"op7_benchmark_containment": _CONTAINED, "op10_substring_dedup": _SUBSTRING}
