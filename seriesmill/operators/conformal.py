@@ -6,6 +6,7 @@ the residuals of a group, or, where only a quantile is wanted, rank them with a
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -196,19 +197,48 @@ def conformal_rows_by(df: DataFrame, group: str, actual: str, forecast: str, poi
     return df.join(scores, group, "left").withColumns({"lower": F.col(point_forecast) - F.col("_score"), "upper": F.col(point_forecast) + F.col("_score")}).drop("_score")
 
 
-def conformal_calibrate(df: DataFrame, actual: str, forecast: str, params: dict | None = None) -> DataFrame:
-    """One row: conformity_score, coverage, n_residuals of the whole table.
+def order_statistic(df: DataFrame, column: str, k: int, small: int = 10_000) -> float:
+    """The k-th smallest value (from 0) of a column without null or NaN, exactly.
 
-    The two order statistics that the score lies between are found by exact percentiles, which are merged from
-    partial counts of distinct values, so no task holds all residuals as a list.
+    Approximate percentiles bracket it, counts tell what lies below the bracket, and the bracket shrinks until at most
+    `small` values are left for the driver; every pass is an aggregation, whatever the number of rows.
     """
+    v, inside, below = F.col(column), F.lit(True), 0
+    while True:
+        part = df.where(inside)
+        n = part.count()
+        if n <= small:
+            return sorted(r[0] for r in part.select(v).collect())[k - below]
+        at = (k - below) / (n - 1)
+        a, b = part.agg(F.percentile_approx(v, [max(0.0, at - 2e-4), min(1.0, at + 2e-4)], 10_000)).first()[0]
+        c = part.agg(*[F.count(F.when(x, 1)) for x in (v < a, v <= a, v < b, v <= b)]).first()
+        here = k - below
+        if c[0] <= here < c[1]:
+            return a
+        if c[2] <= here < c[3]:
+            return b
+        if here < c[0]:
+            inside = inside & (v < a)
+        elif here >= c[3]:
+            inside, below = inside & (v > b), below + c[3]
+        else:
+            inside, below = inside & (v > a) & (v < b), below + c[1]
+
+
+def conformal_calibrate(df: DataFrame, actual: str, forecast: str, params: dict | None = None) -> DataFrame:
+    """One row: conformity_score, coverage, n_residuals of the whole table. The score is computed when this is called."""
     alpha = float((params or {}).get("alpha", 0.1))
-    r = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).select(F.abs((F.col(actual) - F.col(forecast)).cast("double")).alias("r"))
-    n = r.count()
-    if not n:
-        return r.agg(F.max("r").alias("conformity_score")).select("conformity_score", F.lit(1 - alpha).alias("coverage"), F.lit(0).cast("long").alias("n_residuals"))
-    level = min(1.0, max(0.0, -(-round((n + 1) * (1 - alpha), 9) // 1) / n))
-    return r.agg(F.percentile("r", level).alias("conformity_score"), F.lit(1 - alpha).alias("coverage"), F.count(F.lit(1)).alias("n_residuals"))
+    if not 0 <= alpha < 1:
+        raise ValueError("alpha lies in [0, 1)")
+    r = df.select(F.abs((F.col(actual) - F.col(forecast)).cast("double")).alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
+    n, score = r.count(), None
+    if n:
+        at = min(1.0, math.ceil(round((n + 1) * (1 - alpha), 9)) / n) * (n - 1)
+        lo = math.floor(at)
+        score = order_statistic(r, "r", lo)
+        if at > lo:
+            score += (order_statistic(r, "r", lo + 1) - score) * (at - lo)
+    return df.sparkSession.createDataFrame([(score, 1 - alpha, n)], "conformity_score double, coverage double, n_residuals long")
 
 
 def conformal_apply_by(df: DataFrame, group: str, forecast: str, score: float) -> DataFrame:

@@ -214,6 +214,14 @@ def test_conformal(spark):
     assert b.lower[0] < 10 < b.upper[0] and b == c.bootstrap_intervals(df, "r", "f", 500).first().intervals
 
 
+def test_order_statistics(spark):
+    rng = np.random.default_rng(2)
+    for v in (rng.normal(size=4000), rng.integers(0, 5, 4000).astype(float), np.r_[np.zeros(3000), rng.random(1000)]):
+        df = spark.createDataFrame([(float(x),) for x in v], "x double").repartition(3)
+        for k in (0, 1, 1999, 3000, 3999):
+            assert conformal.order_statistic(df, "x", k, small=50) == np.sort(v)[k]
+
+
 def test_sql(spark):
     names = sql.register(spark)
     assert len(names) > 30
