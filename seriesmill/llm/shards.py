@@ -120,11 +120,12 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
     placed = rows.mapInArrow(run, "slot long, doc_id long, seq int, n_tokens int, ids binary")
     stride = length * width(end_id)
     placed = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}")).withColumn("byte_offset", (F.col("slot") % shard_sequences) * stride)
-    # Slots are dense, so equal ranges of shards are equal amounts of work; no sampling is needed to find their edges.
+    # Slots are dense, so equal ranges of shards are equal amounts of work: no sampling is needed to find their edges, and
+    # a range's number is its partition.
     shards = -(-total // shard_sequences)
     wanted = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = placed.withColumn("_range", F.expr(f"cast(shard * {wanted} div {shards} as int)"))
-    out = dealt.repartition(wanted, "_range").sortWithinPartitions("slot")
+    out = dealt.repartitionById(wanted, F.col("_range")).sortWithinPartitions("slot")
     return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids")
 
 
