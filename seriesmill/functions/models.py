@@ -193,56 +193,68 @@ def _integrate(v, d, D, s):
     return x, undo
 
 
-def _arma(x, p, q, P, Q, s, constant):
-    """Two-step least squares (Hannan and Rissanen 1982): a long autoregression's residuals stand in for the shocks."""
+def _solve(X, y):
+    """Least squares by the normal equations, with a trace of ridge for collinear columns."""
+    G = X.T @ X
+    return np.linalg.solve(G + 1e-10 * max(np.trace(G), 1e-300) * np.eye(len(G)), X.T @ y)
+
+
+def _shocks(x, most):
+    """Residuals of a long autoregression, which stand in for the shocks (Hannan and Rissanen 1982), and its order."""
     n = len(x)
-    far = max([p, q, P * s, Q * s, 1])
-    long = min(max(far, int(10 * math.log10(n))), n // 3)
+    k = min(max(most, int(10 * math.log10(n))), n // 3)
     e = np.zeros(n)
+    if n - k >= k + 3:
+        X = np.column_stack([np.ones(n - k), *_lags(x, range(1, k + 1), k)])
+        e[k:] = x[k:] - X @ _solve(X, x[k:])
+    return e, k
+
+
+def _arma(x, shocks, p, q, P, Q, s, constant):
+    """Two-step least squares of a seasonal ARMA model."""
+    n, (e, long) = len(x), shocks
+    far = max([p, P * s, 1])
     if q or Q:
-        if n - long < long + 3:
+        if not e.any():
             return None
-        X = np.column_stack([np.ones(n - long), *_lags(x, range(1, long + 1), long)])
-        e[long:] = x[long:] - X @ np.linalg.lstsq(X, x[long:], rcond=None)[0]
-        begin = long + max([q, Q * s, 0])
-    else:
-        begin = far
-    begin = max(begin, far)
+        far = max(far, long + max(q, Q * s))
     ar, ma = [*range(1, p + 1), *(s * k for k in range(1, P + 1))], [*range(1, q + 1), *(s * k for k in range(1, Q + 1))]
-    cols = [*([np.ones(n - begin)] if constant else []), *_lags(x, ar, begin), *_lags(e, ma, begin)]
-    y = x[begin:]
+    cols = [*([np.ones(n - far)] if constant else []), *_lags(x, ar, far), *_lags(e, ma, far)]
+    y = x[far:]
     if len(y) < len(cols) + 3:
         return None
     if cols:
         X = np.column_stack(cols)
-        beta = np.linalg.lstsq(X, y, rcond=None)[0]
+        beta = _solve(X, y)
         r = y - X @ beta
     else:
         beta, r = np.zeros(0), y
     sigma = max(float(r @ r) / len(r), 1e-12)
     c = int(constant)
     phi, theta = beta[c : c + len(ar)], beta[c + len(ar) :]
-    for roots in (phi, theta):
-        if np.abs(roots).sum() and np.max(np.abs(roots)) > 1.5:
-            return None
+    if any(len(b) and np.abs(b).max() > 1.5 for b in (phi, theta)):
+        return None
     if len(phi):
         full = np.zeros(max(ar))
         full[np.array(ar) - 1] = phi
         if np.max(np.abs(np.roots(np.r_[1, -full]))) > 0.999:
             return None
-    e[begin:] = r
+    e = e.copy()
+    e[far:] = r
     k = len(beta) + 1
     loss = len(r) * math.log(sigma)
     return {"const": float(beta[0]) if constant else 0.0, "ar": ar, "phi": phi, "ma": ma, "theta": theta, "e": e, "sigma2": sigma, "aicc": (loss + 2 * k + 2 * k * (k + 1) / max(len(r) - k - 1, 1)) / len(r), "aic": loss + 2 * k, "bic": loss + k * math.log(len(r)), "residuals": r}
 
 
 def _roll(x, f, h):
-    xs, es_ = list(x), list(f["e"])
+    keep = max([*f["ar"], *f["ma"], 1])
+    xs, es_ = list(x[-keep:]), list(f["e"][-keep:])
+    held = len(xs)
     for _ in range(h):
         y = f["const"] + sum(c * xs[-k] for c, k in zip(f["phi"], f["ar"]) if k <= len(xs)) + sum(c * es_[-k] for c, k in zip(f["theta"], f["ma"]) if k <= len(es_))
         xs.append(y)
         es_.append(0.0)
-    return np.array(xs[len(x) :])
+    return np.array(xs[held:])
 
 
 def auto_arima(v, h, m):
@@ -262,14 +274,14 @@ def auto_arima(v, h, m):
         best = None
     else:
         P, Q = (1, 1) if s > 1 and len(x) > 4 * s else (0, 0)
-        tried, best, order = {}, None, None
+        tried, best, order, shocks = {}, None, None, _shocks(x, 4)
 
         def attempt(p, q, a, b, c):
             nonlocal best, order
             key = (p, q, a, b, c)
             if key in tried or min(key) < 0 or p > 3 or q > 3 or a > P or b > Q:
                 return False
-            tried[key] = f = _arma(x, p, q, a, b, s, bool(c))
+            tried[key] = f = _arma(x, shocks, p, q, a, b, s, bool(c))
             if f is not None and (best is None or f["aicc"] < best["aicc"] - 1e-9):
                 best, order = f, (p, d, q, a, D, b)
                 return True
@@ -345,14 +357,22 @@ def mstl(v, periods):
     return trend, [parts[p] for p in usable], v - trend - sum(parts.values(), np.zeros(len(v))), usable
 
 
+def mstl_many(series, h, periods):
+    """Forecasts of equally long series: a damped trend for what is not seasonal, the last season repeated."""
+    parts = [mstl(v, periods) for v in series]
+    base = [v - sum(p[1], np.zeros(len(v))) for v, p in zip(series, parts)]
+    spec = es.Spec("A", "A", True, "N") if len(series[0]) >= 10 else es.Spec("A", "N", False, "N")
+    out = []
+    for f, (_, seasons, _, used) in zip(es.fit_many(base, spec, count=40, rounds=3, details=False), parts):
+        point = f.forecast(h)
+        for p, s in zip(used, seasons):
+            point = point + s[-p:][np.arange(h) % p]
+        out.append(point)
+    return out
+
+
 def mstl_forecast(v, h, periods):
-    trend, seasons, rest, used = mstl(v, periods)
-    base = v - sum(seasons, np.zeros(len(v)))
-    f = es.fit(base, es.Spec("A", "A", True, "N")) if len(v) >= 10 else es.fit(base, es.Spec("A", "N", False, "N"))
-    point = f.forecast(h)
-    for p, s in zip(used, seasons):
-        point = point + s[-p:][np.arange(h) % p]
-    return point
+    return mstl_many([v], h, periods)[0]
 
 
 def _fourier(t, periods, most=5):
@@ -401,58 +421,67 @@ def unbox(x, lam):
     return np.exp(np.clip(x, -700, 700)) if abs(lam) < 1e-6 else np.maximum(lam * x + 1, 1e-12) ** (1 / lam)
 
 
-def _trig(x, h, periods, harmonics, damped):
-    """Innovations model with level, damped trend and trigonometric seasons (De Livera et al. 2011)."""
+def _trig(series, h, periods, harmonics, damped):
+    """Innovations model with level, damped trend and trigonometric seasons (De Livera et al. 2011), for equally long
+    series at once: (point, AIC, parameters) of each."""
     freq = np.array([2 * np.pi * k / p for p, n in zip(periods, harmonics) for k in range(1, n + 1)])
-    n, J = len(x), len(freq)
+    x = np.array(series).T
+    (n, S), J = x.shape, len(freq)
     t = np.arange(n)
     X = np.column_stack([np.ones(n), t, *[np.cos(f * t) for f in freq], *[np.sin(f * t) for f in freq]])
-    start = np.linalg.lstsq(X[: max(3 * (2 + 2 * J), n // 2)], x[: max(3 * (2 + 2 * J), n // 2)], rcond=None)[0]
+    head = min(n, max(3 * (2 + 2 * J), n // 2))
+    begin = np.linalg.lstsq(X[:head], x[:head], rcond=None)[0]
     grid = [(a, b, g) for a in (0.05, 0.2, 0.5, 0.9) for b in (0.0, 0.01, 0.1) for g in (0.0, 0.002, 0.02)]
-    a, b, g = (np.array(c) for c in zip(*grid))
+    a, b, g = (np.array(c)[:, None] for c in zip(*grid))
     phi = 0.97 if damped else 1.0
-    p = len(grid)
-    level, trend = np.full(p, start[0] - start[1]), np.full(p, start[1])
-    # amplitudes at the step before the first
-    re0, im0 = start[2 : 2 + J], start[2 + J :]
-    c, s = np.cos(freq), np.sin(freq)
-    re = np.tile(re0 * np.cos(-freq) + im0 * np.sin(-freq), (p, 1))
-    im = np.tile(-re0 * np.sin(-freq) + im0 * np.cos(-freq), (p, 1))
-    sse = np.zeros(p)
+    shape = (len(grid), S)
+    level, trend = np.broadcast_to(begin[0] - begin[1], shape).copy(), np.broadcast_to(begin[1], shape).copy()
+    turn = np.exp(-1j * freq)[:, None, None]
+    # each harmonic's phasor: its real part is the season's part; at first the step before the series
+    z = np.broadcast_to(((begin[2 : 2 + J] - 1j * begin[2 + J :]) * np.exp(-1j * freq)[:, None])[:, None], (J, *shape)).copy()
+    turn = np.conj(turn)
+    sse = np.zeros(shape)
     for y in x:
-        nre, nim = re * c + im * s, -re * s + im * c
+        z = z * turn
         base = level + phi * trend
-        e = y - base - nre.sum(1)
+        e = y - base - z.real.sum(0)
         sse += e * e
         level, trend = base + a * e, phi * trend + b * e
-        re, im = nre + (g * e)[:, None], nim
-    i = int(np.argmin(np.where(np.isfinite(sse), sse, np.inf)))
-    k = np.arange(1, h + 1)
-    point = level[i] + np.cumsum(phi**k) * trend[i] + (re[i][None] * np.cos(np.outer(k, freq)) + im[i][None] * np.sin(np.outer(k, freq))).sum(1)
-    count = 3 + damped + 2 * J + 2
-    return point, n * math.log(max(sse[i] / n, 1e-12)) + 2 * count, {"alpha": float(a[i]), "beta": float(b[i]), "gamma": float(g[i]), "phi": phi}
+        z += g * e
+    best = np.argmin(np.where(np.isfinite(sse), sse, np.inf), axis=0)
+    k, count, out = np.arange(1, h + 1), 3 + damped + 2 * J + 2, []
+    for i in range(S):
+        j = best[i]
+        season = (z[:, j, i][:, None] * np.exp(1j * np.outer(freq, k))).real.sum(0)
+        out.append((level[j, i] + np.cumsum(phi**k) * trend[j, i] + season, n * math.log(max(sse[j, i] / n, 1e-12)) + 2 * count, {"alpha": float(a[j, 0]), "beta": float(b[j, 0]), "gamma": float(g[j, 0]), "phi": phi}))
+    return out
 
 
-def tbats(v, h, periods, search=False):
-    used = [p for p in periods if p > 1 and len(v) >= 2 * p]
-    positive = v.min() > 0
-    best = None
-    for lam in (1.0, 0.0, 0.5) if search and positive else (1.0,):
-        x = box_cox(v, lam)
+def tbats_many(series, h, periods, search=False):
+    """Of each of equally long series the configuration with the least AIC: Box-Cox parameter, damping, harmonics."""
+    used = [p for p in periods if p > 1 and len(series[0]) >= 2 * p]
+    best: list = [None] * len(series)
+    for lam in (1.0, 0.0, 0.5) if search else (1.0,):
+        own = [i for i, v in enumerate(series) if lam == 1.0 or v.min() > 0]
+        if not own:
+            continue
+        x = [series[i] if lam == 1.0 else box_cox(series[i], lam) for i in own]
         for damped in (False, True) if search else (True,):
-            for top in (1, 2, 3) if search else (3,):
+            for top in ((1, 2, 3) if used else (1,)) if search else (3,):
                 k = [max(1, min(top, (p - 1) // 2 or 1)) for p in used]
-                point, aic, par = _trig(x, h, used, k, damped)
-                if lam != 1.0:  # likelihood on the original scale
-                    aic -= 2 * (lam - 1) * np.log(v).sum()
-                point = unbox(point, lam) if lam != 1.0 else point + 1
-                if best is None or aic < best[1]:
-                    best = point, aic, par | {"lambda": lam, "harmonics": k, "periods": used, "damped": damped}
-                if not used:
-                    break
+                for i, (point, aic, par) in zip(own, _trig(x, h, used, k, damped)):
+                    if lam != 1.0:  # likelihood on the original scale
+                        aic -= 2 * (lam - 1) * np.log(series[i]).sum()
+                        point = unbox(point, lam)
+                    if best[i] is None or aic < best[i][1]:
+                        best[i] = point, aic, par | {"lambda": lam, "harmonics": k, "periods": used, "damped": damped}
     return best
 
 
+def tbats(v, h, periods, search=False):
+    return tbats_many([v], h, periods, search)[0]
+
+
 def laplace(v, h, m, variant="auto"):
     """A mixture of simple forecasters weighted by the likelihood of their past one-step errors (Laplace density)."""
     n = len(v)
@@ -487,6 +516,8 @@ def laplace(v, h, m, variant="auto"):
 def season_of(v: np.ndarray, o: Options) -> int:
     if o.seasonal_period > 0:
         return o.seasonal_period
+    if o.model in NOT_SEASONAL:
+        return 1
     if o.seasonal_periods:
         return int(o.seasonal_periods[0])
     if o.detect:
@@ -583,24 +614,32 @@ def point_forecast(v: np.ndarray, h: int, o: Options) -> tuple[np.ndarray, str]:
 
 
 def _batched(o: Options, n: int, m: int):
-    """What fits many series at once for a model: function of (series, period), or None."""
+    """What forecasts many equally long series at once: function of (series, horizon) giving (points, name) of each;
+    None for a model that takes them one by one."""
     S, seasonal = es.Spec, m > 1 and n >= 2 * m
     fixed = {"SESOptimized": (S("A", "N", False, "N"), {}), "Holt": (S("A", "A", False, "N"), {})}
     if n >= 2 * max(m, 2):
         fixed |= {"HoltWinters": (S("A", "A", False, "A"), {}), "SeasonalES": (S("A", "N", False, "A"), {"alpha": 0.3, "gamma": 0.1}), "SeasonalESOptimized": (S("A", "N", False, "A"), {})}
     if o.model == "ETS" and not o.spec and n >= 10:
         fixed["ETS"] = (S("A", "A", False, "A" if seasonal else "N"), {})
+    periods = o.seasonal_periods or [m]
     if o.model == "AutoETS":
-        return lambda x: es.auto_many(x, m, o.model_pool)
+        return lambda x, h: [(f.forecast(h), f"AutoETS({f.spec.name})") for f in es.auto_many(x, m, o.model_pool)]
     if o.model in fixed:
         spec, kept = fixed[o.model]
-        return lambda x: es.fit_many(x, spec, max(m, 2) if spec.season != "N" else 1, kept, details=False)
+        return lambda x, h: [(f.forecast(h), o.model) for f in es.fit_many(x, spec, max(m, 2) if spec.season != "N" else 1, kept, details=False)]
+    if o.model in ("Theta", "OptimizedTheta", "DynamicTheta", "DynamicOptimizedTheta"):
+        return lambda x, h: [(p, o.model) for p, _ in es.theta_many(x, h, m, "Optimized" in o.model, "Dynamic" in o.model, 0.1 if o.model == "DynamicTheta" and m < 2 else None)]
+    if o.model in ("TBATS", "AutoTBATS"):
+        return lambda x, h: [(p[0], o.model) for p in tbats_many(x, h, periods, o.model == "AutoTBATS")]
+    if o.model in ("MSTL", "AutoMSTL"):
+        return lambda x, h: [(p, o.model) for p in mstl_many(x, h, periods if max(periods) > 1 else [12])]
     return None
 
 
 def point_forecasts(many: list[np.ndarray], horizons: list[int], o: Options) -> list[tuple[np.ndarray, str] | None]:
-    """point_forecast of many series, None where it fails. Exponential smoothing of equally long series with the same
-    period is fitted for all of them together."""
+    """point_forecast of many series, None where it fails. Series of the same length and period go together where the
+    model allows it."""
     out: list = [None] * len(many)
     groups: dict[tuple[int, int], list[int]] = {}
     for i, v in enumerate(many):
@@ -610,14 +649,14 @@ def point_forecasts(many: list[np.ndarray], horizons: list[int], o: Options) ->
         raise InputError(f"model {o.model} does not use seasonal_period")
     for (n, m), own in groups.items():
         together = _batched(o, n, m) if len(own) > 1 else None
-        fits = together([many[i] for i in own]) if together else [None] * len(own)
-        for i, f in zip(own, fits):
+        try:
+            got = together([many[i] for i in own], max(horizons[i] for i in own)) if together else [None] * len(own)
+        except (ValueError, AttributeError, np.linalg.LinAlgError):  # one series spoils the batch: one by one
+            got = [None] * len(own)
+        for i, g in zip(own, got):
             try:
-                if f is None:
-                    out[i] = point_forecast(many[i], horizons[i], o)
-                else:
-                    p = f.forecast(horizons[i])
-                    out[i] = (p, f"AutoETS({f.spec.name})" if o.model == "AutoETS" else o.model) if np.isfinite(p).all() else None
+                g = point_forecast(many[i], horizons[i], o) if g is None else (g[0][: horizons[i]], g[1])
+                out[i] = g if np.isfinite(g[0]).all() else None
             except InputError:
                 raise
             except Exception:

@@ -283,40 +283,42 @@ def _reseason(point: np.ndarray, s: np.ndarray | None, n: int) -> np.ndarray:
     return point * f if s[-1] == 1.0 else point + f
 
 
-def theta(v: np.ndarray, h: int, m: int, optimise_theta: bool = False, dynamic: bool = False, alpha: float | None = None) -> tuple[np.ndarray, dict]:
-    """Point forecasts and the parameters used. theta is 2 unless it is optimised; a dynamic model updates its line."""
-    x, s = deseasonalised(v, m)
-    n = len(x)
+def theta_many(series: list[np.ndarray], h: int, m: int, optimise_theta: bool = False, dynamic: bool = False, alpha: float | None = None) -> list[tuple[np.ndarray, dict]]:
+    """Point forecasts and the parameters used, for equally long series at once. theta is 2 unless it is optimised; a
+    dynamic model updates its line with every value."""
+    parts = [deseasonalised(v, m) for v in series]
+    x = np.array([p[0] for p in parts]).T  # (steps, series)
+    n, k_series = x.shape
     alphas = np.array([alpha]) if alpha is not None else np.linspace(0.02, 0.98, 25)
     thetas = np.array([1.0, 1.5, 2.0, 3.0, 5.0, 10.0]) if optimise_theta else np.array([2.0])
-    a, th = (g.ravel() for g in np.meshgrid(alphas, thetas))
-    t = np.arange(1, n + 1)
-    B = 6 * (2 * (t * x).mean() - (1 + n) * x.mean()) / (n * n - 1) if n > 1 else 0.0
-    A = x.mean() - (n + 1) * B / 2
-    level, sse, w = x[0] * (a + (1 - a) / th), np.zeros(len(a)), 1 - 1 / th  # so that a constant stays one
-    if dynamic:
-        mean, An, Bn, power = x[0], x[0], np.zeros(len(a)), (1 - a)
-        An = np.full(len(a), x[0])
-        for k in range(1, n):
-            hat = level + w * (power * An + (1 - power * (1 - a)) / a * Bn)
-            e = x[k] - hat
-            sse += e * e if k > 2 else 0
-            level = a * x[k] + (1 - a) * level
-            old = mean
-            mean = (k * mean + x[k]) / (k + 1)
-            j = k + 1  # values seen
-            Bn = ((j - 2) * Bn + 6 * (x[k] - old) / j) / (j + 1)
-            An = mean - (j + 1) / 2 * Bn
-            power = power * (1 - a)
-        A_, B_ = An, Bn
-    else:
-        for k in range(1, n):
-            hat = level + w * ((1 - a) ** k * A + (1 - (1 - a) ** (k + 1)) / a * B)
-            e = x[k] - hat
+    a, th = (g.reshape(-1, 1) for g in np.meshgrid(alphas, thetas))
+    w, t = 1 - 1 / th, np.arange(1, n + 1)
+    slope = 6 * (2 * (t @ x) / n - (1 + n) * x.mean(0)) / (n * n - 1)
+    cut = x.mean(0) - (n + 1) * slope / 2
+    level = x[0] * (a + (1 - a) / th)  # so that a constant stays one
+    sse, power = np.zeros(level.shape), 1 - a
+    mean, line_a, line_b = x[0].copy(), (x[0].copy() if dynamic else cut), (np.zeros(k_series) if dynamic else slope)
+    for k in range(1, n):
+        e = x[k] - level - w * (power * line_a + (1 - power * (1 - a)) / a * line_b)
+        if not dynamic or k > 2:
             sse += e * e
-            level = a * x[k] + (1 - a) * level
-        A_, B_ = np.full(len(a), A), np.full(len(a), B)
-    i = int(np.argmin(sse))
-    steps = np.arange(h)
-    point = level[i] + w[i] * ((1 - a[i]) ** n * A_[i] + (steps + (1 - (1 - a[i]) ** (n + 1)) / a[i]) * B_[i])
-    return _reseason(point, s, n), {"alpha": float(a[i]), "theta": float(th[i]), "sse": float(sse[i]), "intercept": float(A), "slope": float(B)}
+        level = level + a * (x[k] - level)
+        power = power * (1 - a)
+        if dynamic:
+            j, old = k + 1, mean
+            mean = mean + (x[k] - mean) / j
+            line_b = ((j - 2) * line_b + 6 * (x[k] - old) / j) / (j + 1)
+            line_a = mean - (j + 1) / 2 * line_b
+    best = np.argmin(sse, axis=0)
+    out = []
+    for i, p in enumerate(parts):
+        b = best[i]
+        al, q = float(a[b, 0]), (1 - float(a[b, 0])) ** n
+        point = level[b, i] + w[b, 0] * (q * line_a[i] + (np.arange(h) + (1 - q * (1 - al)) / al) * line_b[i])
+        out.append((_reseason(point, p[1], n), {"alpha": al, "theta": float(th[b, 0]), "sse": float(sse[b, i]), "intercept": float(cut[i]), "slope": float(slope[i])}))
+    return out
+
+
+def theta(v: np.ndarray, h: int, m: int, optimise_theta: bool = False, dynamic: bool = False, alpha: float | None = None) -> tuple[np.ndarray, dict]:
+    """theta_many of one series."""
+    return theta_many([v], h, m, optimise_theta, dynamic, alpha)[0]
