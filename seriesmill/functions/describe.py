@@ -166,31 +166,41 @@ def feature_names() -> list[str]:
     ]
 
 
-def _windows_alike(v: np.ndarray, m: int, r: float, n: int) -> np.ndarray:
-    """Counts, for each of the first n windows of length m, of windows among them within r (itself included)."""
-    w = np.lib.stride_tricks.sliding_window_view(v, m)[:n]
-    out = np.empty(n, np.int64)
-    step = max(1, 4_000_000 // max(1, n * m))  # blocks, so that memory stays small for long series
-    for i in range(0, n, step):
-        out[i : i + step] = (np.abs(w[i : i + step, None, :] - w[None]).max(2) <= r).sum(1)
-    return out
-
-
-def sample_entropy(v: np.ndarray, m: int, r: float) -> float:
+def alike(v: np.ndarray, m: int, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of length m and of length m + 1 each: how many windows lie within r of every window, itself included,
+    counted over all windows and over all but the last. Windows are taken in blocks, so that memory stays small."""
     n = len(v)
-    if n < m + 3 or r <= 0:
-        return NAN
-    near = [(_windows_alike(v, k, r, n - k).sum() - (n - k)) // 2 for k in (m, m + 1)]
-    norm = [(n - k) * (n - k - 1) // 2 for k in (m, m + 1)]
-    return float(-math.log(near[1] / norm[1] / (near[0] / norm[0]))) if near[0] and near[1] else NAN
-
-
-def approximate_entropy(v: np.ndarray, m: int, r: float) -> float:
+    k = n - m + 1
+    out = np.zeros((2, 2, k), np.int64)  # length m or m + 1; all windows or all but the last
+    step = max(m + 1, 4_000_000 // max(1, n))
+    for i in range(0, k, step):
+        hi = min(i + step, k)
+        near = np.ones((hi - i, k), bool)
+        for d in range(m):
+            near &= np.abs(v[i + d : hi + d, None] - v[None, d : k + d]) <= r
+        out[0, 0, i:hi], out[0, 1, i:hi] = near.sum(1), near[:, :-1].sum(1)
+        top = min(hi, k - 1)
+        if top > i:
+            longer = near[: top - i, : k - 1] & (np.abs(v[i + m : top + m, None] - v[None, m : k - 1 + m]) <= r)
+            out[1, 0, i:top], out[1, 1, i:top] = longer.sum(1), longer[:, :-1].sum(1)
+    return out[0], out[1]
+
+
+def entropies(v: np.ndarray, m: int, r: float) -> tuple[float, float]:
+    """Sample entropy and approximate entropy."""
     n = len(v)
     if n < m + 1 or r <= 0:
-        return NAN
-    phi = lambda k: float(np.log(_windows_alike(v, k, r, n - k + 1) / (n - k + 1)).mean())
-    return phi(m) - phi(m + 1)
+        return NAN, NAN
+    short, long = alike(v, m, r)
+    a = n - m + 1
+    phi = float(np.log(short[0] / a).mean()), float(np.log(long[0][: a - 1] / (a - 1)).mean())
+    sample = NAN
+    if n >= m + 3:
+        pairs = [int(c[1][: n - k].sum() - (n - k)) // 2 for c, k in ((short, m), (long, m + 1))]
+        norm = [(n - k) * (n - k - 1) // 2 for k in (m, m + 1)]
+        if pairs[0] and pairs[1]:
+            sample = float(-math.log(pairs[1] / norm[1] / (pairs[0] / norm[0])))
+    return sample, phi[0] - phi[1]
 
 
 def permutation_entropy(v: np.ndarray, order: int = 3) -> float:
@@ -237,7 +247,7 @@ def features(values: np.ndarray) -> dict | None:
     c, sd, d = v - mean, v.std(), np.diff(v)
     f |= {"length": n, "sum": v.sum(), "mean": mean, "minimum": lo, "maximum": hi, "range": hi - lo, "variance": v.var(), "standard_deviation": sd}
     f |= {"variation_coefficient": sd / abs(mean) if abs(mean) > EPS else NAN, "large_standard_deviation": sd > 0.25 * (hi - lo), "median": np.median(v)}
-    f |= {f"quantile_{q}": np.quantile(s, q) for q in (0.1, 0.25, 0.75, 0.9)}
+    f |= dict(zip((f"quantile_{q}" for q in (0.1, 0.25, 0.75, 0.9)), np.quantile(s, (0.1, 0.25, 0.75, 0.9))))
     if sd > EPS:
         f |= {"skewness": ((c / sd) ** 3).mean(), "kurtosis": ((c / sd) ** 4).mean() - 3}
     above, below = v > mean, v < mean
@@ -264,7 +274,8 @@ def features(values: np.ndarray) -> dict | None:
         f[f"number_peaks_threshold_{k}"] = (top & (np.abs(c[1:-1]) > k * sd)).sum() if n > 2 else 0
     f["benford_correlation"] = benford(v)
     f["linear_trend_slope"], f["linear_trend_intercept"], f["linear_trend_r_squared"] = line(v)
-    f |= {"binned_entropy": binned_entropy(v), "sample_entropy": sample_entropy(v, 2, 0.2 * sd), "approximate_entropy": approximate_entropy(v, 2, 0.2 * sd), "permutation_entropy": permutation_entropy(v)}
+    f["sample_entropy"], f["approximate_entropy"] = entropies(v, 2, 0.2 * sd)
+    f |= {"binned_entropy": binned_entropy(v), "permutation_entropy": permutation_entropy(v)}
     f |= {f"ratio_beyond_r_sigma_{k}": (np.abs(c) > k * sd).mean() for k in (1, 2, 3)}
     _, first, times = np.unique(v.view(np.int64), return_index=True, return_counts=True)
     again = times > 1

@@ -49,6 +49,12 @@ def to_numpy(column: pa.Array) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
+def structs(rows: list[dict | None], kind: pa.StructType) -> pa.Array:
+    """A struct array built field by field, which is much faster than row by row for wide structs."""
+    fields = [pa.array([None if r is None else r.get(f.name) for r in rows], f.type) for f in kind]
+    return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pa.array([r is None for r in rows]))
+
+
 def apply(df: DataFrame, columns: list[str], kernel: Callable, schema: str, out: str = "_r", together: bool = False) -> DataFrame:
     """df with struct column `out`: kernel(*arrays of `columns`, as numpy) as a dict by field name.
 
@@ -74,7 +80,7 @@ def apply(df: DataFrame, columns: list[str], kernel: Callable, schema: str, out:
                         if getattr(e, "fatal", False):
                             raise
                         rows.append(None)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, result)], [*whole.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*b.columns, structs(rows, result)], [*whole.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*kept.fields, T.StructField(out, struct)]))
 

@@ -148,6 +148,8 @@ def test_statistics_and_features(spark):
     near = lambda k, size: sum(max(abs(v[i : i + k] - v[j : j + k])) <= r for i in range(size) for j in range(i + 1, size))
     a, b = near(m, n - m) / ((n - m) * (n - m - 1) / 2), near(m + 1, n - m - 1) / ((n - m - 1) * (n - m - 2) / 2)
     assert describe.features(v)["sample_entropy"] == pytest.approx(-np.log(b / a))
+    phi = lambda k: np.mean([np.log(sum(max(abs(v[i : i + k] - v[j : j + k])) <= r for j in range(n - k + 1)) / (n - k + 1)) for i in range(n - k + 1)])
+    assert describe.features(v)["approximate_entropy"] == pytest.approx(phi(2) - phi(3))
     with pytest.warns(UserWarning):
         assert stats.features_by(df, "id", "ds", "y", ["mean", "nope"]).columns == ["id", "mean"]
 
