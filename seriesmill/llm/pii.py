@@ -26,8 +26,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # two capitals, two check digits, 11 to 30 letters or digits, in groups of four if spaced
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    # [A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})? : country, check digits, groups of four
+    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+",
 }
 #: What a text must hold for a pattern to match at all; tested before the pattern runs.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -86,7 +86,7 @@ _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
     before = F.substr(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
     near = F.lower(F.concat(before, F.lit(" "), F.substr(text, end + 1, F.lit(WINDOW))))
-    return F.lit(PATTERN_SCORE[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
+    return F.lit(PATTERN_SCORE[kind]) + F.when(near.rlike(rf"(?:^|[^a-z0-9])(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -128,13 +128,13 @@ def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_iban, base_sha256, spans, scores of every row.
 
     spans: kind:start:end of all spans, comma-joined; base_sha256: the digest of the base kinds' part; scores: the
-    spans' scores in the same order.
+    spans' scores in the same order, comma-joined.
     """
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE_KINDS))
     of = lambda k: F.filter("pii_spans", lambda s: s["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.transform("pii_spans", lambda s: F.round(s["score"], 3)).alias("scores"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.round(s["score"], 3).cast("string")), ",").alias("scores"))
 
 
 def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:

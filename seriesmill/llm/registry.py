@@ -89,7 +89,31 @@ SELECT w.doc_id, len(a) AS n_words, len(a) - coalesce(n, 0) AS n_removed, sha256
 """
 
 
+#: The plain patterns of op3's kinds, and what confirms a match m.
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_MOVED = "replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4]"
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS BIGINT), 0) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, k: CASE WHEN k % 2 = 1 THEN try_cast(c AS INTEGER) ELSE try_cast(substr('0246813579', try_cast(c AS INTEGER) + 1, 1) AS INTEGER) END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+    "iban": (r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?", f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_MOVED}, ''), lambda c: CAST(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1 AS VARCHAR)), ''), ''), lambda c: CAST(c AS BIGINT)), lambda a, b: (a * 10 + b) % 97) = 1"),
+}
+
+
+def _pii_sql() -> str:
+    parts = []
+    for k, (kind, (pattern, test)) in enumerate(_KINDS.items()):
+        ends = f"SELECT doc_id, text, m[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM t), unnest(range(1, len(m) + 1)) AS u(i)"
+        near = "lower(substr(text, CAST(greatest(s - 40, 0) + 1 AS BIGINT), CAST(least(s, 40) AS BIGINT)) || ' ' || substr(text, CAST(s + length(m) + 1 AS BIGINT), 40))"
+        score = f"round({pii.PATTERN_SCORE[kind]} + CASE WHEN regexp_matches({near}, '(?:^|[^a-z0-9])(?:{pii.CONTEXT[kind]})') THEN {pii.CONTEXT_GAIN} ELSE 0 END, 3)"
+        parts.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, CAST(s AS BIGINT) AS s, '{kind}:' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT) AS span, CAST(CAST({score} AS DOUBLE) AS VARCHAR) AS score FROM ({ends}) WHERE {test}")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS ({" UNION ALL ".join(parts)})
+SELECT t.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY k, s) FILTER (k < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY k, s), '') AS spans, coalesce(string_agg(score, ',' ORDER BY k, s), '') AS scores FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL that counts every window and every shingle, without buckets or signatures. The other queries need a
-    tokenizer, a trained model or an approximate index; tests/llm compares those with brute force."""
-    return {"op7_benchmark_containment": _CONTAINED, "op10_substring_dedup": _SUBSTRING}
+    """SQL that counts every window, shingle and span plainly. The other queries need a tokenizer, a trained model or an
+    approximate index; tests/llm compares those with brute force."""
+    return {"op3_pii": _pii_sql(), "op7_benchmark_containment": _CONTAINED, "op10_substring_dedup": _SUBSTRING}
