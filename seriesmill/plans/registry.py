@@ -143,8 +143,35 @@ simple("stats_agg", t.daily, lambda d: stats.stats_agg(d, ["id"], "ds", "y").sel
 simple("stats_summary", t.users, lambda d: stats.stats_summary(stats.stats_by(d, "id", "ds", "y")).withColumn("avg_length", F.round("avg_length", 6)), "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (y IS NULL) AS z FROM {users} GROUP BY id) SELECT count(*) AS n_series, round(avg(n), 6) AS avg_length, min(n) AS min_length, max(n) AS max_length, CAST(sum(z) AS BIGINT) AS total_nulls, CAST(0 AS BIGINT) AS total_nans FROM s")
 simple("quality_report", t.users, lambda d: stats.quality_report(stats.stats_by(d, "id", "ds", "y"), 3), "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (y IS NULL) AS z, count(DISTINCT y) = 1 AS c FROM {users} GROUP BY id) SELECT CAST(count(*) FILTER (n >= 3 AND NOT c) AS BIGINT) AS n_passed, CAST(0 AS BIGINT) AS n_nan_issues, CAST(count(*) FILTER (z > 0) AS BIGINT) AS n_missing_issues, CAST(count(*) FILTER (c) AS BIGINT) AS n_constant, count(*) AS n_total FROM s")
 simple("data_quality_by", t.users, lambda d: stats.data_quality_by(d, "id", "ds", "y").select("unique_id", F.round("structural_score", 6).alias("structural_score"), "n_gaps", "n_missing"), "SELECT id AS unique_id, round(CASE WHEN count(y) = 0 THEN 0.0 ELSE 0.7 * count(y) / count(*) + 0.3 * least(count(y) / 30.0, 1) END, 6) AS structural_score, CAST(0 AS BIGINT) AS n_gaps, count(*) FILTER (y IS NULL) AS n_missing FROM {users} GROUP BY id")
-simple("data_quality_agg", t.users, lambda d: stats.data_quality_agg(d, ["id"], "ds", "y").select("id", "quality.*"))
-simple("data_quality_summary", t.users, lambda d: stats.data_quality_summary(d, "id", "ds", "y"))
+_QUALITY = """WITH u AS {users}, v AS (SELECT id, y, row_number() OVER (PARTITION BY id ORDER BY ds) AS i FROM u WHERE y IS NOT NULL),
+m AS (SELECT id, avg(y) AS mu, stddev_pop(y) AS sd, count(*) AS k, list(y ORDER BY y) AS l, min(y) AS lo, max(y) AS hi FROM v GROUP BY id),
+b AS (SELECT *, l[CAST(floor(k * 0.25) AS BIGINT) + 1] AS q1, l[CAST(floor(k * 0.75) AS BIGINT) + 1] AS q3 FROM m),
+o AS (SELECT v.id, avg(CASE WHEN y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) THEN 1.0 ELSE 0.0 END) AS far, avg(CASE WHEN abs(y - mu) > 4 * sd THEN 1.0 ELSE 0.0 END) AS extreme FROM v JOIN b USING (id) GROUP BY v.id),
+p AS (SELECT v.id, y - mu AS c, lag(y - mu) OVER (PARTITION BY v.id ORDER BY i) AS d FROM v JOIN b USING (id)), r AS (SELECT id, sum(c * d) / nullif(sum(c * c), 0) AS acf FROM p GROUP BY id),
+n AS (SELECT id, count(*) AS n FROM u GROUP BY id),
+q AS (SELECT n.id, CASE WHEN k IS NULL THEN 0.0 ELSE 0.7 * k / n + 0.3 * least(k / 30.0, 1) END AS structural_score, 1.0 AS temporal_score, CASE WHEN k IS NULL THEN 0.0 ELSE greatest(0, 1 - 2 * far - 3 * extreme) END AS magnitude_score,
+CASE WHEN k IS NULL OR k < 3 THEN 0.5 WHEN sd * sd < 2.3e-16 THEN 0.0 WHEN abs(acf) > 0.95 THEN 0.8 ELSE 1.0 END AS behavioral_score, CAST(0 AS BIGINT) AS n_gaps, n - coalesce(k, 0) AS n_missing, coalesce(k < 2 OR lo = hi, true) AS is_constant FROM n LEFT JOIN b USING (id) LEFT JOIN o USING (id) LEFT JOIN r USING (id)),
+z AS (SELECT *, (structural_score + temporal_score + magnitude_score + behavioral_score) / 4 AS overall_score FROM q) """
+_SCORES = ["structural_score", "temporal_score", "magnitude_score", "behavioral_score", "overall_score"]
+simple("data_quality_agg", t.users, lambda d: stats.data_quality_agg(d, ["id"], "ds", "y").select("id", "quality.*").withColumns({c: F.round(c, 6) for c in _SCORES}), _QUALITY + "SELECT id, " + ", ".join(f"CAST(round({c}, 6) AS DOUBLE) AS {c}" for c in _SCORES) + ", n_gaps, n_missing, is_constant FROM z")
+simple("data_quality_summary", t.users, lambda d: stats.data_quality_summary(d, "id", "ds", "y").withColumn("avg_score", F.round("avg_score", 6)), _QUALITY + "SELECT count(*) AS n_total, count(*) FILTER (overall_score >= 0.8) AS n_good, count(*) FILTER (overall_score >= 0.5 AND overall_score < 0.8) AS n_fair, count(*) FILTER (overall_score < 0.5) AS n_poor, CAST(round(avg(overall_score), 6) AS DOUBLE) AS avg_score FROM z")
+
+_SHAPE = ["variance", "range", "iqr", "coef_variation", "skewness", "kurtosis", "bimodality_coef", "trimmed_mean", "autocorr_lag1", "trend_strength", "entropy"]
+_SHAPE_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS i, row_number() OVER (PARTITION BY id ORDER BY y) AS k, count(*) OVER (PARTITION BY id) AS n, avg(y) OVER (PARTITION BY id) AS m, lag(y) OVER (PARTITION BY id ORDER BY ds) AS p, min(y) OVER (PARTITION BY id) AS lo, max(y) OVER (PARTITION BY id) AS hi FROM {daily}),
+s AS (SELECT id, max(n) AS n, var_samp(y) AS v, stddev_samp(y) AS sd, avg(pow(y - m, 3)) AS m3, avg(pow(y - m, 4)) AS m4, abs(corr(y, i)) AS trend, sum((y - m) * (p - m)) / sum((y - m) * (y - m)) AS acf, avg(y) FILTER (k > floor(n * 0.1) AND k <= n - floor(n * 0.1)) AS trimmed, max(hi) - max(lo) AS range, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr, stddev_samp(y) / abs(avg(y)) AS cv FROM r GROUP BY id),
+e AS (SELECT id, -sum(c / n * ln(c / n)) AS entropy FROM (SELECT id, least(floor((y - lo) / (hi - lo) * 9 + 0.5), 9) AS b, count(*) AS c, max(n) AS n FROM r GROUP BY 1, 2) GROUP BY id),
+x AS (SELECT *, m3 / pow(sd, 3) * sqrt(n * (n - 1)) / (n - 2) AS sk, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1) * (m4 / pow(sd, 4) - 3) + 6) AS ku FROM s)
+SELECT id, round(v, 4) AS variance, round(range, 4) AS range, round(iqr, 4) AS iqr, round(cv, 4) AS coef_variation, round(sk, 4) AS skewness, round(ku, 4) AS kurtosis, round((sk * sk + 1) / (ku + 3), 4) AS bimodality_coef, round(trimmed, 4) AS trimmed_mean, round(acf, 4) AS autocorr_lag1, round(trend, 4) AS trend_strength, round(entropy, 4) AS entropy FROM x JOIN e USING (id)"""
+simple("stats_shape", t.daily, lambda d: stats.stats_by(d, "id", "ds", "y").select("id", *[F.round(c, 4).alias(c) for c in _SHAPE]), _SHAPE_SQL)
+_MORE = {
+    "variation_coefficient": "stddev_pop(y) / abs(avg(y))", "skewness": "avg(pow((y - m) / sd, 3))", "kurtosis": "avg(pow((y - m) / sd, 4)) - 3", "count_below_mean": "CAST(count(*) FILTER (y < m) AS DOUBLE)", "percentage_above_mean": "avg(CASE WHEN y > m THEN 1.0 ELSE 0.0 END)",
+    "mean_abs_change": "avg(abs(y - p))", "cid_ce": "sqrt(sum((y - p) * (y - p)))", "mean_second_derivative_central": "avg(y - 2 * p + pp)", "ratio_beyond_r_sigma_1": "avg(CASE WHEN abs(y - m) > sd THEN 1.0 ELSE 0.0 END)", "ratio_beyond_r_sigma_2": "avg(CASE WHEN abs(y - m) > 2 * sd THEN 1.0 ELSE 0.0 END)",
+    "time_reversal_asymmetry_stat_1": "avg(y * y * p - pp * p * p)", "number_peaks": "CAST(count(*) FILTER (p > pp AND p > y) AS DOUBLE)", "number_peaks_threshold_1": "CAST(count(*) FILTER (p > pp AND p > y AND abs(p - m) > sd) AS DOUBLE)", "linear_trend_intercept": "regr_intercept(y, i)", "linear_trend_r_squared": "regr_r2(y, i)",
+    "autocorrelation_lag2": "sum((y - m) * (pp - m)) / sum((y - m) * (y - m))", "has_duplicate": "CASE WHEN count(DISTINCT y) < count(*) THEN 1.0 ELSE 0.0 END", "ratio_value_number_to_length": "count(DISTINCT y) / count(*)", "fft_coefficient_0_real": "avg(y)", "fft_coefficient_1_real": "avg(y * cos(2 * pi() * i / n))", "fft_coefficient_1_imag": "-avg(y * sin(2 * pi() * i / n))",
+    "first_location_of_maximum": "arg_max(i, y) / max(n)", "first_location_of_minimum": "arg_min(i, y) / max(n)",
+}
+_MORE_SQL = "WITH r AS (SELECT *, row_number() OVER w - 1 AS i, lag(y) OVER w AS p, lag(y, 2) OVER w AS pp, avg(y) OVER g AS m, stddev_pop(y) OVER g AS sd, count(*) OVER g AS n FROM {daily} WINDOW w AS (PARTITION BY id ORDER BY ds), g AS (PARTITION BY id)) SELECT id, " + ", ".join(f'round(CAST({e} AS DOUBLE), 4) AS "{n}"' for n, e in _MORE.items()) + " FROM r GROUP BY id"
+simple("features_more", t.daily, lambda d: stats.features_by(d, "id", "ds", "y", list(_MORE)).select("id", *[F.round(F.col(n), 4).alias(n) for n in _MORE]), _MORE_SQL)
 _FEATS = ["length", "sum", "mean", "minimum", "maximum", "variance", "standard_deviation", "median", "quantile_0.1", "quantile_0.9", "abs_energy", "root_mean_square", "count_above_mean", "linear_trend_slope", "mean_change", "absolute_sum_of_changes", "first_value", "last_value", "count_unique", "autocorrelation_lag1", "c3_lag1"]
 _FEAT_SQL = "WITH r AS (SELECT *, row_number() OVER w - 1 AS i, lag(y) OVER w AS p, lag(y, 2) OVER w AS pp, avg(y) OVER (PARTITION BY id) AS m FROM {daily} WINDOW w AS (PARTITION BY id ORDER BY ds)) SELECT id, " + ", ".join(
     f'round({e}, 4) AS "{n}"'
@@ -177,12 +204,16 @@ _SIMPLE = {
     "SMA": "m3",
     "RandomWalkDrift": "yn + (yn - y1) / (n - 1) * k",
     "SES": "list_reduce(ys, lambda a, b: 0.7 * a + 0.3 * b)",
+    # no day without events: demand comes at every step
+    "CrostonClassic": "list_reduce(ys, lambda a, b: 0.9 * a + 0.1 * b)",
+    "CrostonSBA": "0.95 * list_reduce(ys, lambda a, b: 0.9 * a + 0.1 * b)",
+    "TSB": "list_reduce(ys, lambda a, b: 0.9 * a + 0.1 * b)",
     "ARIMA": "yn + k * ((yn - y1) / (n - 1)) + (list_extract(ys, n) - list_extract(ys, n - 1) - (yn - y1) / (n - 1)) * (1 - pow(0.5, k))",
 }
 for _name in _models.MODELS:
     _params = {"seasonal_period": 7} if _name == "SeasonalNaive" else {"window": 3} if _name == "SMA" else None
     simple(f"forecast_{_name}", t.daily, _forecast(_name, _params), _forecast_sql(_SIMPLE[_name], _name) if _name in _SIMPLE else None)
-simple("forecast_seasonal_window", t.daily, _forecast("SeasonalWindowAverage", {"seasonal_period": 7}))
+simple("forecast_seasonal_window", t.daily, _forecast("SeasonalWindowAverage", {"seasonal_period": 7}), _HIST + "SELECT id, CAST(k AS INTEGER) AS forecast_step, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, round(f, 4) AS yhat, round(f - 1.645 * sd * sqrt(k), 4) AS yhat_lower, round(f + 1.645 * sd * sqrt(k), 4) AS yhat_upper, 'SeasonalWindowAverage' AS model_name FROM (SELECT id, last, sd, k, (SELECT avg(x) FROM (SELECT unnest(ys) AS x, generate_subscripts(ys, 1) AS j) WHERE j > n - (n // 7) * 7 AND (j - n - 1 + (n // 7) * 7) % 7 = CAST(k AS INTEGER) - 1) AS f FROM s, k)")
 simple("forecast_ets_spec", t.daily, _forecast("ETS", {"model": "MAdM", "seasonal_period": 7}))
 simple("forecast_monthly", t.monthly, lambda d: forecast.forecast_by(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", "AutoETS", 6, "1mo", {"seasonal_period": 12}))
 simple("forecast_one", t.daily, lambda d: forecast.forecast(d.where("id = 'click'"), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: F.round(x, 4).cast("string")), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(round(arg_max(y, ds), 4) AS VARCHAR) AS v FROM {daily} WHERE id = 'click')")
@@ -250,6 +281,8 @@ def _conformal_arrays(d: DataFrame) -> DataFrame:
     return z.select("id", c.conformal_evaluate("a", "bounds.lower", "bounds.upper", 0.1).alias("e"), "profile", c.conformal_predict_asymmetric("r", "f", 0.1)["conformity_score"].alias("asymmetric"), F.size("applied.lower").alias("levels")).select("id", "e.*", "profile.scores_lower", "asymmetric", "levels")
 
 
+_EVALUATED = _RANK + ", e AS (SELECT p0.id, count(*) AS n, avg(CASE WHEN y BETWEEN f - s AND f + s THEN 1.0 ELSE 0.0 END) AS c, avg(2 * s + 20.0 * greatest(f - s - y, y - f - s, 0)) AS w, max(s) AS s FROM p0 JOIN s USING (id) WHERE f IS NOT NULL GROUP BY p0.id) SELECT id, round(c, 4) AS coverage, round(1 - c, 4) AS violation_rate, round(2 * s, 4) AS mean_width, round(w, 4) AS winkler_score, n AS n_observations FROM e"
+simple("conformal_evaluate", _pairs, lambda d: _conformal_arrays(d).select("id", *[F.round(c, 4).alias(c) for c in ("coverage", "violation_rate", "mean_width", "winkler_score")], "n_observations"), _EVALUATED)
 simple("conformal_arrays", _pairs, _conformal_arrays)
 simple("conformal_per_step", _pairs, lambda d: _arrays(d).select("id", conformal.conformal_predict_per_step(F.slice("f", 1, 20), F.slice("a", 1, 20), F.slice("f", 21, 4), 0.1, 4).alias("c")).select("id", "c.*"))
 simple("bootstrap_intervals", _pairs, lambda d: conformal.bootstrap_intervals(_arrays(d), "r", "f", 200).select("id", "intervals.*"))
