@@ -216,7 +216,14 @@ for _name in _models.MODELS:
 simple("forecast_seasonal_window", t.daily, _forecast("SeasonalWindowAverage", {"seasonal_period": 7}), _HIST + "SELECT id, CAST(k AS INTEGER) AS forecast_step, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, round(f, 4) AS yhat, round(f - 1.645 * sd * sqrt(k), 4) AS yhat_lower, round(f + 1.645 * sd * sqrt(k), 4) AS yhat_upper, 'SeasonalWindowAverage' AS model_name FROM (SELECT id, last, sd, k, (SELECT avg(x) FROM (SELECT unnest(ys) AS x, generate_subscripts(ys, 1) AS j) WHERE j > n - (n // 7) * 7 AND (j - n - 1 + (n // 7) * 7) % 7 = CAST(k AS INTEGER) - 1) AS f FROM s, k)")
 simple("forecast_ets_spec", t.daily, _forecast("ETS", {"model": "MAdM", "seasonal_period": 7}))
 simple("forecast_monthly", t.monthly, lambda d: forecast.forecast_by(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", "AutoETS", 6, "1mo", {"seasonal_period": 12}))
-simple("forecast_one", t.daily, lambda d: forecast.forecast(d.where("id = 'click'"), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: F.round(x, 4).cast("string")), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(round(arg_max(y, ds), 4) AS VARCHAR) AS v FROM {daily} WHERE id = 'click')")
+
+
+def _total(d: DataFrame) -> DataFrame:
+    """All series as one: ds, y."""
+    return d.groupBy("ds").agg(F.round(F.sum("y"), 3).alias("y"))
+
+
+simple("forecast_one", t.daily, lambda d: forecast.forecast(_total(d), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: F.round(x, 4).cast("string")), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(arg_max(y, ds) AS VARCHAR) AS v FROM (SELECT ds, round(sum(y), 3) AS y FROM {daily} GROUP BY ds))")
 simple("forecast_agg", t.daily, lambda d: forecast.forecast_agg(d, ["id"], "ds", "y", "Theta", 3))
 
 
@@ -293,7 +300,7 @@ simple("bootstrap_quantiles", _pairs, lambda d: conformal.bootstrap_quantiles(_a
 
 for _name in ("fft", "acf", "regression", "multi", "auto", "autoperiod", "cfd_autoperiod", "lomb_scargle", "aic", "ssa", "stl", "matrix_profile", "sazed"):
     simple(f"detect_periods_{_name}", t.daily, lambda d, m=_name: analysis.detect_periods_by(d, "id", "ds", "y", {"method": m, "expected_periods": [7.0], "min_confidence": 0.0}))
-simple("detect_periods_table", t.daily, lambda d: analysis.detect_periods(d.where("id = 'click'"), "ds", "y"))
+simple("detect_periods_table", t.daily, lambda d: analysis.detect_periods(_total(d), "ds", "y"))
 simple("detect_periods_agg", t.daily, lambda d: analysis.detect_periods_agg(d, ["id"], "ds", "y"))
 
 
@@ -320,7 +327,7 @@ simple("analyze_peak_timing_by", t.daily, lambda d: analysis.analyze_peak_timing
 simple("detrend_by", t.daily, lambda d: analysis.detrend_by(d, "id", "ds", "y", "linear").select("id", F.round(F.col("coefficients")[1], 5).alias("slope"), F.round("rss", 2).alias("rss")), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS i FROM {daily}) SELECT id, round(regr_slope(y, i), 5) AS slope, round(regr_syy(y, i) * (1 - regr_r2(y, i)), 2) AS rss FROM r GROUP BY id")
 simple("mstl_decomposition_by", t.daily, lambda d: analysis.mstl_decomposition_by(d, "id", "ds", "y"))
 simple("detect_changepoints_by", t.daily, lambda d: analysis.detect_changepoints_by(d, "id", "ds", "y", {"include_probabilities": True}))
-simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(d.where("id = 'click'"), "ds", "y"))
+simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(_total(d), "ds", "y"))
 simple("detect_changepoints_agg", t.daily, lambda d: analysis.detect_changepoints_agg(d, ["id"], "ds", "y"))
 
 
@@ -330,7 +337,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = crossval.cv_folds(filled, "id", "ds", "y", 1, 6)
     models = [forecast.cv_forecast_by(folds, "id", "ds", "y", m, p) for m, p in (("Naive", None), ("SeasonalNaive", {"seasonal_period": 12}))]
     both = models[0].unionByName(models[1])
-    return metrics.mae_by(both.select("id", "model_name", "ds", "y", "yhat"), "ds", "y", "yhat")
+    return metrics.mae_by(both.select("id", "model_name", "ds", "y", "yhat"), "ds", "y", "yhat").withColumn("mae", F.round("mae", 2))
 
 
-query("flagship")(flagship)
+query("flagship", "WITH m AS {monthly}, r AS (SELECT id, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n, lag(y, 12) OVER w AS season FROM m WINDOW w AS (PARTITION BY id ORDER BY ds)), l AS (SELECT id, arg_max(y, i) AS last FROM r WHERE i <= n - 6 GROUP BY id), t AS (SELECT r.*, last FROM r JOIN l USING (id) WHERE i > n - 6) SELECT id, 'Naive' AS model_name, round(avg(abs(y - last)), 2) AS mae FROM t GROUP BY id UNION ALL SELECT id, 'SeasonalNaive', round(avg(abs(y - season)), 2) FROM t GROUP BY id")(flagship)
