@@ -166,7 +166,7 @@ simple("stats_shape", t.daily, lambda d: stats.stats_by(d, "id", "ds", "y").sele
 _MORE = {
     "variation_coefficient": "stddev_pop(y) / abs(avg(y))", "skewness": "avg(pow((y - m) / sd, 3))", "kurtosis": "avg(pow((y - m) / sd, 4)) - 3", "count_below_mean": "CAST(count(*) FILTER (y < m) AS DOUBLE)", "percentage_above_mean": "avg(CASE WHEN y > m THEN 1.0 ELSE 0.0 END)",
     "mean_abs_change": "avg(abs(y - p))", "cid_ce": "sqrt(sum((y - p) * (y - p)))", "mean_second_derivative_central": "avg(y - 2 * p + pp)", "ratio_beyond_r_sigma_1": "avg(CASE WHEN abs(y - m) > sd THEN 1.0 ELSE 0.0 END)", "ratio_beyond_r_sigma_2": "avg(CASE WHEN abs(y - m) > 2 * sd THEN 1.0 ELSE 0.0 END)",
-    "time_reversal_asymmetry_stat_1": "avg(y * y * p - pp * p * p)", "number_peaks": "CAST(count(*) FILTER (p > pp AND p > y) AS DOUBLE)", "number_peaks_threshold_1": "CAST(count(*) FILTER (p > pp AND p > y AND abs(p - m) > sd) AS DOUBLE)", "linear_trend_intercept": "regr_intercept(y, i)", "linear_trend_r_squared": "regr_r2(y, i)",
+    "number_peaks": "CAST(count(*) FILTER (p > pp AND p > y) AS DOUBLE)", "number_peaks_threshold_1": "CAST(count(*) FILTER (p > pp AND p > y AND abs(p - m) > sd) AS DOUBLE)", "linear_trend_intercept": "regr_intercept(y, i)", "linear_trend_r_squared": "regr_r2(y, i)",
     "autocorrelation_lag2": "sum((y - m) * (pp - m)) / sum((y - m) * (y - m))", "has_duplicate": "CASE WHEN count(DISTINCT y) < count(*) THEN 1.0 ELSE 0.0 END", "ratio_value_number_to_length": "count(DISTINCT y) / count(*)", "fft_coefficient_0_real": "avg(y)", "fft_coefficient_1_real": "avg(y * cos(2 * pi() * i / n))", "fft_coefficient_1_imag": "-avg(y * sin(2 * pi() * i / n))",
     "first_location_of_maximum": "arg_max(i, y) / max(n)", "first_location_of_minimum": "arg_min(i, y) / max(n)",
 }
@@ -340,4 +340,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mae_by(both.select("id", "model_name", "ds", "y", "yhat"), "ds", "y", "yhat").withColumn("mae", F.round("mae", 2))
 
 
-query("flagship", "WITH m AS {monthly}, r AS (SELECT id, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n, lag(y, 12) OVER w AS season FROM m WINDOW w AS (PARTITION BY id ORDER BY ds)), l AS (SELECT id, arg_max(y, i) AS last FROM r WHERE i <= n - 6 GROUP BY id), t AS (SELECT r.*, last FROM r JOIN l USING (id) WHERE i > n - 6) SELECT id, 'Naive' AS model_name, round(avg(abs(y - last)), 2) AS mae FROM t GROUP BY id UNION ALL SELECT id, 'SeasonalNaive', round(avg(abs(y - season)), 2) FROM t GROUP BY id")(flagship)
+query("flagship", "WITH a AS {monthly}, g AS (SELECT id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS DATE) AS ds FROM a GROUP BY id), m AS (SELECT g.id, g.ds, coalesce(y, 0) AS y FROM g LEFT JOIN a ON a.id = g.id AND a.ds = g.ds), r AS (SELECT id, y, row_number() OVER w AS i, count(*) OVER (PARTITION BY id) AS n, lag(y, 12) OVER w AS season FROM m WINDOW w AS (PARTITION BY id ORDER BY ds)), l AS (SELECT id, arg_max(y, i) AS last FROM r WHERE i <= n - 6 GROUP BY id), t AS (SELECT r.*, last FROM r JOIN l USING (id) WHERE i > n - 6) SELECT id, 'Naive' AS model_name, round(avg(abs(y - last)), 2) AS mae FROM t GROUP BY id UNION ALL SELECT id, 'SeasonalNaive', round(avg(abs(y - season)), 2) FROM t GROUP BY id")(flagship)
