@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, extract, language, neardup, packing, pii, shards, substring, toolcalls
-from .common import table
+from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +48,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.digest(shards.ordered(table(spark, sf_dir, "documents")))
+    return shards.written_digest(shards.ordered(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,45 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
     return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids")
 
 
+def _stored(batches: Iterator[pa.RecordBatch], uri: str, length: int, pad_id: int) -> Iterator[tuple[int, str, int, int, list[pa.RecordBatch]]]:
+    """Write batches of shard, ids and further columns as files; shard, path, sequences, crc32 and the further columns of
+    each, once it stands under its own name."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)
+    size = width(pad_id)
+    pad = np.array([pad_id] * length, f"<u{size}").tobytes()
+    attempt = TaskContext.get().taskAttemptId()
+    now, stream, temporary, n, crc, rest = None, None, "", 0, 0, []
+
+    def close() -> tuple[int, str, int, int, list[pa.RecordBatch]]:
+        stream.close()
+        path = f"{root}/shard-{now:08d}.bin"
+        store.move(temporary, path)
+        return now, path, n, crc, rest
+
+    for b in batches:
+        shards, ids = b.column(0).to_numpy(), b.column(1)
+        others = b.select(b.schema.names[2:])
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else []
+        for i, j in zip(edges, edges[1:]):
+            if shards[i] != now:
+                if now is not None:
+                    yield close()
+                now, n, crc, rest = int(shards[i]), 0, 0, []
+                temporary = f"{root}/.shard-{now:08d}-{attempt}"
+                stream = store.open_output_stream(temporary)
+            for row in ids.slice(i, j - i).to_pylist():
+                row += pad[len(row) :]
+                stream.write(row)
+                crc = zlib.crc32(row, crc)
+            n += j - i
+            rest.append(others.slice(i, j - i))
+    if now is not None:
+        yield close()
+
+
 def write_shards(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256) -> DataFrame:
     """Write `ordered` rows as files shard-%08d.bin under uri (a folder that all executors reach); returns shard, path,
     sequences, bytes, crc32 of each. A shard is written under another name first and then moved, so that a repeated
@@ -136,37 +175,39 @@ def write_shards(sequences_in_order: DataFrame, uri: str, length: int = LENGTH,
     schema = "shard long, path string, sequences long, bytes long, crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        for now, path, n, crc, _ in _stored(batches, uri, length, pad_id):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, path, n, n * length * width(pad_id), crc), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "sequences", "bytes", "crc32"])
 
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
-        size = width(pad_id)
-        pad = np.array([pad_id] * length, f"<u{size}").tobytes()
-        task = TaskContext.get()
-        now, state = None, None
+    return sequences_in_order.select("shard", "ids").mapInArrow(run, schema)
 
-        def close() -> pa.RecordBatch:
-            stream, temporary, n, crc = state
-            stream.close()
-            path = f"{root}/shard-{now:08d}.bin"
-            store.move(temporary, path)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, path, n, n * length * size, crc), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "sequences", "bytes", "crc32"])
 
-        for b in batches:
-            for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if shard != now:
-                    if now is not None:
-                        yield close()
-                    temporary = f"{root}/.shard-{shard:08d}-{task.taskAttemptId()}"
-                    now, state = shard, [store.open_output_stream(temporary), temporary, 0, 0]
-                row = ids + pad[len(ids) :]
-                state[0].write(row)
-                state[2] += 1
-                state[3] = zlib.crc32(row, state[3])
-        if now is not None:
-            yield close()
+def written_digest(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256) -> DataFrame:
+    """Write `ordered` rows as `write_shards` does, read each shard back once it stands, and return the rows of `digest`
+    with the CRC-32 of the ids found at byte_offset. A place without the row's ids and padding raises."""
+    names = ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens"]
 
-    return sequences_in_order.select("shard", "ids").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(uri)
+        size = width(pad_id)
+        stride, pad = length * size, np.array([pad_id] * length, f"<u{size}").tobytes()
+        for shard, path, n, _, rest in _stored(batches, uri, length, pad_id):
+            with store.open_input_file(path) as f:
+                data = f.read()
+            if len(data) != n * stride:
+                raise OSError(f"{path} has {len(data)} bytes, not {n} x {stride}")
+            for b in rest:
+                found = []
+                for at, k in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
+                    row = data[at : at + stride]
+                    if len(row) != stride or row[k * size :] != pad[k * size :]:
+                        raise OSError(f"{path} has no sequence of {k} ids at {at}")
+                    found.append(zlib.crc32(row[: k * size]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shard] * b.num_rows, pa.int64()), *b.columns[1:], pa.array(found, pa.int64())], [*names, "ids_crc32"])
+
+    rows = sequences_in_order.select("shard", "ids", *[c for c in names if c != "shard"])
+    return rows.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, ids_crc32 long")
 
 
 def read_slot(uri: str, slot: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, pad_id: int = 50256) -> np.ndarray:

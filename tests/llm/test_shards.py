@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from seriesmill.llm import shards, tokens
+from seriesmill.llm import registry, shards, tokens
 
 from .conftest import frame
 
@@ -42,3 +42,23 @@ def test_edges(spark):
     assert shards.ordered(frame(spark, [])).count() == 0
     rows = shards.digest(shards.ordered(frame(spark, [(None, "a"), (1, None), (1, "b")]))).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 2, 2] and sorted(r.slot for r in rows) == [0, 1, 2]
+
+
+def test_query_writes_and_reads_back_its_shards(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(registry, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    got = registry.op9_training_order(spark, str(tmp_path / "in")).orderBy("slot").collect()
+    plain = shards.digest(shards.ordered(spark.read.parquet(str(tmp_path / "in" / "documents.parquet"))))
+    assert plain.columns == list(got[0].asDict()) and plain.orderBy("slot").collect() == got
+    files = {f.name: f.read_bytes() for f in (tmp_path / "shared").glob("shards-*/shard-*.bin")}
+    assert sum(map(len, files.values())) == len(got) * 1024 and len(got) > 0
+    for r in got:
+        row = files["shard-%08d.bin" % r.shard][r.byte_offset : r.byte_offset + 1024]
+        assert zlib.crc32(row[: 2 * r.n_tokens]) == r.ids_crc32 and set(np.frombuffer(row[2 * r.n_tokens :], "<u2")) <= {50256}
+
+
+def test_written_digest_edges(spark, tmp_path):
+    rows = shards.ordered(frame(spark, [(i, "a b c") for i in range(70)]), length=8, shard_sequences=16)
+    got = shards.written_digest(rows, f"file://{tmp_path}", length=8).orderBy("slot").collect()
+    assert got == shards.digest(rows).orderBy("slot").collect() and len(list(tmp_path.glob("shard-*.bin"))) == 5
+    assert shards.written_digest(shards.ordered(frame(spark, [])), f"file://{tmp_path}/none").count() == 0
