@@ -3,7 +3,8 @@
 A page is a sequence of word and tag tokens. A word's score depends on the element it stands in, a tag's on its name,
 or on the boilerplate that either stands in; all are log-odds fitted to labelled pages, where the label of a token is whether it lies in the page's main element
 (<article> or <main>). A linear scan finds the best contiguous region. Within the region, blocks of navigation, forms,
-adverts, comments and the like are left out, and the rest becomes the text.
+adverts, comments and the like are left out, and the rest becomes the text. Forms and marked elements that wrap the main
+element are not boilerplate.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of a page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button".split())
-#: Elements that are never main text, wherever they stand.
+#: Elements whose content is no text of a page. That of the first runs to its end tag whatever it holds, and to the end of
+#: the page without one, as browsers read it; the others end with their parent at the latest.
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN = frozenset("noscript template svg math object canvas select option button".split())
+#: Elements that are no main text, but for a header within the main element and a form around it.
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 #: Parts of a class, id or role that mark boilerplate, as whole words between separators.
 MARKS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies login search toolbar pagination pager skip".split())
@@ -58,7 +61,9 @@ DEFAULT = Weights(
 
 
 def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in BOILERPLATE and not (name == "header" and inside_main):
+    if name == "header" and inside_main:
+        return False
+    if name in BOILERPLATE:
         return True
     if attributes and name not in ("html", "body", "article", "main"):
         for _, a, b, c in _ATTR.findall(attributes):
@@ -67,23 +72,24 @@ def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, value, context, within main, block boundary): kind 'tag' with its name ('/' first for an end), or 'text'
-    with the raw characters between two tags. context: the nearest block or link element, 'boilerplate', or 'inner' for boilerplate within the main element."""
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
-    at, n = 0, len(page)
+@dataclass(slots=True)
+class Element:
+    """An open element. at: where its tag starts; mark: 0, 1 for a form or a boilerplate word in class, id or role, 2 for the
+    other boilerplate elements; bad, main, hidden: it or an element around it is."""
 
-    def context() -> tuple[str, bool]:
-        if not stack:
-            return "", False
-        name, bad, main = stack[-1]
-        if bad:
-            return "inner" if main else "boilerplate", main
-        for name, _, _ in reversed(stack):
-            if name == "a" or name in BLOCKS:
-                return name, main
-        return "", main
+    name: str
+    at: int
+    mark: int = 0
+    bad: bool = False
+    main: bool = False
+    hidden: bool = False
 
+
+def walk(page: str, ignored: frozenset[int] = frozenset()) -> Iterator[tuple[str, str, list[Element]]]:
+    """Kind, value and the elements open there, outermost first (the list changes as the walk goes on). Marks of the
+    elements at `ignored` don't count."""
+    stack: list[Element] = []
+    at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -95,9 +101,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             while lt < n and (m := _TOKEN.match(page, lt)) is None:
                 nxt = page.find("<", lt + 1)
                 lt = n if nxt < 0 else nxt
-        if lt > at:
-            c, main = context()
-            yield "text", page[at:lt], c, main, False
+        if lt > at and not (stack and stack[-1].hidden):
+            yield "text", page[at:lt], stack
         if m is None:
             break
         at = m.end()
@@ -107,31 +112,78 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         name, attributes = name.lower(), m[3]
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
                     break
-            c, main = context()
-            yield "tag", "/" + name, c, main, name in BLOCKS
+            if name not in HIDDEN and not (stack and stack[-1].hidden):
+                yield "tag", "/" + name, stack
             continue
         if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in BLOCKS and name not in ("td", "th", "tr", "li", "dt", "dd") and stack and stack[-1][0] == "p":
+        if name in BLOCKS and name not in ("td", "th", "tr", "li", "dt", "dd") and stack and stack[-1].name == "p":
             stack.pop()
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
+            if stack[k].name in CLOSES.get(name, ()):
                 del stack[k:]
                 break
-            if stack[k][0] in BLOCKS:
+            if stack[k].name in BLOCKS:
                 break
-        bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        main = main or name in MAIN
-        bad = bad or is_boilerplate(name, attributes, main)
+        above = stack[-1] if stack else Element("", 0)
+        main = above.main or name in MAIN
+        mark = 0 if m.start() in ignored or not is_boilerplate(name, attributes, main) else 1 if name == "form" or name not in BOILERPLATE else 2
+        hidden = above.hidden or name in HIDDEN
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, bad, main))
-        c, _ = context()
-        yield "tag", name, c, main, name in BLOCKS
+            stack.append(Element(name, m.start(), mark, above.bad or mark > 0, main, hidden))
+        if not hidden:
+            yield "tag", name, stack
+
+
+def wrappers(page: str) -> frozenset[int]:
+    """Where the forms and marked elements stand that only wrap the page's main element, so that their marks say nothing.
+
+    The main element is the <main> with most words, or else, of the outermost articles with the fewest marked elements
+    around them, the one with most words, if it has more words than the page has outside all marked elements. Within it,
+    an article with more than half of its words takes its place: comments are articles too."""
+    if not re.search(r"<(?:article|main)\b", page, re.I):
+        return frozenset()
+    words: Counter = Counter()
+    found: dict[int, tuple[str, list[Element]]] = {}
+    for kind, value, stack in walk(page):
+        if kind == "text":
+            k = len(_WORD.findall(value))
+            if not (stack and stack[-1].bad):
+                words[-1] += k
+            for e in stack:
+                if e.name in MAIN:
+                    words[e.at] += k
+        elif value in MAIN and stack and stack[-1].name == value and not any(e.mark == 2 for e in stack):
+            found[stack[-1].at] = value, stack[:-1]
+    if not any(e.mark for _, around in found.values() for e in around):
+        return frozenset()
+    marked = {at: {e.at for e in around if e.mark} for at, (_, around) in found.items()}
+    outer = [at for at, (_, around) in found.items() if words[at] and not any(e.at in found for e in around)]
+    mains = [at for at in outer if found[at][0] == "main"]
+    best = max(mains or outer, key=lambda at: (0 if mains else -len(marked[at]), words[at]), default=None)
+    if best is None or (not mains and marked[best] and words[best] <= words[-1]):
+        return frozenset()
+    while inner := [at for at, (_, around) in found.items() if any(e.at == best for e in around) and 2 * words[at] > words[best]]:
+        best = min(inner)
+    return frozenset(marked[best])
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """(kind, value, context, within main, block boundary): kind 'tag' with its name ('/' first for an end), or 'text'
+    with the raw characters between two tags. context: the nearest block or link element, 'boilerplate', or 'inner' for boilerplate within the main element."""
+    for kind, value, stack in walk(page, wrappers(page)):
+        context, main = "", bool(stack) and stack[-1].main
+        if stack and stack[-1].bad:
+            context = "inner" if main else "boilerplate"
+        else:
+            context = next((e.name for e in reversed(stack) if e.name == "a" or e.name in BLOCKS), "")
+        boundary = kind == "tag" and value.removeprefix("/") in BLOCKS
+        yield kind, value, context, main, boundary
 
 
 def tag_feature(value: str, context: str) -> str:

@@ -48,3 +48,35 @@ def test_operator(spark):
     assert [r.text for r in rows if r.page_id in (1, None)] == [TEXT] * 3
     assert all(r.n_chars == len(r.text) for r in rows) and {r.text for r in rows if r.page_id in (2, 3)} == {""}
     assert extract.extract(frame(spark, [])).count() == 0
+
+
+LONG = "<p>Words of the article that go on for a while.</p>" * 3
+READ = "\n\n".join(["Words of the article that go on for a while."] * 3)
+
+
+def test_wrappers_of_the_main_element():
+    for open_, close in (("<form>", "</form>"), ('<div class="layout has-sidebar">', "</div>"), ('<div id="no-nav"><form class="with-header">', "</form></div>")):
+        for tag in ("article", "main"):
+            page = f"<body>{open_}<nav><a href=x>Home</a></nav><{tag}>{LONG}<form><p>Mail</p></form></{tag}><aside>Side</aside>{close}</body>"
+            assert extract.main_text(page) == READ
+            assert extract.main_text(page, extract.fitted(dict(extract.counts(page)))) == READ
+    assert extract.main_text(f'<main><div class="row has-sidebar"><article>{LONG}</article><div class="sidebar">No</div></div></main>') == READ
+    # Articles in boilerplate beside the main text stay out.
+    teasers = '<div class="related"><article><p>Teaser</p></article><article><p>Another</p></article></div>'
+    comments = '<section id="comments">' + "<article><p>I disagree with that</p></article>" * 5 + "</section>"
+    assert extract.main_text(f"<article>{LONG}</article>{teasers}<aside><article><p>Aside</p></article></aside>") == READ
+    assert extract.main_text(f"<form><main>{LONG}{comments}</main></form>") == READ
+    assert extract.main_text(f"<div>{LONG}{teasers}</div>") == READ
+
+
+def test_headline_in_marked_header():
+    assert extract.main_text(f'<article><header class="entry-header"><h1>The headline</h1></header>{LONG}</article>') == "The headline\n\n" + READ
+    assert extract.main_text(f'<header class="site">Site</header><article>{LONG}</article>') == READ
+
+
+def test_elements_without_an_end_tag():
+    lists = "<datalist><option value=a>A<option value=b>B</datalist>"
+    assert extract.main_text(f"<article>{lists}{LONG}</article>") == READ
+    assert extract.main_text(f"<article>{lists}{LONG}<select><option>x</option></select></article>") == READ
+    assert extract.main_text(f"<article><div><button>Press</div>{LONG}</article>") == READ
+    assert extract.main_text(f"<article><svg><g><path d=x></g><title>Icon</title></svg>{LONG}<template><p>No</p></template></article>") == READ
