@@ -291,7 +291,20 @@ def _conformal_arrays(d: DataFrame) -> DataFrame:
 _EVALUATED = _RANK + ", e AS (SELECT p0.id, count(*) AS n, avg(CASE WHEN y BETWEEN f - s AND f + s THEN 1.0 ELSE 0.0 END) AS c, avg(2 * s + 20.0 * greatest(f - s - y, y - f - s, 0)) AS w, max(s) AS s FROM p0 JOIN s USING (id) WHERE f IS NOT NULL GROUP BY p0.id) SELECT id, round(c, 4) AS coverage, round(1 - c, 4) AS violation_rate, round(2 * s, 4) AS mean_width, round(w, 4) AS winkler_score, n AS n_observations FROM e"
 simple("conformal_evaluate", _pairs, lambda d: _conformal_arrays(d).select("id", *[F.round(c, 4).alias(c) for c in ("coverage", "violation_rate", "mean_width", "winkler_score")], "n_observations"), _EVALUATED)
 simple("conformal_arrays", _pairs, _conformal_arrays)
-simple("conformal_per_step", _pairs, lambda d: _arrays(d).select("id", conformal.conformal_predict_per_step(F.slice("f", 1, 20), F.slice("a", 1, 20), F.slice("f", 21, 4), 0.1, 4).alias("c")).select("id", "c.*"))
+
+
+def _per_step(d: DataFrame, horizon: int = 4) -> DataFrame:
+    """The last `horizon` pairs are the points and all before them the folds, counted back from the points; nulls, which no
+    width counts, fill up the first fold. A series without two whole folds gets null."""
+    z = _arrays(d).withColumn("n", F.size("f") - horizon)
+    fill = F.array_repeat(F.lit(None).cast("double"), F.pmod(-F.col("n"), F.lit(horizon)))
+    folds = lambda c: F.concat(fill, F.slice(c, 1, F.greatest("n", F.lit(0))))
+    point = F.slice("f", F.greatest("n", F.lit(0)) + 1, horizon)
+    c = F.when(F.col("n") >= 2 * horizon, conformal.conformal_predict_per_step(folds("f"), folds("a"), point, 0.1, horizon))
+    return z.select("id", c.alias("c")).select("id", "c.*")
+
+
+simple("conformal_per_step", _pairs, _per_step)
 simple("bootstrap_intervals", _pairs, lambda d: conformal.bootstrap_intervals(_arrays(d), "r", "f", 200).select("id", "intervals.*"))
 simple("bootstrap_quantiles", _pairs, lambda d: conformal.bootstrap_quantiles(_arrays(d), "r", "f", 200).select("id", "quantiles.*"))
 

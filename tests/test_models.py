@@ -233,3 +233,31 @@ def test_sql(spark):
     assert sql.call(spark, "ts_fill_nulls_const_by", "sales", "id", "ds", "y", 0).count() == 3
     with pytest.raises(ValueError):
         sql.call(spark, "nope", "sales")
+
+
+def test_conformal_per_step_uses_all_pairs(spark, tmp_path):
+    import math
+    import random
+
+    import __spark_entry__
+
+    rng, day = random.Random(4), dt.datetime(2024, 1, 1)
+    series = {f"s{n}": [round(rng.uniform(0, 9), 3) for _ in range(n)] for n in (3, 10, 13, 14, 30, 103)}
+    rows = [(k, day + dt.timedelta(days=i), y) for k, v in series.items() for i, y in enumerate(v)]
+    spark.createDataFrame(rows, "event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.id: r for r in __spark_entry__.queries()["conformal_per_step"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(series)
+    for k, v in series.items():
+        pairs = list(zip(v, v[1:]))  # forecast, actual
+        if len(pairs) < 12:
+            assert got[k].point is None
+            continue
+        early = pairs[:-4]
+        half = []
+        for step in range(4):
+            r = sorted(abs(y - f) for i, (f, y) in enumerate(early) if (len(early) - i) % 4 == (4 - step) % 4)
+            at = min(1.0, math.ceil(round((len(r) + 1) * 0.9, 9)) / len(r)) * (len(r) - 1)
+            lo = int(at)
+            half.append(r[lo] + (r[min(lo + 1, len(r) - 1)] - r[lo]) * (at - lo))
+        assert got[k].point == [f for f, _ in pairs[-4:]]
+        assert np.allclose(got[k].half_widths, half) and np.allclose(got[k].upper, np.array(got[k].point) + half)
