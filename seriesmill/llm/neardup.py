@@ -292,14 +292,8 @@ def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFra
     return _relabelled(label, known.where(enough).select("a", "b"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, copies of every row: its class, and the number of rows with the same text.
-
-    class_id is the smallest doc_id with which a document is linked, directly or not. Texts without words (null,
-    empty, white space) are not compared: each such row is its own class, with copies 1. A row that repeats a doc_id
-    is judged by its own text. A row without a doc_id takes no part and has a null class. Other columns are ignored;
-    an empty table gives no rows.
-    """
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t1, t2, copies and class (id and t1 of the class's first text) of the rows that are compared; doc_id of the others."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(band_keys(base), "neardup-signed")
     compared = signed.where((F.size("keys") > 0) & F.col("doc_id").isNotNull())
@@ -310,20 +304,40 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = text_classes(texts.select("node", "size", "bits", "keys"), nodes, threshold)
     found = texts.select("t1", "t2", "node", "copies")
     if label is not None:
-        found = found.join(label, "node", "left").select("t1", "t2", "copies", F.coalesce("class", "node").getField("id").alias("class_id"))
+        found = found.join(label, "node", "left").select("t1", "t2", "copies", F.coalesce("class", "node").alias("class"))
     else:
-        found = found.select("t1", "t2", "copies", F.col("node.id").alias("class_id"))
-    rows = compared.select("doc_id", "t1", "t2").join(found, ["t1", "t2"]).select("doc_id", "class_id", "copies")
-    alone = signed.where((F.size("keys") <= 0) | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    return rows.unionByName(alone)
+        found = found.select("t1", "t2", "copies", F.col("node").alias("class"))
+    rows = compared.select("doc_id", "t1", "t2").join(found, ["t1", "t2"])
+    return rows, signed.where((F.size("keys") <= 0) | F.col("doc_id").isNull()).select("doc_id")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, copies of every row: its class, and the number of rows with the same text.
+
+    class_id is the smallest doc_id with which a document is linked, directly or not. Texts without words (null,
+    empty, white space) are not compared: each such row is its own class, with copies 1. A row that repeats a doc_id
+    is judged by its own text. A row without a doc_id takes no part and has a null class. Other columns are ignored;
+    an empty table gives no rows.
+    """
+    rows, others = _classed(docs, threshold)
+    alone = others.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    return rows.select("doc_id", F.col("class").getField("id").alias("class_id"), "copies").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest doc_id; columns unchanged.
+    """Pipeline stage: one row of each class, the one with the smallest doc_id; columns unchanged.
 
-    Rows that repeat the doc_id of a row that stays, or have no words or no doc_id, stay too.
+    A row is judged by its doc_id and text, so rows that only share a doc_id don't touch each other. Rows that have no
+    words or no doc_id stay.
     """
-    marked = classes(docs, threshold)
-    gone = marked.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    rows, _ = _classed(docs, threshold)
+    stays = (F.col("doc_id") == F.col("class").getField("id")) & (F.col("t1") == F.col("class").getField("t"))
+    found = rows.groupBy("doc_id", "t1", "t2").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
+    found = written(found.select(F.col("doc_id").alias("_neardup_id"), F.col("t1").alias("_neardup_t1"), F.col("t2").alias("_neardup_t2"), "stays"), "neardup-found")
+    keys, text = ["_neardup_id", "_neardup_t1", "_neardup_t2"], F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_neardup_id": F.col("doc_id").cast("long"), "_neardup_t1": F.xxhash64(text), "_neardup_t2": F.xxhash64(F.lit(17), text)})
+    kept = keyed.join(found, keys, "left_anti")
+    again = found.where("stays").select(*keys)
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again, keys, "left_semi").dropDuplicates(keys))
     return kept.select(*docs.columns)

@@ -114,3 +114,11 @@ def test_keep_one(spark, fill):
     out = neardup.keep_one(df)
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "a b c d e f"), (3, None), (None, "a b c d e f"), (4, "q r s t u v")], key=str)
+
+
+def test_keep_one_with_repeated_ids(spark):
+    a, near, b, c = " ".join("w%d" % i for i in range(60)), " ".join("w%d" % i for i in range(61)), "q r s t u v", "k l m n o p"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (1, near), (None, c), (None, c), (4, None), (4, None)]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(frame(spark, rows)).collect()), key=str)
+    first = a if (1, a) in kept else near
+    assert kept == sorted([(1, first), (2, b), (3, c), (None, c), (None, c), (4, None), (4, None)], key=str)
