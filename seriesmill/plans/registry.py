@@ -137,7 +137,7 @@ _R = lambda names: [F.round(n, 5).alias(n) for n in names]
 _STAT_SQL = """SELECT id, count(*) AS length, count(*) FILTER (y IS NULL) AS n_nulls, count(*) FILTER (y = 0) AS n_zeros, count(*) FILTER (y > 0) AS n_positive, count(DISTINCT y) AS n_unique_values,
 round(avg(y), 5) AS mean, round(median(y), 5) AS median, round(min(y), 5) AS min, round(max(y), 5) AS max, round(sum(y), 5) AS sum, round(CASE WHEN count(y) = 1 THEN 0 ELSE stddev_samp(y) END, 5) AS std_dev,
 round(quantile_cont(y, 0.25), 5) AS q1, round(quantile_cont(y, 0.75), 5) AS q3, CASE WHEN count(*) >= 2 THEN max(ds) - min(ds) + 1 ELSE count(*) END AS expected_length FROM {users} GROUP BY id HAVING count(y) > 0"""
-simple("stats_by", t.users, lambda d: stats.stats_by(d, "id", "ds", "y", "1d").where("length > n_nulls").select("id", "length", "n_nulls", "n_zeros", "n_positive", "n_unique_values", *_R(["mean", "median", "min", "max", "sum", "std_dev", "q1", "q3"]), "expected_length"), _STAT_SQL)
+simple("stats_by", t.users, lambda d: stats.stats_by(d, "id", "ds", "y", "1d").select("id", "length", "n_nulls", "n_zeros", "n_positive", "n_unique_values", *_R(["mean", "median", "min", "max", "sum", "std_dev", "q1", "q3"]), "expected_length"), _STAT_SQL)
 simple("stats_all", t.daily, lambda d: stats.stats_by(d, "id", "ds", "y", "1d"))
 simple("stats_agg", t.daily, lambda d: stats.stats_agg(d, ["id"], "ds", "y").select("id", F.col("stats.length").alias("length"), F.round("stats.mean", 5).alias("mean")), "SELECT id, count(*) AS length, round(avg(y), 5) AS mean FROM {daily} GROUP BY id")
 simple("stats_summary", t.users, lambda d: stats.stats_summary(stats.stats_by(d, "id", "ds", "y")).withColumn("avg_length", F.round("avg_length", 6)), "WITH s AS (SELECT id, count(*) AS n, count(*) FILTER (y IS NULL) AS z FROM {users} GROUP BY id) SELECT count(*) AS n_series, round(avg(n), 6) AS avg_length, min(n) AS min_length, max(n) AS max_length, CAST(sum(z) AS BIGINT) AS total_nulls, CAST(0 AS BIGINT) AS total_nans FROM s")

@@ -261,3 +261,14 @@ def test_conformal_per_step_uses_all_pairs(spark, tmp_path):
             half.append(r[lo] + (r[min(lo + 1, len(r) - 1)] - r[lo]) * (at - lo))
         assert got[k].point == [f for f, _ in pairs[-4:]]
         assert np.allclose(got[k].half_widths, half) and np.allclose(got[k].upper, np.array(got[k].point) + half)
+
+
+def test_stats_by_keeps_series_of_nulls(spark, tmp_path):
+    import __spark_entry__
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(5 * k, 1, day + dt.timedelta(days=k), 2.0) for k in range(3)] + [(5 * k + 2, 2, day + dt.timedelta(days=k), 2.0) for k in range(3)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.id: r for r in __spark_entry__.queries()["stats_by"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2] and got[2].mean == 2.0
+    assert (got[1].length, got[1].n_nulls, got[1].n_zeros, got[1].n_unique_values, got[1].expected_length) == (3, 3, 0, 0, 3) and np.isnan(got[1].mean)
