@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Bytes of text hashed at once in a worker; a longer document is taken alone.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text taken at once in a worker; a longer document is taken alone.
+CHUNK_BYTES = 500_000
+#: Bytes or words hashed at once; a longer word is taken alone.
+HASH_BLOCK = 1 << 17
+#: Bytes that Spark hands to a worker at once, where the session has Spark's own default.
+BATCH_BYTES, UNSET_BYTES = "4m", "67108864b"
+#: A key is hot if it has more than this share of all rows, so fewer than HOT_KEYS keys are.
+HOT_KEYS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +35,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned, once nothing unwritten reads them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by bytes, as rows may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == UNSET_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keys, a written table of one short row a key with the number of its rows in column n.
+
+    The rows of hot keys stay where they are and meet their key by a broadcast of fewer than HOT_KEYS rows; the others
+    meet in an exchange, where no key has more than a HOT_KEYS-th of all rows.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = keys.where(F.col(n) > total / HOT_KEYS)
+    if hot.isEmpty():
+        return rows.join(keys.hint("merge"), on)
+    few = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(few, on, "left_anti").join(keys.where(F.col(n) <= total / HOT_KEYS).hint("merge"), on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +133,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, _U(b), np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        if size <= 1 << 22:
+        if size <= 2 * HASH_BLOCK:
             _powers[key] = tuple(out)
         return tuple(out)
     return _powers[key]
@@ -128,10 +167,17 @@ class Words:
         self.hash = self.hashes[0] if hashes else None
 
     def _hash(self, raw: np.ndarray, k: int) -> np.ndarray:
-        up, down = powers(_BASE[k], len(raw) + 1)
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[k][raw] * up[: len(raw)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out, i = np.empty(len(self.start), np.uint64), 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + HASH_BLOCK, "right")))
+            lo, hi = int(self.start[i]), int(self.end[j - 1])
+            begin, end = self.start[i:j] - lo, self.end[i:j] - lo
+            up, down = powers(_BASE[k], hi - lo + 1)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_BYTE[k][raw[lo:hi]] * up[: hi - lo], out=total[1:])
+            out[i:j] = mix((total[end] - total[begin]) * down[begin])
+            i = j
+        return out
 
 
 def ngrams(words: np.ndarray, n: int, k: int = 0) -> np.ndarray:
@@ -144,10 +190,14 @@ def ngrams(words: np.ndarray, n: int, k: int = 0) -> np.ndarray:
             out *= _U(_BASE[1 - k])
             out += words[j : len(words) - n + 1 + j]
         return mix(out)
-    up, down = powers(_BASE[1 - k], len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1])
+    out = np.empty(len(words) - n + 1, np.uint64)
+    for i in range(0, len(out), HASH_BLOCK):
+        part = words[i : i + HASH_BLOCK + n - 1]
+        up, down = powers(_BASE[1 - k], len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[i : i + HASH_BLOCK] = mix((total[n:] - total[:-n]) * down[: len(part) - n + 1])
+    return out
 
 
 def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

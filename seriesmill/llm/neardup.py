@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, shingles, text_buffer, written
+from .common import Words, arrow_map, chunks, discard, join_by_key, mix, shingles, text_buffer, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Texts of similarity 0.8 share no band with probability (1 - 0.8**4)**15, 4 in 10,000.
 BANDS, ROWS = 15, 4
 HASHES = BANDS * ROWS
+#: Pairs of a centre that are compared in one piece, and texts of a key in a block of the last step.
+SLICE, BLOCK = 512, 512
 #: Longs in a text's parity bitmap.
 BITMAP = 8
 #: Expected darts below rank bound 1: a coordinate stays empty with probability exp(-DARTS / HASHES), then the bound grows.
@@ -72,8 +74,10 @@ def darts(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, bound: np.
 
 def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """(n, HASHES) dart ids. owner: the set's number of each (element, weight), every set non-empty."""
-    total = np.bincount(owner, weight, n)
     sig = np.zeros((n, HASHES), np.uint64)
+    if not n:
+        return sig
+    total = np.bincount(owner, weight, n)
     todo, theta = np.arange(n), 1.0
     while len(todo):
         bound = np.zeros(n)
@@ -120,59 +124,65 @@ def band_keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(3))
-            keys, has, size = np.zeros((b.num_rows, BANDS), np.int64), np.zeros(b.num_rows, bool), np.zeros(b.num_rows)
-            bits = np.zeros((b.num_rows, BITMAP), np.int64)
             for i, j in chunks(offsets):
                 o = offsets[i : j + 1]
                 doc, h, count = weighted_sets(raw[o[0] : o[-1]], o - o[0])
-                if not len(doc):
-                    continue
-                size[i:j] = np.bincount(doc, count, j - i)
-                bits[i:j] = parity(doc, h, count, j - i)
                 texts, owner = np.unique(doc, return_inverse=True)
                 sig = signatures(h, count, owner, len(texts)).reshape(len(texts), BANDS, ROWS)
                 k = np.zeros((len(texts), BANDS), np.uint64)
                 for r in range(ROWS):
                     k = mix(k ^ sig[:, :, r])
                 k = mix(k ^ np.arange(1, BANDS + 1, dtype=np.uint64))
-                keys[i + texts], has[i + texts] = k.view(np.int64), True
-            edges = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size), pa.FixedSizeListArray.from_arrays(pa.array(bits.reshape(-1)), BITMAP).cast(pa.list_(pa.int64())), lists], ["doc_id", "t1", "t2", "size", "bits", "keys"])
+                has = np.isin(np.arange(j - i), texts, assume_unique=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has) * BANDS].astype(np.int32)), pa.array(k.view(np.int64).reshape(-1)))
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(parity(doc, h, count, j - i).reshape(-1)), BITMAP).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(np.bincount(doc, count, j - i).astype(float)), bits, lists], ["doc_id", "t1", "t2", "size", "bits", "keys"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2"), text.alias("text")).mapInArrow(run, "doc_id long, t1 long, t2 long, size double, bits array<long>, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(17), text).alias("t2"), text.alias("text"))
+    return arrow_map(rows, run, "doc_id long, t1 long, t2 long, size double, bits array<long>, keys array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) of nodes, computed exactly from their texts (node, text)."""
+    """(centre, node, similarity) of distinct pairs (centre, node), a written table, computed exactly from the nodes'
+    texts (node, text).
+
+    The pairs of a centre are dealt out in slices of about SLICE. A slice's rows follow its centre's text, so a worker
+    holds one centre's shingles and hashes each other text once, and no text is repeated for a pair but the centre's for
+    a slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            both = pa.concat_arrays([batch.column(2), batch.column(3)])
-            n = batch.num_rows
-            order = np.arange(2 * n).reshape(2, n).T.reshape(-1)  # a pair's texts side by side, so one chunk has both
-            raw, offsets = text_buffer(both.take(pa.array(order)))
-            i = 0
-            while i < n:
-                j = max(i + 1, min(n, (int(np.searchsorted(offsets, offsets[2 * i] + 2_000_000, "right")) - 1) // 2))
-                o = offsets[2 * i : 2 * j + 1]
+        head_h, head_c, size = np.zeros(0, np.uint64), np.zeros(0), 0.0
+        for b in batches:
+            raw, offsets = text_buffer(b.column(3))
+            other = b.column(2).to_numpy(zero_copy_only=False)
+            for i, j in chunks(offsets):
+                o = offsets[i : j + 1]
                 doc, h, c = weighted_sets(raw[o[0] : o[-1]], o - o[0])
-                pair, side = doc // 2, doc % 2
-                order2 = np.lexsort((side, h, pair))
-                p, hh, cc = pair[order2], h[order2], c[order2]
-                same = np.flatnonzero((p[1:] == p[:-1]) & (hh[1:] == hh[:-1]))
-                shared = np.bincount(p[same], np.minimum(cc[same], cc[same + 1]), j - i)
-                total = np.bincount(pair, c, j - i) - shared
-                out.append(shared / np.maximum(total, 1))
-                i = j
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "similarity"])
-
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {_NODE}, b {_NODE}, similarity double")
+                edge = np.searchsorted(doc, np.arange(j - i + 1))
+                total, shared = np.bincount(doc, c, j - i).astype(float), np.zeros(j - i)
+                heads = np.flatnonzero(~other[i:j])
+                starts = np.r_[0, heads] if not len(heads) or heads[0] else heads
+                for x, y in zip(starts, np.r_[starts[1:], j - i]):
+                    if not other[i + x]:
+                        head_h, head_c = h[edge[x] : edge[x + 1]].copy(), c[edge[x] : edge[x + 1]].copy()
+                        size = head_c.sum()
+                    lo, hi = edge[x], edge[y]
+                    if len(head_h) and hi > lo:
+                        at = np.minimum(np.searchsorted(head_h, h[lo:hi]), len(head_h) - 1)
+                        both = np.where(head_h[at] == h[lo:hi], np.minimum(head_c[at], c[lo:hi]), 0.0)
+                        shared[x:y] = np.bincount(doc[lo:hi] - x, both, y - x)
+                    total[x:y] += size - shared[x:y]
+                rows = pa.array(i + np.flatnonzero(other[i:j]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array((shared / np.maximum(total, 1))[other[i:j]])], ["centre", "node", "similarity"])
+
+    counts = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "neardup-centres")
+    sliced = join_by_key(pairs, counts, ["centre"]).select("centre", "node", F.expr(f"cast(pmod(xxhash64(node), ceil(n / {SLICE})) as int)").alias("slice"))
+    members = sliced.join(texts, "node").select("centre", "slice", "node", F.lit(True).alias("other"), "text")
+    heads = sliced.select("centre", "slice").distinct().join(texts.withColumnRenamed("node", "centre"), "centre").select("centre", "slice", F.col("centre").alias("node"), F.lit(False).alias("other"), "text")
+    dealt = heads.unionByName(members).repartition("centre", "slice").sortWithinPartitions("centre", "slice", "other")
+    return arrow_map(dealt.select("centre", "node", "other", "text"), run, f"centre {_NODE}, node {_NODE}, similarity double")
 
 
 #: A node is a text: the smallest doc_id that has it, and a digest that tells apart texts of a repeated doc_id.
@@ -209,7 +219,8 @@ def unshared(open_nodes: DataFrame, body: DataFrame) -> DataFrame:
                 doc, h, w = weighted_sets(raw[o[0] : o[-1]], o - o[0])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + doc)), pa.array(h.view(np.int64)), pa.array(w)], ["node", "h", "w"])
 
-    each = body.join(open_nodes, "node", "left_semi").select("node", "text").mapInArrow(run, f"node {_NODE}, h long, w double")
+    each = body.join(open_nodes, "node", "left_semi").select("node", "text")
+    each = arrow_map(each, run, f"node {_NODE}, h long, w double")
     single = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("w").alias("w")).where("node = other")
     return single.groupBy("node").agg(F.sum("w").alias("alone"))
 
@@ -230,55 +241,63 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _open(rows: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The rows (band, key, node, ...) of keys whose texts are in several classes, with the class of each row and the
-    smallest size of each key."""
+    """The rows (band, key, node, ...) of keys whose texts are in several classes, with the class of each row, and the
+    number of rows and the smallest size of each key."""
     rows = rows.withColumn("class", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     rows = written(rows, "neardup-rows")
-    keys = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("size").alias("least")).where("lo != hi").select("band", "key", "least")
-    return written(rows.join(keys, ["band", "key"]), "neardup-open")
+    keys = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n"))
+    keys = written(keys.where("lo != hi").select("band", "key", "least", "n"), "neardup-keys")
+    out = written(join_by_key(rows, keys, ["band", "key"]), "neardup-open")
+    discard(rows, keys)
+    return out
 
 
 def _met(state: DataFrame, best: DataFrame, body: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of state other than their key's centre (band, key, centre) with the similarity to it as column `name`,
-    and all (a, b, similarity) that were computed for that."""
-    rows = state.join(best, ["band", "key"]).where("node != centre").withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")})
-    rows = written(rows, "neardup-met")
-    known = written(similar(rows.select("a", "b").distinct(), body), "neardup-similar")
-    return rows.join(known.withColumnRenamed("similarity", name), ["a", "b"]).drop("a", "b", "centre"), known
+    """The rows of state other than their key's centre (band, key, centre, n) with the similarity to it as column `name`,
+    and all (centre, node, similarity) that were computed for that."""
+    best = written(best, "neardup-best")
+    rows = written(join_by_key(state, best, ["band", "key"]).where("node != centre").drop("n"), "neardup-met")
+    pairs = written(rows.select("centre", "node").distinct(), "neardup-pairs")
+    known = written(similar(pairs, body), "neardup-similar")
+    out = written(rows.join(known.withColumnRenamed("similarity", name), ["centre", "node"]).drop("centre"), "neardup-compared")
+    discard(best, rows, pairs)
+    return out, known
 
 
 def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFrame | None:
     """(node, class) of the texts that are linked with others. texts: node, size, bits, keys; base: node, text of them at
     least. None if there is no link."""
-    enough = F.col("similarity") >= threshold - 1e-12
+    linked = lambda known: known.where(F.col("similarity") >= threshold - 1e-12).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     keyed = texts.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    state = written(keyed.join(sizes, ["band", "key"]), "neardup-members")
+    sizes = written(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-sizes")
+    state = written(join_by_key(keyed, sizes, ["band", "key"]), "neardup-members")
     # The best centre is the text that shares most keys with most texts: of a base and its edited copies, the base.
-    degree = state.groupBy("node").agg(F.sum("n").alias("degree"))
-    body = written(base.join(degree.select("node"), "node", "left_semi"), "neardup-bodies")
-    state = state.join(degree, "node")
-    best = state.groupBy("band", "key").agg(F.max_by("node", F.struct("degree", (-F.col("node.id")).alias("i"), F.col("node.t"))).alias("centre"))
-    rest, known = _met(state.drop("n", "degree"), best, body, "s1")
-    label = _relabelled(None, known.where(enough).select("a", "b"))
+    degree = written(state.groupBy("node").agg(F.sum("n").alias("degree")), "neardup-degree")
+    body = written(base.join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "neardup-bodies")
+    best = state.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", (-F.col("node.id")).alias("i"), F.col("node.t"))).alias("centre"), F.max("n").alias("n"))
+    rest, known = _met(state.drop("n"), best, body, "s1")
+    discard(sizes, state, degree)
+    label = _relabelled(None, linked(known))
     state = _open(rest, label)
     if state.isEmpty():
         return label
     # Texts whose shareable weight is too small for any partner of their key leave.
     share = state.join(unshared(state.select("node").distinct(), body), "node", "left").withColumn("share", F.col("size") - F.coalesce("alone", F.lit(0.0)))
     limit = threshold - 1e-9
-    able = share.where(F.col("share") >= limit * (F.greatest("least", "share") + F.col("size") - F.col("share"))).drop("alone", "least", "class")
+    able = share.where(F.col("share") >= limit * (F.greatest("least", "share") + F.col("size") - F.col("share"))).drop("alone", "least", "class", "n")
     state = _open(able, label)
     if state.isEmpty():
         return label
-    best = state.groupBy("band", "key").agg(F.min_by("node", F.struct("s1", "node")).alias("centre"))
-    rest, known = _met(state.drop("class", "least"), best, body, "s2")
-    label = _relabelled(label, known.where(enough).select("a", "b"))
+    best = state.groupBy("band", "key").agg(F.min_by("node", F.struct("s1", "node")).alias("centre"), F.max("n").alias("n"))
+    rest, known = _met(state.drop("class", "least", "n"), best, body, "s2")
+    label = _relabelled(label, linked(known))
     state = _open(rest, label)
     if state.isEmpty():
         return label
-    state = state.join(texts.select("node", "bits", "keys"), "node")
-    side = lambda x: state.select("band", "key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "class", "size", "bits", "keys", "s1", "s2")])
+    # A key's texts are cut into blocks; every pair of blocks is a group of its own, of at most about 2 * BLOCK texts.
+    state = state.join(texts.select("node", "bits", "keys"), "node").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    state = state.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    side = lambda x, at: state.select("band", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "class", "size", "bits", "keys", "s1", "s2")]).withColumnsRenamed(at)
     near = lambda c: F.abs(F.col(f"{c}_x") - F.col(f"{c}_y")) <= 1 - limit
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(BITMAP)])
     common = (F.col("size_x") + F.col("size_y") - differ) / 2
@@ -286,10 +305,11 @@ def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFra
     # centre or ruled out.
     before = reduce(lambda a, b: a | b, [(F.col("band") > k) & (F.col("keys_x")[k] == F.col("keys_y")[k]) for k in range(BANDS - 1)])
     possible = (F.col("node_x") < F.col("node_y")) & (F.col("class_x") != F.col("class_y")) & near("s1") & near("s2") & (common >= limit * (F.col("size_x") + F.col("size_y") - common)) & ~before
-    x, y = side("x"), side("y").withColumnsRenamed({"band": "band_y", "key": "key_y"})
-    pairs = x.join(y, (F.col("band") == F.col("band_y")) & (F.col("key") == F.col("key_y")) & possible)
-    known = written(similar(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), body), "neardup-similar")
-    return _relabelled(label, known.where(enough).select("a", "b"))
+    x = side("x", {"block": "block_x", "to": "block_y"})
+    y = side("y", {"block": "block_y", "to": "block_x"})
+    pairs = x.join(y, ["band", "key", "block_x", "block_y"]).where(possible).select(F.col("node_x").alias("centre"), F.col("node_y").alias("node")).distinct()
+    known = written(similar(written(pairs, "neardup-pairs"), body), "neardup-similar")
+    return _relabelled(label, linked(known))
 
 
 def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +327,8 @@ def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         found = found.join(label, "node", "left").select("t1", "t2", "copies", F.coalesce("class", "node").alias("class"))
     else:
         found = found.select("t1", "t2", "copies", F.col("node").alias("class"))
-    rows = compared.select("doc_id", "t1", "t2").join(found, ["t1", "t2"])
+    found = written(found, "neardup-found")
+    rows = join_by_key(compared.select("doc_id", "t1", "t2"), found, ["t1", "t2"], "copies")
     return rows, signed.where((F.size("keys") <= 0) | F.col("doc_id").isNull()).select("doc_id")
 
 
@@ -336,7 +357,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = written(found.select(F.col("doc_id").alias("_neardup_id"), F.col("t1").alias("_neardup_t1"), F.col("t2").alias("_neardup_t2"), "stays"), "neardup-found")
     keys, text = ["_neardup_id", "_neardup_t1", "_neardup_t2"], F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"_neardup_id": F.col("doc_id").cast("long"), "_neardup_t1": F.xxhash64(text), "_neardup_t2": F.xxhash64(F.lit(17), text)})
-    kept = keyed.join(found, keys, "left_anti")
+    kept = keyed.join(found.hint("merge"), keys, "left_anti")
     again = found.where("stays").select(*keys)
     if not again.isEmpty():
         kept = kept.unionByName(keyed.join(again, keys, "left_semi").dropDuplicates(keys))

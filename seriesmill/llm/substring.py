@@ -6,8 +6,8 @@ packed string of words to the minimiser's bucket, where sorting finds for each w
 
 Equal texts are one text from the start (all but the first lose everything). Minimisers that only one document has
 cannot hold a repeated window; only the super-k-mers of the others travel, and equal packed strings are combined
-before they do. A bucket of more than BUCKET_STRINGS distinct strings is dealt out anew by window instead, so that a
-hot passage never meets in one task.
+before they do. A bucket of more than BUCKET_STRINGS distinct strings is dealt out anew by window instead, and hot
+minimisers, strings and windows stay with their rows, so that a hot passage never meets in one task.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, ngrams, text_buffer, written
+from .common import CHUNK_BYTES, Words, arrow_map, chunks, discard, join_by_key, ngrams, text_buffer, written
 
 WINDOW, MMER = 50, 8
 #: Windows in a super-k-mer at most; a longer run with one minimiser is several.
 RUN = 64
-BUCKET_STRINGS = 20_000
+BUCKET_STRINGS = 512
 
 
 def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -60,18 +60,14 @@ def _sketch(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(3))
-            parts, count = [], np.zeros(b.num_rows, np.int64)
             for i, j in chunks(offsets):
                 o = offsets[i : j + 1]
-                doc, start, n, mini = super_kmers(Words(raw[o[0] : o[-1]], o - o[0]), window)
-                count[i:j] += np.bincount(doc, minlength=j - i)
-                parts.append((start, n, mini))
-            edges = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
-            start, n, mini = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (start.astype(np.int32), n.astype(np.int32), mini.astype(np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["doc_id", "t1", "t2", "start", "n", "mini"])
+                doc, *found = super_kmers(Words(raw[o[0] : o[-1]], o - o[0]), window)
+                edges = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=j - i))].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (found[0].astype(np.int32), found[1].astype(np.int32), found[2].astype(np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), *lists], ["doc_id", "t1", "t2", "start", "n", "mini"])
 
-    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, start array<int>, n array<int>, mini array<long>")
+    return arrow_map(docs.select("doc_id", "t1", "t2", "text"), run, "doc_id long, t1 long, t2 long, start array<int>, n array<int>, mini array<long>")
 
 
 def _packed(rows: DataFrame, window: int) -> DataFrame:
@@ -80,22 +76,26 @@ def _packed(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, t, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            hits = b.column(3)
+            edge, flat = hits.offsets.to_numpy(), hits.values
+            start, n, mini = (flat.field(k).to_numpy() for k in range(3))
+            out, size = [], 0
+            for doc, t, text, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), edge[:-1].tolist(), edge[1:].tolist()):
                 words = text.as_py().encode().split()
-                for h in hits:
-                    packed = b" ".join(words[h["start"] : h["start"] + h["n"] + window - 1])
+                for x, k, m in zip(start[lo:hi].tolist(), n[lo:hi].tolist(), mini[lo:hi].tolist()):
+                    packed = b" ".join(words[x : x + k + window - 1])
                     d = hashlib.blake2b(packed, digest_size=16).digest()
-                    out.append((doc, t, h["start"], h["n"], h["mini"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), packed))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                    out = []
+                    out.append((doc, t, x, k, m, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), packed))
+                    size += len(packed)
+                    if size > CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                        out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def _windows(packed: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _earliest_in_bucket(strings: DataFrame, window: int) -> DataFrame:
             yield solve(pa.Table.from_batches(kept))
 
     dealt = strings.select("mini", "p1", "p2", "least", "packed").repartition("mini").sortWithinPartitions("mini")
-    return dealt.mapInArrow(run, "mini long, p1 long, p2 long, firsts array<long>")
+    return arrow_map(dealt, run, "mini long, p1 long, p2 long, firsts array<long>")
 
 
 def _earliest_by_window(strings: DataFrame, window: int) -> DataFrame:
@@ -150,9 +150,9 @@ def _earliest_by_window(strings: DataFrame, window: int) -> DataFrame:
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays([*(s.column(k).take(take) for k in range(4)), pa.array(nth.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["mini", "p1", "p2", "least", "nth", "w1", "w2"])
 
-    each = strings.select("mini", "p1", "p2", "least", "packed").mapInArrow(run, "mini long, p1 long, p2 long, least long, nth int, w1 long, w2 long")
-    first = each.groupBy("w1", "w2").agg(F.min("least").alias("first"))
-    return each.join(first, ["w1", "w2"]).groupBy("mini", "p1", "p2").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "first"))), lambda x: x["first"]).alias("firsts"))
+    each = written(arrow_map(strings.select("mini", "p1", "p2", "least", "packed"), run, "mini long, p1 long, p2 long, least long, nth int, w1 long, w2 long"), "substring-windows")
+    first = written(each.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "substring-firsts")
+    return join_by_key(each, first, ["w1", "w2"]).groupBy("mini", "p1", "p2").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "first"))), lambda x: x["first"]).alias("firsts"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
@@ -162,26 +162,33 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
     window, the smallest doc_id that has it. Texts without either are left out.
     """
     signed = written(_sketch(docs, window), "substring-signed")
-    texts = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("start", "n", "mini")])
+    texts = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"), *[F.first(c).alias(c) for c in ("start", "n", "mini")])
     texts = written(texts, "substring-texts")
     each = texts.select(F.col("rep").alias("doc_id"), "t1", F.explode(F.arrays_zip("start", "n", "mini")).alias("x")).select("doc_id", "t1", "x.*")
-    shared = each.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mini")
-    hits = each.join(shared, "mini").groupBy("doc_id", "t1").agg(F.collect_list(F.struct("start", "n", "mini")).alias("hits"))
+    shared = each.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("mini", "k")
+    shared = written(shared, "substring-shared")
+    hits = join_by_key(each, shared, ["mini"], "k").groupBy("doc_id", "t1").agg(F.collect_list(F.struct("start", "n", "mini")).alias("hits"))
     packed = written(_packed(docs.join(hits, ["doc_id", "t1"]).select("doc_id", "t1", "text", "hits"), window), "substring-packed")
-    strings = packed.groupBy("mini", "p1", "p2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("packed").alias("packed"))
+    discard(shared)
+    strings = packed.groupBy("mini", "p1", "p2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("k"), F.first("packed").alias("packed"))
     strings = written(strings, "substring-strings")
     large = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > bucket_strings).select("mini")
     if large.isEmpty():
         first = _earliest_in_bucket(strings, window)
     else:
+        large = written(large, "substring-large")
         first = _earliest_in_bucket(strings.join(large, "mini", "left_anti"), window).unionByName(_earliest_by_window(strings.join(large, "mini", "left_semi"), window))
     # A string that one document has, and whose windows it has first, repeats nothing.
-    ends = strings.select("mini", "p1", "p2", "least", "most")
+    ends = strings.select("mini", "p1", "p2", "least", "most", "k")
     first = first.join(ends, ["mini", "p1", "p2"]).where((F.col("least") < F.col("most")) | (F.array_min("firsts") < F.col("least")))
-    members = packed.drop("packed", "n").join(first.select("mini", "p1", "p2", "firsts"), ["mini", "p1", "p2"]).where(F.array_min("firsts") < F.col("doc_id"))
+    first = written(first.select("mini", "p1", "p2", "firsts", "k"), "substring-first")
+    members = join_by_key(packed.drop("packed", "n"), first, ["mini", "p1", "p2"], "k").where(F.array_min("firsts") < F.col("doc_id"))
     runs = members.groupBy("doc_id", "t1").agg(F.collect_list(F.struct("start", "firsts")).alias("runs"))
-    whole = signed.join(texts.select("t1", "t2", "rep"), ["t1", "t2"]).where("doc_id > rep").select("doc_id", "t1").distinct()
-    return runs.select("doc_id", "t1", F.lit(False).alias("whole"), "runs").unionByName(whole.select("doc_id", "t1", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<start:int,firsts:array<bigint>>>").alias("runs")))
+    copied = written(texts.where("n_rows > 1").select("t1", "t2", "rep", "n_rows"), "substring-copied")
+    whole = join_by_key(signed.select("doc_id", "t1", "t2"), copied, ["t1", "t2"], "n_rows").where("doc_id > rep").select("doc_id", "t1").distinct()
+    out = written(runs.select("doc_id", "t1", F.lit(False).alias("whole"), "runs").unionByName(whole.select("doc_id", "t1", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<start:int,firsts:array<bigint>>>").alias("runs"))), "substring-found")
+    discard(signed, texts, packed, strings, first, copied)
+    return out
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
@@ -216,4 +223,4 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUC
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return base.join(found, ["doc_id", "t1"], "left").select("doc_id", "text", "whole", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return arrow_map(base.join(found.hint("merge"), ["doc_id", "t1"], "left").select("doc_id", "text", "whole", "runs"), run, "doc_id long, n_words long, n_removed long, kept string")
