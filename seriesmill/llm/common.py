@@ -23,9 +23,12 @@ HOT_KEYS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of its own only where none is set, as in tests."""
+    """The shared folder that the cluster names; one of its own only where none is set and Spark runs on this machine, as
+    in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='seriesmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,6 +77,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}" if k else name).lower() not in taken)
+
+
 # --------------------------------------------------------------------------- text buffers
 
 

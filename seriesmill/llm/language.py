@@ -18,9 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, text_buffer
+from .common import Words, arrow_map, chunks, fresh, text_buffer
 
 SEGMENT = 24
+#: Bytes of text of which equal segments are read once.
+SCORED = 4_000_000
 UNKNOWN = "und"
 
 
@@ -124,7 +126,7 @@ class ByteGru:
         """Summed position probabilities (texts, languages), and the number of positions of each text."""
         raw, offsets = text_buffer(texts)
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, SCORED):
             o = offsets[i : j + 1]
             doc, start, size, key = segments_of(raw[o[0] : o[-1]], o - o[0])
             if not len(doc):
@@ -194,7 +196,7 @@ def training_segments(labelled: DataFrame, docs_a_lang: int, segments_a_doc: int
 
     # A fraction of the sum hash decides, so the sample is the same on every run and for every partitioning.
     chosen = labelled.where((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) / 1_000_003) < share[F.col("lang")])
-    rows = chosen.select("text", "lang").mapInArrow(run, "lang string, seg binary").distinct().toArrow().sort_by([("lang", "ascending"), ("seg", "ascending")])
+    rows = arrow_map(chosen.select("text", "lang"), run, "lang string, seg binary").distinct().toArrow().sort_by([("lang", "ascending"), ("seg", "ascending")])
     langs = sorted(sizes)
     at = {k: i for i, k in enumerate(langs)}
     return langs, [bytes(x) for x in rows["seg"].to_pylist()], np.array([at[k] for k in rows["lang"].to_pylist()], int)
@@ -213,14 +215,14 @@ def train(labelled: DataFrame, docs_a_lang: int = 300, segments_a_doc: int = 60,
     return ByteGru(langs, hidden).fit(segs, labels, steps)
 
 
-def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to (all columns of) docs.
+def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds pred_col and score_col to (all columns of) docs.
 
     score is the mean probability of the predicted language over all byte positions of the whole text. A text that is
     null or has no letter is 'und' with score 0, as is every text without a model. Ties go to the first language by
-    name. Columns of the input keep their names; lang_pred and score are replaced if the input has them.
+    name. Columns of the input keep their names; columns named like the new ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(pred_col, score_col)
     names = docs.columns
     raw_model = pickle.dumps(model)
 
@@ -236,10 +238,10 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
                 k = total.argmax(1)
                 best = np.where(letter, np.array(net.langs, object)[k], UNKNOWN)
                 score = np.where(letter, np.clip(total[np.arange(len(k)), k] / np.maximum(count, 1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(best), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(best), pa.string()), pa.array(score, pa.float64())], [*names, pred_col, score_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return arrow_map(docs, run, f"{fields}, `{pred_col}` string, `{score_col}` double")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
@@ -262,5 +264,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3, **options) -> DataFrame
     model = train(labelled_rows(docs), **options)
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = predict(docs.select("*"), model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = predict(docs, model, pred_col=pred, score_col=score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

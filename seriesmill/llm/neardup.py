@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, chunks, discard, join_by_key, mix, shingles, text_buffer, written
+from .common import Words, arrow_map, chunks, discard, fresh, join_by_key, mix, shingles, text_buffer, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Texts of similarity 0.8 share no band with probability (1 - 0.8**4)**15, 4 in 10,000.
 BANDS, ROWS = 15, 4
 HASHES = BANDS * ROWS
 #: Pairs of a centre that are compared in one piece, and texts of a key in a block of the last step.
-SLICE, BLOCK = 512, 512
+SLICE, BLOCK = 128, 512
 #: Longs in a text's parity bitmap.
 BITMAP = 8
 #: Expected darts below rank bound 1: a coordinate stays empty with probability exp(-DARTS / HASHES), then the bound grows.
@@ -179,6 +179,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     counts = written(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "neardup-centres")
     sliced = join_by_key(pairs, counts, ["centre"]).select("centre", "node", F.expr(f"cast(pmod(xxhash64(node), ceil(n / {SLICE})) as int)").alias("slice"))
+    texts = texts.hint("merge")
     members = sliced.join(texts, "node").select("centre", "slice", "node", F.lit(True).alias("other"), "text")
     heads = sliced.select("centre", "slice").distinct().join(texts.withColumnRenamed("node", "centre"), "centre").select("centre", "slice", F.col("centre").alias("node"), F.lit(False).alias("other"), "text")
     dealt = heads.unionByName(members).repartition("centre", "slice").sortWithinPartitions("centre", "slice", "other")
@@ -219,7 +220,7 @@ def unshared(open_nodes: DataFrame, body: DataFrame) -> DataFrame:
                 doc, h, w = weighted_sets(raw[o[0] : o[-1]], o - o[0])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + doc)), pa.array(h.view(np.int64)), pa.array(w)], ["node", "h", "w"])
 
-    each = body.join(open_nodes, "node", "left_semi").select("node", "text")
+    each = body.join(open_nodes.hint("merge"), "node", "left_semi").select("node", "text")
     each = arrow_map(each, run, f"node {_NODE}, h long, w double")
     single = each.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.max("w").alias("w")).where("node = other")
     return single.groupBy("node").agg(F.sum("w").alias("alone"))
@@ -273,7 +274,7 @@ def text_classes(texts: DataFrame, base: DataFrame, threshold: float) -> DataFra
     state = written(join_by_key(keyed, sizes, ["band", "key"]), "neardup-members")
     # The best centre is the text that shares most keys with most texts: of a base and its edited copies, the base.
     degree = written(state.groupBy("node").agg(F.sum("n").alias("degree")), "neardup-degree")
-    body = written(base.join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "neardup-bodies")
+    body = written(base.join(degree.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "neardup-bodies")
     best = state.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", (-F.col("node.id")).alias("i"), F.col("node.t"))).alias("centre"), F.max("n").alias("n"))
     rest, known = _met(state.drop("n"), best, body, "s1")
     discard(sizes, state, degree)
@@ -352,13 +353,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     words or no doc_id stay.
     """
     rows, _ = _classed(docs, threshold)
+    *keys, stay = (fresh(docs, f"_neardup_{c}") for c in ("id", "t1", "t2", "stays"))
     stays = (F.col("doc_id") == F.col("class").getField("id")) & (F.col("t1") == F.col("class").getField("t"))
     found = rows.groupBy("doc_id", "t1", "t2").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
-    found = written(found.select(F.col("doc_id").alias("_neardup_id"), F.col("t1").alias("_neardup_t1"), F.col("t2").alias("_neardup_t2"), "stays"), "neardup-found")
-    keys, text = ["_neardup_id", "_neardup_t1", "_neardup_t2"], F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_neardup_id": F.col("doc_id").cast("long"), "_neardup_t1": F.xxhash64(text), "_neardup_t2": F.xxhash64(F.lit(17), text)})
+    found = written(found.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "t1", "t2"), keys)], F.col("stays").alias(stay)), "neardup-found")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns(dict(zip(keys, (F.col("doc_id").cast("long"), F.xxhash64(text), F.xxhash64(F.lit(17), text)))))
     kept = keyed.join(found.hint("merge"), keys, "left_anti")
-    again = found.where("stays").select(*keys)
+    again = found.where(F.col(stay)).select(*keys)
     if not again.isEmpty():
         kept = kept.unionByName(keyed.join(again, keys, "left_semi").dropDuplicates(keys))
     return kept.select(*docs.columns)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -68,6 +70,45 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert pii.redact(df.where("false")).count() == 0
 
 
+def test_redaction_keeps_columns_of_its_own_names(spark):
+    df = frame(spark, [(1, "mail a@b.cc now")]).selectExpr("*", "doc_id as pii_spans", "7 as PII_spans__email", "8 as pii_spans_1")
+    out = pii.redact(df)
+    assert out.columns == df.columns and [tuple(r)[8:] for r in out.collect()] == [(1, 7, 8)]
+
+
+def redacted(t):
+    spans = sorted(((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute(t).split(",") if x)), key=lambda s: (s[0], -s[1]))
+    out, at = "", 0
+    for a, b, k in spans:
+        if a >= at:
+            out += t[at:a] + "[" + k.upper() + "]"
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_many_spans(spark):
+    """More spans than a piece has, over more text than a block has, with overlaps of kinds."""
+    rng = random.Random(4)
+    parts = ["a@b.cc", "1.2.3.4", "1.2.3.4a@b.cc", "+1 559 555 3893", "é\U0001f600 word", "4111 1111 1111 1111", "x" * 300, "y " * 200]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (1, 255, 256, 257, 700, 3000)]
+    check(spark, texts)
+    got = {r.doc_id: r.text for r in pii.redact(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [redacted(t) for t in texts]
+
+
+def test_time_follows_the_number_of_spans(spark):
+    took = {}
+    for n in (4_000, 16_000):
+        df = frame(spark, [(1, "a@b.cc " * n)]).coalesce(1)
+        best = []
+        for _ in range(2):
+            began = time.time()
+            assert pii.detect(df).first().n_email == n and pii.redact(df).first().text == "[EMAIL] " * n
+            best.append(time.time() - began)
+        took[n] = min(best)
+    assert took[16_000] < 9 * took[4_000] + 1
+
+
 def test_main_path_has_no_python(spark, docs):
     for df in (pii.detect(docs), pii.redact(docs)):
         plan = df._jdf.queryExecution().toString()
