@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import arrow_map
 
 #: Cost, in tokens of padding, of one more cut; no piece shorter than SHORTEST is cut off.
 CUT_COST, SHORTEST = 6.0, 16
@@ -131,4 +132,4 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, tokenizer: str
             yield out(rows)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)

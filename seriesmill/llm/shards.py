@@ -1,7 +1,7 @@
 """Token sequences in training order, in binary shards of fixed stride.
 
-Documents become sequences of at most LENGTH ids. A first pass writes them with their place (partition, position)
-to the shared folder; the partitions' counts give every sequence a dense number. A keyed Feistel network over the
+Documents are packed into sequences of LENGTH ids by the harmonic packer of each worker, so that the fixed stride holds
+little padding. A first pass writes them with their place (partition, position) to the shared folder; the partitions' counts give every sequence a dense number. A keyed Feistel network over the
 next even number of bits, walked along its cycle until it lands below the number of sequences, permutes the numbers:
 that is the sequence's global slot, computed from key and number alone. Shard s holds slots s*SIZE to (s+1)*SIZE - 1 in
 order, each in exactly stride bytes, so a reader finds any slot by a multiplication and resumes anywhere.
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import mix, written
+from .common import arrow_map, mix, written
+from .packing import Packer
 
 LENGTH, SHARD_SEQUENCES, ROUNDS = 512, 4096, 6
 _U = np.uint64
@@ -61,42 +62,51 @@ def unpermute(slots: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_PIECES = "array<struct<doc_id:bigint,start:bigint,n_tokens:int,offset:int>>"
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, end_id: int = 50256, tokenizer: str | None = None) -> DataFrame:
-    """part, pos, doc_id, seq, n_tokens, ids (little-endian uint16 or uint32, unpadded) of every sequence."""
-    schema = "part int, pos long, doc_id long, seq int, n_tokens int, ids binary"
+    """part, pos, n_ids, pieces (what of which document stands where), ids (little-endian uint16 or uint32, unpadded) of
+    every sequence."""
+    schema = f"part int, pos long, n_ids int, pieces {_PIECES}, ids binary"
+    size = width(end_id, tokenizer)
+    piece = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int32()), ("offset", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, pos, rows = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0, []
+        enc, part, packer = tokens.encoder(tokenizer), TaskContext.get().partitionId(), Packer(length, 0)
+        end, rows = np.array([end_id], np.uint32), []
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "pos", "doc_id", "seq", "n_tokens", "ids"])
+            number = np.array([r[4] for r in rows])
+            first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            edges = np.r_[first, len(rows)].astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*((r[0], r[1], len(r[2]), r[5]) for r in rows)), (f.type for f in piece))], fields=list(piece))
+            ids = [np.concatenate([r[2] for r in rows[i:j]]).astype(f"<u{size}") for i, j in zip(edges, edges[1:])]
+            columns = [pa.array([part] * len(first), pa.int32()), pa.array(number[first], pa.int64()), pa.array(list(map(len, ids)), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), flat), pa.array([x.tobytes() for x in ids], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "pos", "n_ids", "pieces", "ids"])
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.ids(text.as_py()), np.uint32(end_id)).astype(f"<u{width(end_id)}")
-                for s in range(0, len(ids), length):
-                    piece = ids[s : s + length]
-                    rows.append((part, pos, doc, s // length, len(piece), piece.tobytes()))
-                    pos += 1
+                rows += packer.add(doc, np.concatenate([enc.ids(text.as_py()), end]))
                 if len(rows) >= 4000:
                     yield out()
                     rows = []
+        rows += packer.finish()
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
-def width(largest_id: int) -> int:
-    """Bytes an id: two if the vocabulary (whose closing id is its largest) fits."""
-    return 2 if largest_id < 65536 else 4
+def width(end_id: int, tokenizer: str | None = None) -> int:
+    """Bytes an id: two if the vocabulary and the closing id fit."""
+    return 2 if max(end_id, tokens.largest_id(tokenizer)) < 65536 else 4
 
 
 def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, end_id: int = 50256, tokenizer: str | None = None) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, seq, n_tokens, ids of every sequence, range-partitioned and sorted by slot.
+    """slot, shard, byte_offset, n_ids, pieces, ids of every sequence, range-partitioned and sorted by slot.
 
-    A null or empty text is one sequence of the closing id. A null or repeated doc_id is kept as it is. Other columns
+    A null or empty text is the closing id alone. A null or repeated doc_id is kept as it is. Other columns
     are ignored; an empty table gives no rows.
     """
     rows = written(sequences(docs, length, end_id, tokenizer), "shards-sequences")
@@ -113,12 +123,12 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
             part = b.column(0).to_numpy()
             values, inverse = np.unique(part, return_inverse=True)
             number = np.array([offsets[int(p)] for p in values], np.int64)[inverse] + b.column(1).to_numpy() if len(part) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), *b.columns[2:]], ["slot", "doc_id", "seq", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), *b.columns[2:]], ["slot", "n_ids", "pieces", "ids"])
 
     if not total:
-        return spark.createDataFrame([], "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, ids binary")
-    placed = rows.mapInArrow(run, "slot long, doc_id long, seq int, n_tokens int, ids binary")
-    stride = length * width(end_id)
+        return spark.createDataFrame([], f"slot long, shard long, byte_offset long, n_ids int, pieces {_PIECES}, ids binary")
+    placed = arrow_map(rows, run, f"slot long, n_ids int, pieces {_PIECES}, ids binary")
+    stride = length * width(end_id, tokenizer)
     placed = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}")).withColumn("byte_offset", (F.col("slot") % shard_sequences) * stride)
     # Slots are dense, so equal ranges of shards are equal amounts of work: no sampling is needed to find their edges, and
     # a range's number is its partition.
@@ -126,17 +136,16 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
     wanted = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = placed.withColumn("_range", F.expr(f"cast(shard * {wanted} div {shards} as int)"))
     out = dealt.repartitionById(wanted, F.col("_range")).sortWithinPartitions("slot")
-    return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids")
+    return out.select("slot", "shard", "byte_offset", "n_ids", "pieces", "ids")
 
 
-def _stored(batches: Iterator[pa.RecordBatch], uri: str, length: int, pad_id: int) -> Iterator[tuple[int, str, int, int, list[pa.RecordBatch]]]:
+def _stored(batches: Iterator[pa.RecordBatch], uri: str, length: int, pad_id: int, size: int) -> Iterator[tuple[int, str, int, int, list[pa.RecordBatch]]]:
     """Write batches of shard, ids and further columns as files; shard, path, sequences, crc32 and the further columns of
     each, once it stands under its own name."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    size = width(pad_id)
     pad = np.array([pad_id] * length, f"<u{size}").tobytes()
     attempt = TaskContext.get().taskAttemptId()
     now, stream, temporary, n, crc, rest = None, None, "", 0, 0, []
@@ -168,59 +177,64 @@ def _stored(batches: Iterator[pa.RecordBatch], uri: str, length: int, pad_id: in
         yield close()
 
 
-def write_shards(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256) -> DataFrame:
+def write_shards(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256, tokenizer: str | None = None) -> DataFrame:
     """Write `ordered` rows as files shard-%08d.bin under uri (a folder that all executors reach); returns shard, path,
     sequences, bytes, crc32 of each. A shard is written under another name first and then moved, so that a repeated
     task replaces it as a whole. Rows of a shard must stand together, as `ordered` leaves them."""
-    schema = "shard long, path string, sequences long, bytes long, crc32 long"
+    schema, size = "shard long, path string, sequences long, bytes long, crc32 long", width(pad_id, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, path, n, crc, _ in _stored(batches, uri, length, pad_id):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, path, n, n * length * width(pad_id), crc), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "sequences", "bytes", "crc32"])
+        for now, path, n, crc, _ in _stored(batches, uri, length, pad_id, size):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, path, n, n * length * size, crc), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "sequences", "bytes", "crc32"])
+
+    return arrow_map(sequences_in_order.select("shard", "ids"), run, schema)
+
 
-    return sequences_in_order.select("shard", "ids").mapInArrow(run, schema)
+_DIGEST = "slot long, shard long, byte_offset long, doc_id long, start long, n_tokens int, offset int, ids_crc32 long"
 
 
-def written_digest(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256) -> DataFrame:
+def written_digest(sequences_in_order: DataFrame, uri: str, length: int = LENGTH, pad_id: int = 50256, tokenizer: str | None = None) -> DataFrame:
     """Write `ordered` rows as `write_shards` does, read each shard back once it stands, and return the rows of `digest`
-    with the CRC-32 of the ids found at byte_offset. A place without the row's ids and padding raises."""
-    names = ["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens"]
+    with the CRC-32 of the ids found in the file. A place without the row's ids and padding raises."""
+    size = width(pad_id, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(uri)
-        size = width(pad_id)
         stride, pad = length * size, np.array([pad_id] * length, f"<u{size}").tobytes()
-        for shard, path, n, _, rest in _stored(batches, uri, length, pad_id):
+        for shard, path, n, _, rest in _stored(batches, uri, length, pad_id, size):
             with store.open_input_file(path) as f:
-                data = f.read()
-            if len(data) != n * stride:
-                raise OSError(f"{path} has {len(data)} bytes, not {n} x {stride}")
-            for b in rest:
-                found = []
-                for at, k in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
-                    row = data[at : at + stride]
-                    if len(row) != stride or row[k * size :] != pad[k * size :]:
-                        raise OSError(f"{path} has no sequence of {k} ids at {at}")
-                    found.append(zlib.crc32(row[: k * size]))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shard] * b.num_rows, pa.int64()), *b.columns[1:], pa.array(found, pa.int64())], [*names, "ids_crc32"])
-
-    rows = sequences_in_order.select("shard", "ids", *[c for c in names if c != "shard"])
-    return rows.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, ids_crc32 long")
-
-
-def read_slot(uri: str, slot: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, pad_id: int = 50256) -> np.ndarray:
+                if f.size() != n * stride:
+                    raise OSError(f"{path} has {f.size()} bytes, not {n} x {stride}")
+                for b in rest:
+                    rows = []
+                    for slot, at, k, pieces in zip(*(c.to_pylist() for c in b.columns)):
+                        row = f.read_at(stride, at)
+                        if row[k * size :] != pad[k * size :]:
+                            raise OSError(f"{path} has no sequence of {k} ids at {at}")
+                        rows += [(slot, shard, at, p["doc_id"], p["start"], p["n_tokens"], p["offset"], zlib.crc32(row[p["offset"] * size : (p["offset"] + p["n_tokens"]) * size])) for p in pieces]
+                    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in _DIGEST.split(", ")])
+
+    return arrow_map(sequences_in_order.select("shard", "ids", "slot", "byte_offset", "n_ids", "pieces"), run, _DIGEST)
+
+
+def read_slot(uri: str, slot: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, pad_id: int = 50256, tokenizer: str | None = None) -> np.ndarray:
     """The padded ids of one slot, by seeking."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
-    size = width(pad_id)
+    size = width(pad_id, tokenizer)
     with store.open_input_file(f"{root}/shard-{slot // shard_sequences:08d}.bin") as f:
         f.seek((slot % shard_sequences) * length * size)
         return np.frombuffer(f.read(length * size), f"<u{size}")
 
 
-def digest(ordered_rows: DataFrame) -> DataFrame:
-    """The rows with the CRC-32 of their ids' bytes in place of the ids."""
-    return ordered_rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def digest(ordered_rows: DataFrame, tokenizer: str | None = None, end_id: int = 50256) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, start, n_tokens, offset and ids_crc32 of every piece of a document: where its
+    sequence stands, which of the document's ids it is and where in the sequence, and the CRC-32 of the ids' bytes."""
+    size = width(end_id, tokenizer)
+    each = ordered_rows.select("slot", "shard", "byte_offset", F.explode("pieces").alias("p"), "ids").select("slot", "shard", "byte_offset", "p.*", "ids")
+    ids = F.expr(f"substring(ids, offset * {size} + 1, n_tokens * {size})")
+    return each.select("slot", "shard", "byte_offset", "doc_id", "start", "n_tokens", "offset", F.crc32(ids).alias("ids_crc32"))

@@ -7,6 +7,7 @@ text that its pattern engine cannot take (for instance a megabyte of spaces) goe
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
 
@@ -37,6 +38,10 @@ class Encoder:
             spec = json.load(f)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         chars = _byte_of_char()
+        # The fast engine merges by id, the library by place in the list of merges; both must be one order.
+        merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: the ids of its merges are not in the order of the merges")
         ranks = {bytes(chars[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in self.special}
         self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self._slow = None
@@ -61,6 +66,13 @@ class Encoder:
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@lru_cache(maxsize=8)
+def largest_id(path: str | None = None) -> int:
+    with open(path or default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", []))])
+
+
 def encoder(path: str | None = None) -> Encoder:
     """One encoder a worker process."""
     path = path or default_path()
