@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import models as _models
 from ..operators import analysis, conformal, crossval, forecast, keys, metrics, prep, stats
 from ..sources import tables as t
+from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,7 +213,8 @@ _SIMPLE = {
 }
 for _name in _models.MODELS:
     _params = {"seasonal_period": 7} if _name == "SeasonalNaive" else {"window": 3} if _name == "SMA" else None
-    simple(f"forecast_{_name}", t.daily, _forecast(_name, _params), _forecast_sql(_SIMPLE[_name], _name) if _name in _SIMPLE else None)
+    _sql = _forecast_sql(_SIMPLE[_name], _name) if _name in _SIMPLE else oracles.intermittent(_name, "{daily}", "CAST(k AS INTEGER)", 4) if _name in ("CrostonOptimized", "ADIDA") else None
+    simple(f"forecast_{_name}", t.daily, _forecast(_name, _params), _sql)
 simple("forecast_seasonal_window", t.daily, _forecast("SeasonalWindowAverage", {"seasonal_period": 7}), _HIST + "SELECT id, CAST(k AS INTEGER) AS forecast_step, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, round(f, 4) AS yhat, round(f - 1.645 * sd * sqrt(k), 4) AS yhat_lower, round(f + 1.645 * sd * sqrt(k), 4) AS yhat_upper, 'SeasonalWindowAverage' AS model_name FROM (SELECT id, last, sd, k, (SELECT avg(x) FROM (SELECT unnest(ys) AS x, generate_subscripts(ys, 1) AS j) WHERE j > n - (n // 7) * 7 AND (j - n - 1 + (n // 7) * 7) % 7 = CAST(k AS INTEGER) - 1) AS f FROM s, k)")
 simple("forecast_ets_spec", t.daily, _forecast("ETS", {"model": "MAdM", "seasonal_period": 7}))
 simple("forecast_monthly", t.monthly, lambda d: forecast.forecast_by(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", "AutoETS", 6, "1mo", {"seasonal_period": 12}))
@@ -257,7 +259,10 @@ def _filled(d: DataFrame) -> DataFrame:
     return prep.fill_nulls_const(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", 0.0).select("id", "ds", F.col("filled_value").alias("y"))
 
 
-for _name in ("AutoETS", "CrostonSBA", "Theta"):
+_DEMAND_MODELS = ("CrostonClassic", "CrostonSBA", "CrostonOptimized", "TSB", "ADIDA")
+for _name in _DEMAND_MODELS:
+    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(_filled(d), "id", "ds", "y", n, 6, "1mo").withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")}), oracles.intermittent(_name, oracles.FILLED, "to_months(CAST(k AS INTEGER))", 6))
+for _name in ("AutoETS", "Theta"):
     simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(_filled(d), "id", "ds", "y", n, 6, "1mo", {"seasonal_period": 12} if n == "AutoETS" else None))
 simple("demand_stats", t.demand, lambda d: stats.stats_by(_filled(d), "id", "ds", "y", "1mo"))
 simple("demand_features", t.demand, lambda d: stats.features_by(_filled(d), "id", "ds", "y"))
@@ -271,7 +276,7 @@ def _level_join(d: DataFrame) -> DataFrame:
 _RANK = "WITH p0 AS (SELECT id, ds, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT id, abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT id, list(r ORDER BY r) AS l, count(*) AS n FROM p GROUP BY id), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a), s AS (SELECT id, l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)) AS s, n FROM b) "
 simple("conformal_by", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f").select("group_col", F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "method", F.size("lower").alias("n")), _RANK + "SELECT id AS group_col, round(s, 4) AS conformity_score, CAST(0.9 AS DOUBLE) AS coverage, 'split_conformal' AS method, CAST(n AS INTEGER) AS n FROM s")
 simple("conformal_rows", _pairs, lambda d: conformal.conformal_rows_by(_level_join(d), "id", "y", "f", "f").withColumns({c: F.round(c, 4) for c in ("lower", "upper")}), _RANK + "SELECT p0.id, ds, y, f, round(f - s, 4) AS lower, round(f + s, 4) AS upper FROM p0 JOIN s USING (id) WHERE f IS NOT NULL")
-simple("conformal_asymmetric", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f", {"method": "asymmetric", "alpha": 0.2}))
+simple("conformal_asymmetric", _pairs, lambda d: conformal.conformal_by(_level_join(d), "id", "y", "f", "f", {"method": "asymmetric", "alpha": 0.2}).select("group_col", F.round("conformity_score", 4).alias("conformity_score"), "coverage", "method", F.round(F.array_min("lower"), 4).alias("lower"), F.round(F.array_max("upper"), 4).alias("upper"), F.size("lower").alias("n")), oracles.ASYMMETRIC)
 simple("conformal_calibrate", _pairs, lambda d: conformal.conformal_calibrate(_level_join(d), "y", "f").select(F.round("conformity_score", 4).alias("conformity_score"), F.round("coverage", 6).alias("coverage"), "n_residuals"), "WITH p0 AS (SELECT id, y, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}), p AS (SELECT abs(y - f) AS r FROM p0 WHERE f IS NOT NULL), a AS (SELECT list(r ORDER BY r) AS l, count(*) AS n FROM p), b AS (SELECT *, least(1.0, ceil(round((n + 1) * 0.9, 9)) / n) * (n - 1) AS pos_ FROM a) SELECT round(l[CAST(floor(pos_) AS INTEGER) + 1] + (l[least(CAST(floor(pos_) AS INTEGER) + 2, n)] - l[CAST(floor(pos_) AS INTEGER) + 1]) * (pos_ - floor(pos_)), 4) AS conformity_score, CAST(0.9 AS DOUBLE) AS coverage, n AS n_residuals FROM b")
 simple("conformal_apply_by", _pairs, lambda d: conformal.conformal_apply_by(_level_join(d), "id", "f", 5.0).select("group_col", F.round(F.col("lower")[0], 4).alias("lower"), F.round(F.element_at("upper", -1), 4).alias("upper")), "WITH p AS (SELECT id, lag(y, 1) OVER (PARTITION BY id ORDER BY ds) AS f FROM {daily}) SELECT id AS group_col, round(min(f) - 5, 4) AS lower, round(max(f) + 5, 4) AS upper FROM p GROUP BY id")
 simple("interval_width_by", _pairs, lambda d: conformal.interval_width_by(d, "id", "lo", "hi").withColumn("mean_width", F.round("mean_width", 4)), _P + "SELECT id AS group_col, round(avg(hi - lo), 4) AS mean_width, count(*) AS n_intervals FROM p WHERE f IS NOT NULL GROUP BY id")
@@ -290,7 +295,15 @@ def _conformal_arrays(d: DataFrame) -> DataFrame:
 
 _EVALUATED = _RANK + ", e AS (SELECT p0.id, count(*) AS n, avg(CASE WHEN y BETWEEN f - s AND f + s THEN 1.0 ELSE 0.0 END) AS c, avg(2 * s + 20.0 * greatest(f - s - y, y - f - s, 0)) AS w, max(s) AS s FROM p0 JOIN s USING (id) WHERE f IS NOT NULL GROUP BY p0.id) SELECT id, round(c, 4) AS coverage, round(1 - c, 4) AS violation_rate, round(2 * s, 4) AS mean_width, round(w, 4) AS winkler_score, n AS n_observations FROM e"
 simple("conformal_evaluate", _pairs, lambda d: _conformal_arrays(d).select("id", *[F.round(c, 4).alias(c) for c in ("coverage", "violation_rate", "mean_width", "winkler_score")], "n_observations"), _EVALUATED)
-simple("conformal_arrays", _pairs, _conformal_arrays)
+simple("conformal_arrays", _pairs, lambda d: _learned(d), oracles.LEARNED)
+
+
+def _learned(d: DataFrame) -> DataFrame:
+    """What conformal_learn, conformal_apply and conformal_predict_asymmetric give for each series, at 0.1 and 0.2."""
+    c = conformal
+    z = _arrays(d).withColumn("profile", c.conformal_learn("r", [0.1, 0.2])).withColumn("applied", c.conformal_apply("f", "profile"))
+    score = lambda k: F.round(F.col("profile.scores_lower")[k], 4)
+    return z.select("id", score(0).alias("score_10"), score(1).alias("score_20"), F.round(c.conformal_predict_asymmetric("r", "f", 0.1)["conformity_score"], 4).alias("asymmetric"), F.size("applied.lower").alias("levels"), F.round(F.col("applied.lower")[1][0], 4).alias("first_lower_20"))
 
 
 def _per_step(d: DataFrame, horizon: int = 4) -> DataFrame:
@@ -301,20 +314,31 @@ def _per_step(d: DataFrame, horizon: int = 4) -> DataFrame:
     folds = lambda c: F.concat(fill, F.slice(c, 1, F.greatest("n", F.lit(0))))
     point = F.slice("f", F.greatest("n", F.lit(0)) + 1, horizon)
     c = F.when(F.col("n") >= 2 * horizon, conformal.conformal_predict_per_step(folds("f"), folds("a"), point, 0.1, horizon))
-    return z.select("id", c.alias("c")).select("id", "c.*")
+    z = z.select("id", c.alias("c")).select("id", F.posexplode(F.arrays_zip("c.point", "c.half_widths", "c.lower", "c.upper")).alias("step", "z"))
+    return z.select("id", "step", *[F.round(f"z.{k}", 4).alias(n) for k, n in (("point", "point"), ("half_widths", "half_width"), ("lower", "lower"), ("upper", "upper"))])
 
 
-simple("conformal_per_step", _pairs, _per_step)
+simple("conformal_per_step", _pairs, _per_step, oracles.PER_STEP)
 simple("bootstrap_intervals", _pairs, lambda d: conformal.bootstrap_intervals(_arrays(d), "r", "f", 200).select("id", "intervals.*"))
 simple("bootstrap_quantiles", _pairs, lambda d: conformal.bootstrap_quantiles(_arrays(d), "r", "f", 200).select("id", "quantiles.*"))
 
 
 # ------------------------------------------------------------------ periods, shape, changepoints
 
-for _name in ("fft", "acf", "regression", "multi", "auto", "autoperiod", "cfd_autoperiod", "lomb_scargle", "aic", "ssa", "stl", "matrix_profile", "sazed"):
+def _found(r: DataFrame, least: float | None = None) -> DataFrame:
+    """The first period of each row of detect_periods (columns id, periods, n_periods, ...), rounded; null if there is none."""
+    first = r.withColumn("p", F.get("periods", F.lit(0)))
+    return first.select("id", "n_periods", "method", *[F.round(f"p.{c}", 4).alias(c) for c in ("period", "confidence", "strength", "amplitude")], "p.matches_expected", "p.matched_expected_period", F.round("p.match_deviation", 4).alias("match_deviation"))
+
+
+_CHECKED = ("fft", "acf", "auto", "autoperiod", "cfd_autoperiod", "lomb_scargle", "aic", "stl", "matrix_profile", "sazed")
+for _name in _CHECKED:
+    simple(f"detect_periods_{_name}", t.daily, lambda d, m=_name: _found(analysis.detect_periods_by(d, "id", "ds", "y", {"method": m, "expected_periods": [7.0], "min_confidence": 0.0})), oracles.detected(_name))
+for _name in ("regression", "multi", "ssa"):
     simple(f"detect_periods_{_name}", t.daily, lambda d, m=_name: analysis.detect_periods_by(d, "id", "ds", "y", {"method": m, "expected_periods": [7.0], "min_confidence": 0.0}))
-simple("detect_periods_table", t.daily, lambda d: analysis.detect_periods(_total(d), "ds", "y"))
-simple("detect_periods_agg", t.daily, lambda d: analysis.detect_periods_agg(d, ["id"], "ds", "y"))
+_TOTAL = "(SELECT 'all' AS id, ds, round(sum(y), 3) AS y FROM {daily} GROUP BY ds)"
+simple("detect_periods_table", t.daily, lambda d: _found(analysis.detect_periods(_total(d), "ds", "y", {"method": "acf"}).withColumn("id", F.lit("all"))), oracles.detected("acf", _TOTAL, 0.3, None))
+simple("detect_periods_agg", t.daily, lambda d: _found(analysis.detect_periods_agg(d, ["id"], "ds", "y").select("id", "detect_periods.*")), oracles.detected("fft", least=5.0, expected=None))
 
 
 def _on_arrays(function: str, **options):
@@ -325,23 +349,67 @@ def _on_arrays(function: str, **options):
     return build
 
 
+def _fields(function: str, *names: str, **options):
+    """id and some fields of a function's struct over arrays, doubles rounded; a name may have :digits."""
+
+    def build(d: DataFrame) -> DataFrame:
+        r = _on_arrays(function, **options)(d).select("id", f"{function}.*")
+        kinds = dict(r.dtypes)
+        split = [(n.split(":")[0], int(n.split(":")[1]) if ":" in n else 4) for n in names or [c for c in r.columns if c != "id"]]
+        return r.select("id", *[F.round(n, k).alias(n) if kinds[n] == "double" else F.col(n) for n, k in split])
+
+    return build
+
+
+def _each(function: str, *names: str, pos: bool = False, **options):
+    """id and the elements of some array fields of a function's struct, one row a position."""
+
+    def build(d: DataFrame) -> DataFrame:
+        r = _on_arrays(function, **options)(d)
+        z = r.select("id", F.posexplode(F.arrays_zip(*[F.col(f"{function}.{n}").alias(n) for n in names])).alias("pos", "z"))
+        return z.select("id", *(["pos"] if pos else []), *[F.round(f"z.{n}", 4).alias(n) for n in names])
+
+    return build
+
+
+for _name, _spec in {
+    "estimate_period_fft": ("period", "frequency", "power:2", "confidence", "method"), "estimate_period_acf": (), "autoperiod": (), "cfd_autoperiod": (), "lomb_scargle": (),
+    "aic_period": ("period", "aic", "bic", "rss:2", "r_squared", "method"), "sazed_period": ("period", "power:2", "snr", "method"), "matrix_profile_period": (), "stl_period": (),
+}.items():
+    simple(_name, t.daily, _fields(_name, *_spec), oracles.ARRAYS[_name])
 for _name, _options in {
-    "estimate_period_fft": {}, "estimate_period_acf": {}, "estimate_period_regression": {}, "detect_multiple_periods": {}, "autoperiod": {}, "cfd_autoperiod": {}, "lomb_scargle": {}, "aic_period": {}, "ssa_period": {}, "stl_period": {}, "matrix_profile_period": {}, "sazed_period": {},
-    "detect_seasonality": {}, "analyze_seasonality": {}, "classify_seasonality": {"period": 7}, "seasonal_strength": {"period": 7}, "seasonal_strength_windowed": {"period": 7}, "detect_seasonality_changes": {"period": 7}, "instantaneous_period": {}, "detect_amplitude_modulation": {"period": 7},
-    "detect_peaks": {}, "analyze_peak_timing": {"period": 7}, "detrend": {"method": "loess"}, "decompose_seasonal": {"period": 7}, "mstl_decomposition": {"periods": [7]}, "detect_changepoints_pelt": {},
+    "estimate_period_regression": {}, "detect_multiple_periods": {}, "ssa_period": {}, "classify_seasonality": {"period": 7}, "detect_seasonality_changes": {"period": 7}, "instantaneous_period": {}, "detect_amplitude_modulation": {"period": 7},
+    "decompose_seasonal": {"period": 7}, "mstl_decomposition": {"periods": [7]},
 }.items():
     simple(_name, t.daily, _on_arrays(_name, **_options))
-simple("seasonal_strength_spectral", t.daily, _on_arrays("seasonal_strength", period=7, method="spectral"))
+simple("detect_seasonality", t.daily, lambda d: _on_arrays("detect_seasonality")(d).select("id", F.posexplode("detect_seasonality").alias("rank", "period")).withColumn("rank", F.col("rank") + 1), oracles.SEASONALITY)
+simple("analyze_seasonality", t.daily, _fields("analyze_seasonality", "primary_period", "seasonal_strength", "trend_strength"), oracles.ANALYZED)
+simple("seasonal_strength", t.daily, lambda d: _on_arrays("seasonal_strength", period=7)(d).select("id", F.round("seasonal_strength", 4).alias("strength")), oracles.STRENGTH)
+simple("seasonal_strength_windowed", t.daily, lambda d: _on_arrays("seasonal_strength_windowed", period=7)(d).select("id", F.posexplode("seasonal_strength_windowed").alias("pos", "strength")).withColumn("strength", F.round("strength", 4)), oracles.WINDOWED)
+simple("seasonal_strength_spectral", t.daily, lambda d: _on_arrays("seasonal_strength", period=7, method="spectral")(d).select("id", F.round("seasonal_strength", 4).alias("strength")), oracles.SPECTRAL)
 simple("seasonal_strength_wavelet", t.daily, _on_arrays("seasonal_strength", period=7, method="wavelet"))
-simple("classify_seasonality_by", t.daily, lambda d: analysis.classify_seasonality_by(d, "id", "ds", "y", 7))
-simple("classify_seasonality_agg", t.daily, lambda d: analysis.classify_seasonality_agg(d, ["id"], "ds", "y", 7))
+
+
+def _classes(r: DataFrame) -> DataFrame:
+    return r.select("id", "timing_classification", "has_stable_timing", F.round("timing_variability", 4).alias("timing_variability"), F.round("seasonal_strength", 4).alias("seasonal_strength"), "is_seasonal", F.size("weak_seasons").alias("n_weak"), F.round(F.aggregate("cycle_strengths", F.lit(0.0), lambda s, x: s + x), 4).alias("cycle_strengths_sum"))
+
+
+simple("classify_seasonality_by", t.daily, lambda d: _classes(analysis.classify_seasonality_by(d, "id", "ds", "y", 7)), oracles.CLASSES)
+simple("classify_seasonality_agg", t.daily, lambda d: _classes(analysis.classify_seasonality_agg(d, ["id"], "ds", "y", 7).select("id", "classify_seasonality.*")), oracles.CLASSES)
+simple("detect_peaks", t.daily, lambda d: _on_arrays("detect_peaks")(d).select("id", "detect_peaks.n_peaks", F.round("detect_peaks.mean_period", 4).alias("mean_period"), F.inline("detect_peaks.peaks")).select("id", "index", "value", F.round("prominence", 4).alias("prominence"), "n_peaks", "mean_period"), oracles.PEAKS)
 simple("detect_peaks_by", t.daily, lambda d: analysis.detect_peaks_by(d, "id", "ds", "y").select("id", "n_peaks"), "WITH r AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM {daily} WINDOW w AS (PARTITION BY id ORDER BY ds)) SELECT id, count(*) FILTER (y > a AND y >= b) AS n_peaks FROM r GROUP BY id")
-simple("analyze_peak_timing_by", t.daily, lambda d: analysis.analyze_peak_timing_by(d, "id", "ds", "y", 7))
+_TIMING = ("n_peaks", "mean_timing", "std_timing", "range_timing", "variability_score", "timing_trend", "is_stable")
+simple("analyze_peak_timing", t.daily, _each("analyze_peak_timing", "peak_times", "peak_values", "normalized_timing", period=7), oracles.PEAK_TIMES)
+simple("analyze_peak_timing_by", t.daily, lambda d: analysis.analyze_peak_timing_by(d, "id", "ds", "y", 7).select("id", *[F.round(c, 4).alias(c) if c[0] in "msrvt" else F.col(c) for c in _TIMING]), oracles.TIMING)
+simple("detrend", t.daily, _each("detrend", "trend", "detrended", pos=True, method="loess"), oracles.LOESS)
 simple("detrend_by", t.daily, lambda d: analysis.detrend_by(d, "id", "ds", "y", "linear").select("id", F.round(F.col("coefficients")[1], 5).alias("slope"), F.round("rss", 2).alias("rss")), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS i FROM {daily}) SELECT id, round(regr_slope(y, i), 5) AS slope, round(regr_syy(y, i) * (1 - regr_r2(y, i)), 2) AS rss FROM r GROUP BY id")
-simple("mstl_decomposition_by", t.daily, lambda d: analysis.mstl_decomposition_by(d, "id", "ds", "y"))
-simple("detect_changepoints_by", t.daily, lambda d: analysis.detect_changepoints_by(d, "id", "ds", "y", {"include_probabilities": True}))
-simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(_total(d), "ds", "y"))
-simple("detect_changepoints_agg", t.daily, lambda d: analysis.detect_changepoints_agg(d, ["id"], "ds", "y"))
+simple("mstl_decomposition_by", t.daily, lambda d: analysis.mstl_decomposition_by(d, "id", "ds", "y").select("id", F.posexplode(F.arrays_zip("trend", "remainder")).alias("pos", "z")).select("id", "pos", F.round("z.trend", 4).alias("trend"), F.round("z.remainder", 4).alias("remainder")), oracles.TREND)
+simple("detect_changepoints_by", t.daily, lambda d: analysis.detect_changepoints_by(d, "id", "ds", "y", {"include_probabilities": True}).withColumn("changepoint_probability", F.round("changepoint_probability", 4)), oracles.CHANGES)
+simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(_total(d), "ds", "y"), oracles.changepoints(_TOTAL, "SELECT ds, y, signal > 0.5 AND t > 0 AS is_changepoint, CAST(0 AS DOUBLE) AS changepoint_probability FROM r JOIN sg ON sg.id = r.id AND sg.t = r.i"))
+simple("detect_changepoints_agg", t.daily, lambda d: analysis.detect_changepoints_agg(d, ["id"], "ds", "y", {"include_probabilities": True}).select("id", F.inline("changepoints")).withColumn("changepoint_probability", F.round("changepoint_probability", 4)), oracles.CHANGES.replace("SELECT r.id, ds, y, signal", 'SELECT r.id, ds AS "timestamp", y AS value, signal'))
+simple("detect_changepoints_pelt", t.daily, lambda d: _on_arrays("detect_changepoints_pelt")(d).select("id", "detect_changepoints_pelt.n_changepoints", F.array_join(F.transform("detect_changepoints_pelt.changepoints", lambda x: x.cast("string")), ",").alias("changepoints"), F.round("detect_changepoints_pelt.cost", 2).alias("cost")), oracles.PELT)
+
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
