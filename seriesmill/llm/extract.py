@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Elements whose content is no text of a page. That of the first runs to its end tag whatever it holds, and to the end of
 #: the page without one, as browsers read it; the others end with their parent at the latest.
 RAW = frozenset("script style textarea title iframe".split())
@@ -29,14 +31,21 @@ HIDDEN = frozenset("noscript template svg math object canvas select option butto
 BOILERPLATE = frozenset("nav header footer aside form dialog menu".split())
 #: Parts of a class, id or role that mark boilerplate, as whole words between separators.
 MARKS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promotion banner sidebar widget menu nav navbar navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended comment comments disqus reply replies login search toolbar pagination pager skip".split())
+#: Of these, the words that also stand on parts of an article; an element with no other mark is text if it holds PROSE words
+#: of paragraphs outside links.
+SOFT = frozenset("related search header skip recommended sharing reply".split())
+PROSE = 20
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Further elements whose tags have weights of their own; all others share one.
+INLINE = frozenset("a abbr audio b big button cite code del dfn em font i ins kbd label legend mark option picture q rp rt ruby s samp select small span strike strong sub sup time tt u var video".split())
 #: Elements that a new one of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_BUTTON_END = re.compile("</button", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\S+")
 
@@ -60,22 +69,22 @@ DEFAULT = Weights(
 )
 
 
-def is_boilerplate(name: str, attributes: str, inside_main: bool) -> bool:
+def mark_of(name: str, attributes: str, inside_main: bool) -> int:
+    """0 for no boilerplate, 1 for a form or a word of MARKS in class, id or role, 2 for another boilerplate element, 3 if
+    only words of SOFT are there."""
     if name == "header" and inside_main:
-        return False
+        return 0
     if name in BOILERPLATE:
-        return True
-    if attributes and name not in ("html", "body", "article", "main"):
-        for _, a, b, c in _ATTR.findall(attributes):
-            if MARKS & set(re.split(r"[^a-z0-9]+", (a or b or c).lower())):
-                return True
-    return False
+        return 1 if name == "form" else 2
+    if not attributes or name in ("html", "body", "article", "main"):
+        return 0
+    found = {w for _, a, b, c in _ATTR.findall(attributes) for w in re.split(r"[^a-z0-9]+", (a or b or c).lower())} & MARKS
+    return 0 if not found else 3 if found <= SOFT else 1
 
 
 @dataclass(slots=True)
 class Element:
-    """An open element. at: where its tag starts; mark: 0, 1 for a form or a boilerplate word in class, id or role, 2 for the
-    other boilerplate elements; bad, main, hidden: it or an element around it is."""
+    """An open element. at: where its tag starts; mark: as mark_of; bad, main, hidden: it or an element around it is."""
 
     name: str
     at: int
@@ -122,6 +131,8 @@ def walk(page: str, ignored: frozenset[int] = frozenset()) -> Iterator[tuple[str
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if name in BLOCKS and stack and stack[-1].name == "button" and not _BUTTON_END.search(page, at):
+            stack.pop()  # a button that nothing closes ends before the next block
         if name in BLOCKS and name not in ("td", "th", "tr", "li", "dt", "dd") and stack and stack[-1].name == "p":
             stack.pop()
         for k in range(len(stack) - 1, -1, -1):
@@ -132,7 +143,7 @@ def walk(page: str, ignored: frozenset[int] = frozenset()) -> Iterator[tuple[str
                 break
         above = stack[-1] if stack else Element("", 0)
         main = above.main or name in MAIN
-        mark = 0 if m.start() in ignored or not is_boilerplate(name, attributes, main) else 1 if name == "form" or name not in BOILERPLATE else 2
+        mark = 0 if m.start() in ignored else mark_of(name, attributes, main)
         hidden = above.hidden or name in HIDDEN
         if name not in VOID and not attributes.endswith("/"):
             stack.append(Element(name, m.start(), mark, above.bad or mark > 0, main, hidden))
@@ -141,7 +152,8 @@ def walk(page: str, ignored: frozenset[int] = frozenset()) -> Iterator[tuple[str
 
 
 def wrappers(page: str) -> frozenset[int]:
-    """Where the forms and marked elements stand that only wrap the page's main element, so that their marks say nothing.
+    """Where the forms and marked elements stand whose marks say nothing: those that only wrap the page's main element, and
+    within it those with SOFT marks alone that hold prose.
 
     The main element is the <main> with most words, or else, of the outermost articles with the fewest marked elements
     around them, the one with most words, if it has more words than the page has outside all marked elements. Within it,
@@ -149,28 +161,33 @@ def wrappers(page: str) -> frozenset[int]:
     if not re.search(r"<(?:article|main)\b", page, re.I):
         return frozenset()
     words: Counter = Counter()
+    prose: Counter = Counter()
     found: dict[int, tuple[str, list[Element]]] = {}
     for kind, value, stack in walk(page):
         if kind == "text":
             k = len(_WORD.findall(value))
             if not (stack and stack[-1].bad):
                 words[-1] += k
+            plain = any(e.name == "p" for e in stack) and not any(e.name == "a" for e in stack)
             for e in stack:
                 if e.name in MAIN:
                     words[e.at] += k
+                elif e.mark == 3 and e.main and plain:
+                    prose[e.at] += k
         elif value in MAIN and stack and stack[-1].name == value and not any(e.mark == 2 for e in stack):
             found[stack[-1].at] = value, stack[:-1]
+    soft = frozenset(at for at, k in prose.items() if k >= PROSE)
     if not any(e.mark for _, around in found.values() for e in around):
-        return frozenset()
+        return soft
     marked = {at: {e.at for e in around if e.mark} for at, (_, around) in found.items()}
     outer = [at for at, (_, around) in found.items() if words[at] and not any(e.at in found for e in around)]
     mains = [at for at in outer if found[at][0] == "main"]
     best = max(mains or outer, key=lambda at: (0 if mains else -len(marked[at]), words[at]), default=None)
     if best is None or (not mains and marked[best] and words[best] <= words[-1]):
-        return frozenset()
+        return soft
     while inner := [at for at, (_, around) in found.items() if any(e.at == best for e in around) and 2 * words[at] > words[best]]:
         best = min(inner)
-    return frozenset(marked[best])
+    return soft | marked[best]
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
@@ -187,7 +204,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 
 
 def tag_feature(value: str, context: str) -> str:
-    return f"{context} tag" if context in ("boilerplate", "inner") else value
+    if context in ("boilerplate", "inner"):
+        return f"{context} tag"
+    name = value.removeprefix("/")
+    return value if name in BLOCKS or name in VOID or name in INLINE or name in MAIN else "other tag"
 
 
 def counts(page: str) -> Counter:
@@ -270,9 +290,8 @@ def learn(pages: DataFrame, sample: int = 2000) -> Weights:
     n = pages.count()
     share = min(1.0, sample / max(1, n))
     chosen = pages.where(F.pmod(F.xxhash64(F.lit(3), "page_id", "url"), F.lit(1_000_003)) < share * 1_000_003).select("html")
-    rows = chosen.mapInArrow(run, "kind string, feature string, main boolean, n long").groupBy("kind", "feature", "main").agg(F.sum("n").alias("n"))
-    # Names beyond the most frequent thousand say nothing; so the driver gets a bounded number of rows.
-    return fitted({(r.kind, r.feature, r.main): r.n for r in rows.orderBy(F.desc("n"), "kind", "feature", "main").limit(1000).collect()})
+    rows = arrow_map(chosen, run, "kind string, feature string, main boolean, n long").groupBy("kind", "feature", "main").agg(F.sum("n").alias("n"))
+    return fitted({(r.kind, r.feature, r.main): r.n for r in rows.collect()})  # contexts and known names: some hundred rows
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
@@ -288,4 +307,5 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
                 text = [main_text(x.as_py(), w) for x in s.column(2)]
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return arrow_map(rows, run, "page_id long, url string, text string, n_chars long")

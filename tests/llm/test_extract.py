@@ -1,3 +1,5 @@
+import random
+
 from seriesmill.llm import extract
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";x()</script></head><body>
@@ -80,3 +82,43 @@ def test_elements_without_an_end_tag():
     assert extract.main_text(f"<article>{lists}{LONG}<select><option>x</option></select></article>") == READ
     assert extract.main_text(f"<article><div><button>Press</div>{LONG}</article>") == READ
     assert extract.main_text(f"<article><svg><g><path d=x></g><title>Icon</title></svg>{LONG}<template><p>No</p></template></article>") == READ
+
+
+P = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim"
+
+
+def test_marked_parts_of_an_article_stay_if_they_hold_prose():
+    page = f"<article><h1>T</h1><p>{P}</p><div class='related work'><p>{P} one</p></div><section class='search-header'><p>{P} two</p></section>%s</article>"
+    inner = f"<div class=related><ul><li><a href=q>{P}</a></ul></div><div class='newsletter header'><p>{P} three</p></div>"
+    assert extract.main_text(page % inner) == f"T\n\n{P}\n\n{P} one\n\n{P} two"
+
+
+def test_unquoted_attributes_and_open_elements():
+    assert extract.main_text(f"<article><p>{P}</p><p><a href=x title=don't>yes</a> and it's</p><p title='a > b'>{P}</p></article>") == f"{P}\n\nyes and it's\n\n{P}"
+    assert extract.main_text(f"<article><p>{P}</p><datalist><option>a<option>b</datalist><p>{P} after</p></article>") == f"{P}\n\n{P} after"
+    assert extract.main_text(f"<article><p>{P}</p><button>go<p>{P} next</p></article>") == f"{P}\n\n{P} next"
+    assert extract.main_text(f"<article><p>{P}</p><button>go<p>{P} in</p></button><p>{P}</p></article>") == f"{P}\n\n{P}"
+
+
+def test_against_generated_pages():
+    """Pages built from parts whose place in the main text is known."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    for _ in range(150):
+        want, body = [], []
+        for _ in range(rng.randint(3, 9)):
+            t, kind = words(rng.randint(25, 60)), rng.randrange(8)
+            if kind < 3:
+                body.append(f"<p>{t}</p>" if kind else f"<p class=x id='y'>{t}")
+                want.append(t)
+            elif kind == 3:
+                body.append(f"<h2>{t[:30].strip()}</h2><ul><li>{t}<li><b>{t[::-1].strip()}</b></ul>")
+                want += [t[:30].strip(), t, t[::-1].strip()]
+            elif kind == 4:
+                body.append(f"<blockquote>{t} &amp; <em>x</em></blockquote>")
+                want.append(t + " & x")
+            else:
+                body.append([f"<aside><p>{t}</p></aside>", f"<div class='ad'>{t}</div>", f"<script>var a='<p>{t}</p>'</script><section class=comments><article><p>{t}</p></article></section>"][kind - 5])
+        want_text, around = "\n\n".join(want), f"<nav><ul><li><a href=a>{words(3)}</a></ul></nav>"
+        page = f"<!doctype html><html><head><title>{words(3)}</title></head><body>{around}<article>{''.join(body)}<p>{P}</p></article><footer>{words(20)}</footer></body></html>"
+        assert extract.main_text(page) == (want_text + "\n\n" if want else "") + P
