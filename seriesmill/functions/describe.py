@@ -236,8 +236,11 @@ def benford(v: np.ndarray) -> float:
     return float(np.corrcoef(BENFORD, share)[0, 1]) if share.std() > EPS else 0.0
 
 
-def features(values: np.ndarray) -> dict | None:
-    """The features by name; None for a feature that the series is too short or too flat for."""
+def features(values: np.ndarray, names: tuple[str, ...] | None = None) -> dict | None:
+    """The features by name; None for a feature that the series is too short or too flat for. With `names`, only what
+    they need is computed; other features may be missing or None."""
+    wanted = feature_names() if names is None else names
+    need = lambda *starts: any(n.startswith(starts) for n in wanted)
     v = values[~np.isnan(values)]
     n = len(v)
     if not n:
@@ -247,7 +250,8 @@ def features(values: np.ndarray) -> dict | None:
     c, sd, d = v - mean, v.std(), np.diff(v)
     f |= {"length": n, "sum": v.sum(), "mean": mean, "minimum": lo, "maximum": hi, "range": hi - lo, "variance": v.var(), "standard_deviation": sd}
     f |= {"variation_coefficient": sd / abs(mean) if abs(mean) > EPS else NAN, "large_standard_deviation": sd > 0.25 * (hi - lo), "median": np.median(v)}
-    f |= dict(zip((f"quantile_{q}" for q in (0.1, 0.25, 0.75, 0.9)), np.quantile(s, (0.1, 0.25, 0.75, 0.9))))
+    if need("quantile"):
+        f |= dict(zip((f"quantile_{q}" for q in (0.1, 0.25, 0.75, 0.9)), np.quantile(s, (0.1, 0.25, 0.75, 0.9))))
     if sd > EPS:
         f |= {"skewness": ((c / sd) ** 3).mean(), "kurtosis": ((c / sd) ** 4).mean() - 3}
     above, below = v > mean, v < mean
@@ -255,10 +259,10 @@ def features(values: np.ndarray) -> dict | None:
     f["zero_crossing_rate"] = (np.sign(v[1:]) * np.sign(v[:-1]) < 0).sum() / max(n - 1, 1)
     if n > 1:
         f |= {"mean_change": d.mean(), "mean_abs_change": np.abs(d).mean(), "cid_ce": math.sqrt(d @ d), "absolute_sum_of_changes": np.abs(d).sum()}
-    r = {k: acf(v, k) for k in range(1, 11) if n > k}
+    r = {k: acf(v, k) for k in range(1, 11) if n > k} if need("autocorrelation", "partial_auto") else {}
     f |= {f"autocorrelation_lag{k}": x for k, x in r.items()}
     for k in range(1, 6):
-        if n > k + 1:  # beyond the first, every lag has the second one's formula
+        if n > k + 1 and r:  # beyond the first, every lag has the second one's formula
             f[f"partial_autocorrelation_lag{k}"] = r[1] if k == 1 else 0.0 if abs(1 - r[1] ** 2) < EPS else (r[2] - r[1] ** 2) / (1 - r[1] ** 2)
     f |= {"first_value": v[0], "last_value": v[-1]}
     for name, x in (("maximum", hi), ("minimum", lo)):
@@ -272,10 +276,12 @@ def features(values: np.ndarray) -> dict | None:
     f["number_peaks"] = top.sum()
     for k in (1, 2):
         f[f"number_peaks_threshold_{k}"] = (top & (np.abs(c[1:-1]) > k * sd)).sum() if n > 2 else 0
-    f["benford_correlation"] = benford(v)
+    f["benford_correlation"] = benford(v) if need("benford") else None
     f["linear_trend_slope"], f["linear_trend_intercept"], f["linear_trend_r_squared"] = line(v)
-    f["sample_entropy"], f["approximate_entropy"] = entropies(v, 2, 0.2 * sd)
-    f |= {"binned_entropy": binned_entropy(v), "permutation_entropy": permutation_entropy(v)}
+    if need("sample_entropy", "approximate_entropy"):
+        f["sample_entropy"], f["approximate_entropy"] = entropies(v, 2, 0.2 * sd)
+    if need("binned_entropy", "permutation_entropy"):
+        f |= {"binned_entropy": binned_entropy(v), "permutation_entropy": permutation_entropy(v)}
     f |= {f"ratio_beyond_r_sigma_{k}": (np.abs(c) > k * sd).mean() for k in (1, 2, 3)}
     _, first, times = np.unique(v.view(np.int64), return_index=True, return_counts=True)
     again = times > 1
@@ -286,19 +292,20 @@ def features(values: np.ndarray) -> dict | None:
     f["sum_of_reoccurring_values"] = v[first[again]].sum()
     f["sum_of_reoccurring_datapoints"] = (v[first[again]] * times[again]).sum()
     for k in (1, 2, 3):
-        if n > 2 * k:
+        if n > 2 * k and need("time_reversal", "c3_"):
             a, b, e = v[: n - 2 * k], v[k : n - k], v[2 * k :]
             f[f"time_reversal_asymmetry_stat_{k}"] = (e * e * b - a * b * b).mean()
             f[f"c3_lag{k}"] = (a * b * e).mean()
-    f["lempel_ziv_complexity"] = phrase_complexity(v, mean)
-    z = np.fft.fft(v) / n
+    f["lempel_ziv_complexity"] = phrase_complexity(v, mean) if need("lempel") else None
+    z = np.fft.fft(v) / n if need("fft_", "spectral_") else np.zeros(n)
     for k in range(min(10, n)):
         f |= {f"fft_coefficient_{k}_real": z[k].real, f"fft_coefficient_{k}_imag": z[k].imag, f"fft_coefficient_{k}_abs": abs(z[k])}
     power, at = np.abs(z) ** 2, np.arange(n)
     total = power.sum()
     centre = (at * power).sum() / total if total > EPS else 0.0
     f |= {"spectral_centroid": centre, "spectral_variance": ((at - centre) ** 2 * power).sum() / total if total > EPS else 0.0}
-    f |= dict(zip(("agg_linear_trend_slope", "agg_linear_trend_intercept", "agg_linear_trend_rvalue", "agg_linear_trend_stderr"), chunk_trend(v, max(n // 10, 2))))
+    if need("agg_"):
+        f |= dict(zip(("agg_linear_trend_slope", "agg_linear_trend_intercept", "agg_linear_trend_rvalue", "agg_linear_trend_stderr"), chunk_trend(v, max(n // 10, 2))))
     return {k: None if x is None else float(x) for k, x in f.items()}
 
 

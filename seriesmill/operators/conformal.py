@@ -193,8 +193,9 @@ def conformal_by(df: DataFrame, group: str, actual: str, forecast: str, point_fo
 
 def conformal_rows_by(df: DataFrame, group: str, actual: str, forecast: str, point_forecast: str, alpha: float = 0.1) -> DataFrame:
     """All columns of df with lower and upper around each row's point forecast, from the group's residuals."""
-    scores = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(group).agg(conformal_quantile(F.collect_list((F.col(actual) - F.col(forecast)).cast("double")), alpha).alias("_score"))
-    return df.join(scores, group, "left").withColumns({"lower": F.col(point_forecast) - F.col("_score"), "upper": F.col(point_forecast) + F.col("_score")}).drop("_score")
+    score = "_score" + "_" * max(len(c) for c in df.columns)  # longer than any column's name
+    scores = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).groupBy(group).agg(conformal_quantile(F.collect_list((F.col(actual) - F.col(forecast)).cast("double")), alpha).alias(score))
+    return df.join(scores, group, "left").withColumns({"lower": F.col(point_forecast) - F.col(score), "upper": F.col(point_forecast) + F.col(score)}).drop(score)
 
 
 def order_statistic(df: DataFrame, column: str, k: int, small: int = 10_000) -> float:

@@ -19,7 +19,8 @@ def _number(value: str, df: DataFrame) -> Column:
 def _keep(df: DataFrame, group: str, condition) -> DataFrame:
     """Rows where condition(window over the group) is true."""
     w = Window.partitionBy(group)
-    return df.withColumn("_keep", condition(w)).where("_keep").drop("_keep")
+    name = "_keep" + "_" * max(len(c) for c in df.columns)  # longer than any column's name
+    return df.withColumn(name, condition(w)).where(F.col(name)).drop(name)
 
 
 # ------------------------------------------------------------------ filters

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import warnings
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +80,10 @@ def data_quality_summary(df: DataFrame, group: str, date: str, value: str, n_sho
 
 # ------------------------------------------------------------------ features
 
-_FEATURES = "struct<" + ",".join(f"`{n}`:double" for n in k.feature_names()) + ">"
+
+def _featured(collected: DataFrame, names: list[str]) -> DataFrame:
+    """collected with the features `names`, and no others, as struct _r."""
+    return series.apply(collected, ["_v"], partial(k.features, names=tuple(names)), "struct<" + ",".join(f"`{n}`:double" for n in names) + ">")
 
 
 def _selected(names: list[str] | None) -> list[str]:
@@ -93,9 +97,10 @@ def _selected(names: list[str] | None) -> list[str]:
 
 def features_by(df: DataFrame, group: str | list[str] | None, date: str, value: str, names: list[str] | None = None) -> DataFrame:
     """group and one column a feature, all of them or those in `names`."""
-    got = series.apply(series.collect(df, group, date, value), ["_v"], k.features, _FEATURES)
+    chosen = _selected(names)
+    got = _featured(series.collect(df, group, date, value), chosen)
     keys = [] if group is None else [group] if isinstance(group, str) else group
-    return got.where(F.col("_r").isNotNull()).select(*keys, *[F.col("_r")[n].alias(n) for n in _selected(names)])
+    return got.where(F.col("_r").isNotNull()).select(*keys, *[F.col("_r")[n].alias(n) for n in chosen])
 
 
 def features_table(df: DataFrame, date: str, value: str) -> DataFrame:
@@ -105,8 +110,7 @@ def features_table(df: DataFrame, date: str, value: str) -> DataFrame:
 
 def features_agg(df: DataFrame, keys: list[str], date: str, value: str, names: list[str] | None = None) -> DataFrame:
     """keys and one struct column `features`."""
-    got = series.apply(series.collect(df, keys, date, value), ["_v"], k.features, _FEATURES)
-    return got.select(*keys, F.when(F.col("_r").isNotNull(), F.struct(*[F.col("_r")[n].alias(n) for n in _selected(names)])).alias("features"))
+    return _featured(series.collect(df, keys, date, value), _selected(names)).select(*keys, F.col("_r").alias("features"))
 
 
 def _parts(name: str) -> tuple[str, str, dict]:

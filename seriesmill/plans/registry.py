@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as _models
 from ..operators import analysis, conformal, crossval, forecast, keys, metrics, prep, stats
+from ..sources import sql
 from ..sources import tables as t
 from . import oracles
 
@@ -16,20 +17,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; sql may use {daily}, {users}, {monthly} and {demand} for the derived series."""
+def query(name: str, oracle: str | None = None):
+    """Register a query; oracle may use {daily}, {users}, {monthly} and {demand} for the derived series."""
 
     def put(f):
         QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql.replace("{daily}", f"({t.DAILY})").replace("{users}", f"({t.USERS})").replace("{monthly}", f"({t.MONTHLY})").replace("{demand}", f"({t.DEMAND})")
+        if oracle is not None:
+            ORACLES[name] = oracle.replace("{daily}", f"({t.DAILY})").replace("{users}", f"({t.USERS})").replace("{monthly}", f"({t.MONTHLY})").replace("{demand}", f"({t.DEMAND})")
         return f
 
     return put
 
 
-def simple(name: str, source, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    query(name, sql)(lambda spark, sf_dir: build(source(spark, sf_dir)))
+def simple(name: str, source, build: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
+    query(name, oracle)(lambda spark, sf_dir: build(source(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ preparation
@@ -323,6 +324,32 @@ simple("bootstrap_intervals", _pairs, lambda d: conformal.bootstrap_intervals(_a
 simple("bootstrap_quantiles", _pairs, lambda d: conformal.bootstrap_quantiles(_arrays(d), "r", "f", 200).select("id", "quantiles.*"))
 
 
+# ------------------------------------------------------------------ the scalar functions through spark.sql
+
+
+def _in_sql(select: str, source: Callable[[DataFrame], DataFrame]):
+    """`select` over the rows of `source`, with the functions of sources.sql."""
+
+    def build(d: DataFrame) -> DataFrame:
+        sql.register(d.sparkSession)
+        return d.sparkSession.sql(f"SELECT id, {select} FROM {{rows}}", rows=source(d))
+
+    return build
+
+
+def _metric_arrays(d: DataFrame) -> DataFrame:
+    z = d.where("g IS NOT NULL").groupBy("id").agg(*[F.collect_list(F.struct("ds", c)).alias(c) for c in ("y", "f", "g", "lo", "hi")])
+    return z.select("id", *[F.array_sort(c)[c].alias(c) for c in ("y", "f", "g", "lo", "hi")])
+
+
+_CALLS = {"mae": "y, f", "mse": "y, f", "rmse": "y, f", "mape": "y, f", "smape": "y, f", "bias": "y, f", "r2": "y, f", "mase": "y, f, g", "rmae": "y, f, g", "quantile_loss": "y, f, 0.25D", "mqloss": "y, array(f, g), array(0.25D, 0.75D)", "coverage": "y, lo, hi"}
+simple("sql_metrics", _pairs, _in_sql(", ".join(f"round(ts_{n}({a}), 5) AS {n}" for n, a in _CALLS.items()), _metric_arrays), ORACLES["array_metrics"])
+simple("sql_conformal", _pairs, _in_sql("round(ts_conformal_quantile(r, 0.1D), 4) AS score_10, round(ts_conformal_learn(r, array(0.1D, 0.2D)).scores_lower[1], 4) AS score_20, round(ts_conformal_predict_asymmetric(r, f, 0.1D).conformity_score, 4) AS asymmetric, size(ts_conformal_apply(f, ts_conformal_learn(r, array(0.1D, 0.2D)).scores_lower, ts_conformal_learn(r, array(0.1D, 0.2D)).scores_upper).lower) AS levels, round(ts_conformal_predict(r, f, 0.2D).lower[0], 4) AS first_lower_20", _arrays), oracles.LEARNED)
+_BOUNDED = "ts_conformal_intervals(f, ts_conformal_quantile(r, 0.1D))"
+_CHECKED_BY = f"ts_conformal_evaluate(a, {_BOUNDED}.lower, {_BOUNDED}.upper, 0.1D)"
+simple("sql_conformal_evaluate", _pairs, _in_sql(f"round(ts_conformal_coverage(a, {_BOUNDED}.lower, {_BOUNDED}.upper), 4) AS coverage, round({_CHECKED_BY}.violation_rate, 4) AS violation_rate, round(ts_mean_interval_width({_BOUNDED}.lower, {_BOUNDED}.upper), 4) AS mean_width, round({_CHECKED_BY}.winkler_score, 4) AS winkler_score, {_CHECKED_BY}.n_observations AS n_observations", _arrays), _EVALUATED)
+
+
 # ------------------------------------------------------------------ periods, shape, changepoints
 
 def _found(r: DataFrame, least: float | None = None) -> DataFrame:

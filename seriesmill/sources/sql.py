@@ -119,4 +119,74 @@ def register(spark: SparkSession, prefix: str = "ts_") -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(a array<double>, f array<double>) RETURNS double RETURN case when {ok} then {body} end")
         names.append(prefix + name)
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}estimate_backtest_memory(s bigint, d bigint, k bigint, h bigint) RETURNS bigint RETURN (s * d * k * {metrics.SPLIT_ROW} + s * k * (d div 2) * {metrics.LISTED_VALUE} + s * k * h * {metrics.OUTPUT_ROW}) div 1048576")
-    return [*names, f"{prefix}estimate_backtest_memory"]
+    names.append(f"{prefix}estimate_backtest_memory")
+    for name, (arguments, returns, body) in _SCALARS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({arguments}) RETURNS {returns} RETURN {body}")
+        names.append(prefix + name)
+    return names
+
+
+_A, _D = "array<double>", "double"
+_SOUND = "x is not null and not isnan(x)"
+
+
+def _with(value: str, name: str, body: str) -> str:
+    """body with value computed once under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _rank(values: str, alpha: str) -> str:
+    """The conformal score of a sorted array, null for an empty one."""
+    at = f"least(1D, greatest(0D, ceil(round((size({values}) + 1) * (1 - {alpha}), 9)) / size({values}))) * (size({values}) - 1)"
+    lo, hi = f"get({values}, cast(floor(p) as int))", f"get({values}, least(cast(floor(p) as int) + 1, size({values}) - 1))"
+    return f"case when size({values}) > 0 and {alpha} >= 0 and {alpha} < 1 then {_with(at, 'p', f'{lo} + ({hi} - {lo}) * (p - floor(p))')} end"
+
+
+def _score(residuals: str, alpha: str, sign: str = "") -> str:
+    test = f"{_SOUND} and x {sign} 0" if sign else _SOUND
+    return _with(f"array_sort(transform(filter({residuals}, x -> {test}), x -> abs(x)))", "s", _rank("s", alpha))
+
+
+def _sides(lower: str, upper: str, score: str, method: str) -> str:
+    return f"case when {score} is not null then named_struct('point', f, 'lower', transform(f, x -> x - {lower}), 'upper', transform(f, x -> x + {upper}), 'coverage', 1 - alpha, 'conformity_score', {score}, 'method', '{method}') end"
+
+
+_TRIPLES = "filter(arrays_zip(a, f, g), x -> x.a is not null and x.f is not null and x.g is not null and not isnan(x.a) and not isnan(x.f) and not isnan(x.g))"
+_LEVEL3 = "size(a) = size(f) and size(a) = size(g)"
+_PREDICTED = f"struct<point:{_A},lower:{_A},upper:{_A},coverage:{_D},conformity_score:{_D},method:string>"
+
+
+def _sum(items: str, term: str) -> str:
+    return f"aggregate({items}, 0D, (s, x) -> s + {term})"
+
+
+def _learned(lower: str, upper: str) -> str:
+    return f"case when size(filter(r, x -> {_SOUND})) > 0 then named_struct('method', 'symmetric', 'strategy', 'split', 'alphas', alphas, 'state_vector', concat({lower}, {upper}), 'scores_lower', {lower}, 'scores_upper', {upper}, 'n_residuals', cast(size(filter(r, x -> {_SOUND})) as bigint)) end"
+
+
+_RATIO = _with(_TRIPLES, "z", f"case when size(z) > 0 and {_LEVEL3} then {_sum('z', 'abs(x.a - x.f)')} / nullif({_sum('z', 'abs(x.a - x.g)')}, 0) end")
+_LOSS = "greatest(q * (x.a - x.f), (q - 1) * (x.a - x.f))"
+_OUT = "greatest(x.l - x.a, x.a - x.u, 0D)"
+_BOUNDS = "arrays_zip(a, l, u)"
+_LEVEL = "size(a) > 0 and size(a) = size(l) and size(a) = size(u)"
+_SYMMETRIC = _with("array_sort(transform(filter(r, x -> " + _SOUND + "), x -> abs(x)))", "s", f"transform(alphas, alpha -> {_rank('s', 'alpha')})")
+_STEP = _with(f"array_sort(transform(filter(zip_with(actuals, forecasts, (x, y) -> x - y), (x, i) -> i % horizon = k and {_SOUND}), x -> abs(x)))", "s", _rank("s", "alpha"))
+#: Scalar functions: parameters, result type and body.
+_SCALARS: dict[str, tuple[str, str, str]] = {
+    "r2": (f"a {_A}, f {_A}", _D, _with(_PAIR, "z", f"case when size(a) = size(f) and size(z) > 0 then {_with(_sum('z', 'x.a') + ' / size(z)', 'm', 'case when ' + _sum('z', '(x.a - m) * (x.a - m)') + ' > 2.3e-16 then 1 - ' + _sum('z', '(x.a - x.f) * (x.a - x.f)') + ' / ' + _sum('z', '(x.a - m) * (x.a - m)') + chr(32) + 'else double(' + repr('NaN') + ') end')} end")),
+    "mase": (f"a {_A}, f {_A}, g {_A}", _D, _RATIO),
+    "rmae": (f"a {_A}, f {_A}, g {_A}", _D, _RATIO),
+    "quantile_loss": (f"a {_A}, f {_A}, q {_D}", _D, _with(_PAIR, "z", f"case when size(a) = size(f) and size(z) > 0 then {_sum('z', _LOSS)} / size(z) end")),
+    "mqloss": (f"a {_A}, fs array<{_A}>, qs {_A}", _D, f"aggregate(zip_with(fs, qs, (f, q) -> {_with(_PAIR, 'z', 'case when size(a) = size(f) and size(z) > 0 then ' + _sum('z', _LOSS) + ' / size(z) end')}), 0D, (t, y) -> t + y) / size(qs)"),
+    "coverage": (f"a {_A}, f {_A}, g {_A}", _D, _with(_TRIPLES, "z", f"case when size(z) > 0 and {_LEVEL3} then {_sum('z', 'case when x.a >= x.f and x.a <= x.g then 1D else 0D end')} / size(z) end")),
+    "conformal_quantile": (f"r {_A}, alpha {_D}", _D, _score("r", "alpha")),
+    "conformal_intervals": (f"f {_A}, score {_D}", f"struct<lower:{_A},upper:{_A}>", "named_struct('lower', transform(f, x -> x - score), 'upper', transform(f, x -> x + score))"),
+    "conformal_predict": (f"r {_A}, f {_A}, alpha {_D}", _PREDICTED, _with(_score("r", "alpha"), "w", _sides("w", "w", "w", "split_conformal"))),
+    "conformal_predict_asymmetric": (f"r {_A}, f {_A}, alpha {_D}", _PREDICTED, _with(f"named_struct('d', coalesce({_score('r', '(alpha / 2)', '<')}, 0D), 'u', coalesce({_score('r', '(alpha / 2)', '>')}, 0D))", "w", _sides("w.d", "w.u", f"(case when size(filter(r, x -> {_SOUND})) > 0 and alpha >= 0 and alpha < 1 then (w.d + w.u) / 2 end)", "asymmetric_conformal"))),
+    "conformal_learn": (f"r {_A}, alphas {_A}", f"struct<method:string,strategy:string,alphas:{_A},state_vector:{_A},scores_lower:{_A},scores_upper:{_A},n_residuals:bigint>", _with(_SYMMETRIC, "w", _learned("w", "w"))),
+    "conformal_apply": (f"f {_A}, scores_lower {_A}, scores_upper {_A}", f"struct<point:{_A},lower:array<{_A}>,upper:array<{_A}>>", "case when size(f) > 0 then named_struct('point', f, 'lower', transform(scores_lower, w -> transform(f, x -> x - w)), 'upper', transform(scores_upper, w -> transform(f, x -> x + w))) end"),
+    "conformal_coverage": (f"a {_A}, l {_A}, u {_A}", _D, f"case when {_LEVEL} then {_sum(_BOUNDS, 'case when x.a >= x.l and x.a <= x.u then 1D else 0D end')} / size(a) end"),
+    "mean_interval_width": (f"l {_A}, u {_A}", _D, f"case when size(l) > 0 then {_sum('arrays_zip(l, u)', 'x.u - x.l')} / size(l) end"),
+    "conformal_evaluate": (f"a {_A}, l {_A}, u {_A}, alpha {_D}", f"struct<coverage:{_D},violation_rate:{_D},mean_width:{_D},winkler_score:{_D},n_observations:bigint>", f"case when {_LEVEL} then {_with(_sum(_BOUNDS, 'case when x.a >= x.l and x.a <= x.u then 1D else 0D end') + ' / size(a)', 'c', 'named_struct(' + repr('coverage') + ', c, ' + repr('violation_rate') + ', 1 - c, ' + repr('mean_width') + ', ' + _sum(_BOUNDS, 'x.u - x.l') + ' / size(a), ' + repr('winkler_score') + ', ' + _sum(_BOUNDS, 'x.u - x.l + 2 / alpha * ' + _OUT) + ' / size(a), ' + repr('n_observations') + ', cast(size(a) as bigint))')} end"),
+    "conformal_predict_per_step": (f"forecasts {_A}, actuals {_A}, point {_A}, alpha {_D}, horizon int", f"struct<point:{_A},lower:{_A},upper:{_A},half_widths:{_A},coverage:{_D}>", f"case when size(actuals) >= 2 * horizon and size(actuals) % horizon = 0 then {_with(f'transform(sequence(0, horizon - 1), k -> {_STEP})', 'h', 'named_struct(' + repr('point') + ', point, ' + repr('lower') + ', transform(point, (x, i) -> x - get(h, least(i, horizon - 1))), ' + repr('upper') + ', transform(point, (x, i) -> x + get(h, least(i, horizon - 1))), ' + repr('half_widths') + ', h, ' + repr('coverage') + ', 1 - alpha)')} end"),
+}
