@@ -1,6 +1,8 @@
+import os
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,3 +71,15 @@ def test_edges(spark):
     assert sorted(r.doc_tokens for r in rows) == [1, 1, 3]
     assert packing.pack(frame(spark, [])).count() == 0
     assert "ids" in packing.pack(frame(spark, [(1, "a")]), with_ids=True).columns
+
+
+def test_ids_equal_those_of_the_library_on_all_documents():
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+    slow, fast = Tokenizer.from_file(tokens.default_path()), tokens.encoder()
+    for i in range(0, len(texts), 1000):
+        part = texts[i : i + 1000]
+        for t, e in zip(part, slow.encode_batch(part, add_special_tokens=False)):
+            assert fast.ids(t).tolist() == e.ids
