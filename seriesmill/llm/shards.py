@@ -4,16 +4,18 @@ Documents are packed into sequences of LENGTH ids by the harmonic packer of each
 little padding. A first pass writes them with their place (partition, position) to the shared folder; the partitions' counts give every sequence a dense number. A keyed Feistel network over the
 next even number of bits, walked along its cycle until it lands below the number of sequences, permutes the numbers:
 that is the sequence's global slot, computed from key and number alone. Shard s holds slots s*SIZE to (s+1)*SIZE - 1 in
-order, each in exactly stride bytes, so a reader finds any slot by a multiplication and resumes anywhere.
+order, each in exactly stride bytes, so a reader finds any slot by a multiplication and resumes anywhere. To the range
+partitions the sequences travel in compressed blocks: what a worker holds for the same group of consecutive slots is one row.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ from .common import arrow_map, mix, written
 from .packing import Packer
 
 LENGTH, SHARD_SEQUENCES, ROUNDS = 512, 4096, 6
+#: Bytes that a worker holds to make blocks of, and bytes of a group of consecutive slots that it opens at once.
+BLOCK_BYTES = 16_000_000
+ZSTD_LEVEL = 6
 _U = np.uint64
 
 
@@ -103,7 +108,7 @@ def width(end_id: int, tokenizer: str | None = None) -> int:
     return 2 if max(end_id, tokens.largest_id(tokenizer)) < 65536 else 4
 
 
-def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, end_id: int = 50256, tokenizer: str | None = None) -> DataFrame:
+def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, end_id: int = 50256, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """slot, shard, byte_offset, n_ids, pieces, ids of every sequence, range-partitioned and sorted by slot.
 
     A null or empty text is the closing id alone. A null or repeated doc_id is kept as it is. Other columns
@@ -116,27 +121,89 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
     for part, n in counts:
         before.append((part, total))
         total += n
-    offsets = dict(before)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part = b.column(0).to_numpy()
-            values, inverse = np.unique(part, return_inverse=True)
-            number = np.array([offsets[int(p)] for p in values], np.int64)[inverse] + b.column(1).to_numpy() if len(part) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), *b.columns[2:]], ["slot", "n_ids", "pieces", "ids"])
-
     if not total:
-        return spark.createDataFrame([], f"slot long, shard long, byte_offset long, n_ids int, pieces {_PIECES}, ids binary")
-    placed = arrow_map(rows, run, f"slot long, n_ids int, pieces {_PIECES}, ids binary")
+        return spark.createDataFrame([], f"slot long, shard long, byte_offset long, {_ROW}")
     stride = length * width(end_id, tokenizer)
-    placed = placed.withColumn("shard", F.expr(f"slot div {shard_sequences}")).withColumn("byte_offset", (F.col("slot") % shard_sequences) * stride)
     # Slots are dense, so equal ranges of shards are equal amounts of work: no sampling is needed to find their edges, and
     # a range's number is its partition.
     shards = -(-total // shard_sequences)
     wanted = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.withColumn("_range", F.expr(f"cast(shard * {wanted} div {shards} as int)"))
-    out = dealt.repartitionById(wanted, F.col("_range")).sortWithinPartitions("slot")
-    return out.select("slot", "shard", "byte_offset", "n_ids", "pieces", "ids")
+    group = max(1, block_bytes // stride)
+    blocks = arrow_map(rows, _blocks(dict(before), total, key, shard_sequences, shards, wanted, group, block_bytes), _BLOCK)
+    dealt = blocks.repartitionById(wanted, F.col("range")).sortWithinPartitions("grp")
+    out = arrow_map(dealt, _opened(width(end_id, tokenizer)), f"slot long, {_ROW}")
+    return out.select("slot", F.expr(f"slot div {shard_sequences}").alias("shard"), ((F.col("slot") % shard_sequences) * stride).alias("byte_offset"), "n_ids", "pieces", "ids")
+
+
+_ROW = f"n_ids int, pieces {_PIECES}, ids binary"
+_BLOCK = f"range int, grp long, slots array<bigint>, n_ids array<int>, pieces array<{_PIECES}>, ids binary"
+
+
+def _blocks(offsets: dict[int, int], total: int, key: int, shard_sequences: int, shards: int, wanted: int, group: int, block_bytes: int) -> Callable:
+    """Rows of `sequences` to rows of _BLOCK: their slots, and the ids of all of a range and group under one compression."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, held = pa.Codec("zstd", compression_level=ZSTD_LEVEL), []
+
+        def out() -> pa.RecordBatch:
+            slots = np.concatenate([h[0] for h in held])
+            order = np.argsort(slots)
+            slots = slots[order]
+            n_ids, pieces, ids = (pa.concat_arrays(c).take(pa.array(order)) for c in list(zip(*held))[1:])
+            ranges, groups = slots // shard_sequences * wanted // shards, slots // group
+            first = np.flatnonzero(np.r_[True, (np.diff(ranges) != 0) | (np.diff(groups) != 0)])
+            edges = np.r_[first, len(slots)].astype(np.int32)
+            at, data = np.r_[0, np.cumsum(pc.binary_length(ids).to_numpy())], memoryview(b"".join(ids.to_pylist()))
+            packed = [codec.compress(data[at[i] : at[j]], asbytes=True) for i, j in zip(edges, edges[1:])]
+            lists = [pa.ListArray.from_arrays(pa.array(edges), c) for c in (pa.array(slots), n_ids, pieces)]
+            columns = [pa.array(ranges[first], pa.int32()), pa.array(groups[first], pa.int64()), *lists, pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["range", "grp", "slots", "n_ids", "pieces", "ids"])
+
+        for b in batches:
+            if b.num_rows:
+                part = b.column(0).to_numpy()
+                values, inverse = np.unique(part, return_inverse=True)
+                number = np.array([offsets[int(p)] for p in values], np.int64)[inverse] + b.column(1).to_numpy()
+                held.append((permute(number, total, key), *b.columns[2:]))
+            if sum(h[3].nbytes for h in held) >= block_bytes:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def _opened(size: int) -> Callable:
+    """Rows of _BLOCK sorted by group to rows of slot, n_ids, pieces and ids in the order of slots; one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, held, now = pa.Codec("zstd"), [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            slots, n_ids, pieces = (pa.concat_arrays([h[k].values for h in held]) for k in range(3))
+            ids = []
+            for h in held:
+                counts = h[1].values.to_numpy()
+                data, end = codec.decompress(h[3].as_buffer(), int(counts.sum()) * size, asbytes=True), np.cumsum(counts) * size
+                ids += [data[i:j] for i, j in zip(np.r_[0, end[:-1]], end)]
+            order = np.argsort(slots.to_numpy())
+            for i in range(0, len(order), 1000):
+                take = order[i : i + 1000]
+                at = pa.array(take)
+                yield pa.RecordBatch.from_arrays([slots.take(at), n_ids.take(at), pieces.take(at), pa.array([ids[x] for x in take], pa.binary())], ["slot", "n_ids", "pieces", "ids"])
+
+        for b in batches:
+            for row in zip(*b.columns[1:]):
+                if held and row[0].as_py() != now:
+                    yield from out()
+                    held = []
+                now = row[0].as_py()
+                held.append(row[1:])
+        if held:
+            yield from out()
+
+    return run
 
 
 def _stored(batches: Iterator[pa.RecordBatch], uri: str, length: int, pad_id: int, size: int) -> Iterator[tuple[int, str, int, int, list[pa.RecordBatch]]]:

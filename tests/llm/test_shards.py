@@ -41,6 +41,19 @@ def test_round_trip_through_shards(spark, docs, texts, tmp_path):
         assert len(back) == 64 and back[: r.n_ids].tolist() == np.frombuffer(r.ids, "<u2").tolist() and set(back[r.n_ids :]) <= {50256}
 
 
+@pytest.mark.parametrize("block_bytes", [1, 700, 5000])
+def test_blocks_of_any_size_give_the_same_rows(spark, docs, block_bytes):
+    def rows(**options):
+        return shards.ordered(docs.repartition(3), length=64, shard_sequences=16, **options).select("slot", "shard", "byte_offset", "n_ids", "ids").collect()
+
+    got = rows(block_bytes=block_bytes)
+    assert [(r.shard, r.byte_offset) for r in got] == [(r.slot // 16, r.slot % 16 * 128) for r in got]
+    assert sorted(r.slot for r in got) == list(range(len(got))) and all(len(r.ids) == 2 * r.n_ids for r in got)
+    assert all(a.slot < b.slot for a, b in zip(got, got[1:]) if a.shard == b.shard)
+    whole = rows()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+
+
 def test_edges(spark):
     assert shards.ordered(frame(spark, [])).count() == 0
     rows = shards.digest(shards.ordered(frame(spark, [(None, "a"), (1, None), (1, "b")]))).collect()
