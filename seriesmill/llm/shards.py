@@ -114,7 +114,7 @@ def ordered(docs: DataFrame, key: int = 20240501, length: int = LENGTH, shard_se
     A null or empty text is the closing id alone. A null or repeated doc_id is kept as it is. Other columns
     are ignored; an empty table gives no rows.
     """
-    rows = written(sequences(docs, length, end_id, tokenizer), "shards-sequences")
+    rows = written(sequences(docs, length, end_id, tokenizer), "shards-sequences", level=9)
     spark = docs.sparkSession
     counts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
     total, before = 0, []
