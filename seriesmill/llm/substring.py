@@ -6,8 +6,8 @@ packed string of words to the minimiser's bucket, where sorting finds for each w
 
 Equal texts are one text from the start (all but the first lose everything). Minimisers that only one document has
 cannot hold a repeated window; only the super-k-mers of the others travel, and equal packed strings are combined
-before they do. A bucket of more than BUCKET_STRINGS distinct strings is dealt out anew by window instead, and hot
-minimisers, strings and windows stay with their rows, so that a hot passage never meets in one task.
+before they do. The windows of a bucket of more than BUCKET_STRINGS distinct strings are dealt out anew by
+hash, in blocks, and hot minimisers and strings stay with their rows, so that a hot passage never meets in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ WINDOW, MMER = 50, 8
 #: Windows in a super-k-mer at most; a longer run with one minimiser is several.
 RUN = 64
 BUCKET_STRINGS = 512
+#: Strings of large buckets in a block, and windows that a part of them takes, about.
+BLOCK_STRINGS, PART_WINDOWS = 2000, 1 << 18
 
 
 def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -138,21 +142,80 @@ def _earliest_in_bucket(strings: DataFrame, window: int) -> DataFrame:
     return arrow_map(dealt, run, "mini long, p1 long, p2 long, firsts array<long>")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The consecutive rows that share their first column, one table a value."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        for part in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1) if len(key) else []:
+            if kept and kept[-1].column(0)[0].as_py() != key[part[0]]:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(b.slice(part[0], len(part)))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _cut(lists: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(lists, kind))
+
+
 def _earliest_by_window(strings: DataFrame, window: int) -> DataFrame:
-    """The same for the strings of large buckets: their windows are dealt out one by one, combined before the shuffle."""
+    """The same for the strings of large buckets: their windows are dealt out by hash, in blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A block holds each window of up to BLOCK_STRINGS strings once, sorted by part and hash. A part gets one row from
+    each block and answers with one, so a passage that all strings have counts once a block. Rows number at most the
+    windows and fall short of them as long as blocks hold more windows than there are parts.
+    """
+    parts = (strings.agg(F.sum("n")).first()[0] or 0) // PART_WINDOWS + 1
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                s = b.slice(i, 2000)
+            for i in range(0, b.num_rows, BLOCK_STRINGS):
+                s = b.slice(i, BLOCK_STRINGS)
                 of, x, y = _windows(s.column(4), window)
-                nth = np.arange(len(of)) - np.searchsorted(of, of)
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([*(s.column(k).take(take) for k in range(4)), pa.array(nth.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["mini", "p1", "p2", "least", "nth", "w1", "w2"])
-
-    each = written(arrow_map(strings.select("mini", "p1", "p2", "least", "packed"), run, "mini long, p1 long, p2 long, least long, nth int, w1 long, w2 long"), "substring-windows")
-    first = written(each.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "substring-firsts")
-    return join_by_key(each, first, ["w1", "w2"]).groupBy("mini", "p1", "p2").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "first"))), lambda x: x["first"]).alias("firsts"))
+                if not len(of):
+                    continue
+                least, part = s.column(3).to_numpy()[of], (x >> np.uint64(20)) % np.uint64(parts)
+                order = np.lexsort((least, y, x, part))
+                new = np.r_[True, (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])]
+                at = np.empty(len(of), np.int64)
+                at[order] = np.cumsum(new) - 1
+                once = order[new]
+                begin = np.flatnonzero(np.r_[True, part[once][1:] != part[once][:-1]])
+                # First the block's own row (part -1: its strings, and which window is which), then a row a part.
+                own, rest = np.r_[0, len(s)], np.r_[0, 0, begin[1:], len(once)]
+                head = [_cut(v, np.r_[own, np.full(len(begin), own[1])], pa.int64()) for v in (s.column(k).to_numpy() for k in range(3))]
+                head += [_cut(np.bincount(of, minlength=len(s)), np.r_[own, np.full(len(begin), own[1])], pa.int32()), _cut(at, np.r_[0, np.full(len(begin) + 1, len(at))], pa.int32())]
+                keys = [pa.array(np.full(len(begin) + 1, block)), pa.array(np.r_[-1, part[once][begin].astype(np.int64)], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*keys, *head, *[_cut(v[once], rest, pa.int64()) for v in (x.view(np.int64), y.view(np.int64), least)]], names)
+                block += 1
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            a, b, least = (t[c].combine_chunks().flatten().to_numpy() for c in ("w1", "w2", "least"))
+            order = np.lexsort((least, b, a))
+            new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+            first = np.empty(len(a), np.int64)
+            first[order] = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            edges = np.r_[0, np.cumsum(pc.list_value_length(t["w1"]).to_numpy())]
+            yield pa.RecordBatch.from_arrays([t["block"].combine_chunks(), t["part"].combine_chunks(), _cut(first, edges, pa.int64())], ["block", "part", "firsts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            own = t.slice(0, 1).combine_chunks()
+            n, at = (own[c].combine_chunks().flatten().to_numpy() for c in ("n", "at"))
+            firsts = t["firsts"].combine_chunks().flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([*(own[c].combine_chunks().flatten() for c in ("mini", "p1", "p2")), _cut(firsts[at], np.r_[0, np.cumsum(n)], pa.int64())], ["mini", "p1", "p2", "firsts"])
+
+    schema = "block long, part int, mini array<long>, p1 array<long>, p2 array<long>, n array<int>, at array<int>, w1 array<long>, w2 array<long>, least array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
+    each = written(arrow_map(strings.select("mini", "p1", "p2", "least", "packed"), blocks, schema), "substring-blocks")
+    dealt = each.where("part >= 0").select("part", "block", "w1", "w2", "least").repartition("part").sortWithinPartitions("part", "block")
+    firsts = arrow_map(dealt, solve, "block long, part int, firsts array<long>")
+    heads = each.where("part < 0").select("block", "part", "mini", "p1", "p2", "n", "at")
+    return arrow_map(heads.unionByName(firsts, True).repartition("block").sortWithinPartitions("block", "part"), gather, "mini long, p1 long, p2 long, firsts array<long>")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
@@ -170,7 +233,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket_strings: int
     hits = join_by_key(each, shared, ["mini"], "k").groupBy("doc_id", "t1").agg(F.collect_list(F.struct("start", "n", "mini")).alias("hits"))
     packed = written(_packed(docs.join(hits, ["doc_id", "t1"]).select("doc_id", "t1", "text", "hits"), window), "substring-packed")
     discard(shared)
-    strings = packed.groupBy("mini", "p1", "p2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("k"), F.first("packed").alias("packed"))
+    strings = packed.groupBy("mini", "p1", "p2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("packed").alias("packed"))
     strings = written(strings, "substring-strings")
     large = strings.groupBy("mini").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > bucket_strings).select("mini")
     if large.isEmpty():

@@ -43,6 +43,16 @@ def test_overlapping_passages_and_order(spark):
     assert run(spark, rows, window=10) == brute(rows, 10)
 
 
+def test_windows_of_large_buckets_in_several_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_STRINGS", 5)
+    monkeypatch.setattr(substring, "PART_WINDOWS", 100)
+    rng = random.Random(10)
+    p = words(rng, 55)
+    rows = [(i, " ".join([words(rng, rng.randint(0, 40)), p, rng.choice(["", p, words(rng, 30)])])) for i in rng.sample(range(1000), 60)]
+    assert run(spark, rows, bucket_strings=3) == brute(rows)
+    assert run(spark, rows, bucket_strings=3, window=12) == brute(rows, 12)
+
+
 def test_edges(spark):
     rng = random.Random(9)
     p = words(rng, 60)
