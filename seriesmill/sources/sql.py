@@ -1,4 +1,5 @@
-"""The functions in SQL: array functions as scalar functions, metrics as SQL functions, tables through `call`.
+"""The functions in SQL: array functions as scalar functions, aggregates for GROUP BY, metrics as SQL functions, tables
+through `call`.
 
 register(spark, prefix) makes, for instance, ts_detect_peaks(values), ts_mae(actual, forecast) and
 ts_forecast_values(values, 'Theta', 12) known to spark.sql; call(spark, 'ts_fill_gaps_by', 'sales', ...) runs a table
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import describe, models
 from ..operators import analysis, conformal, crossval, forecast, keys, metrics, prep, stats
+from .aggregates import aggregates
 from .tables import by_name
 
 #: Table functions by their SQL names; their arguments are those of the Python functions after the table.
@@ -88,7 +90,7 @@ _PAIR = "filter(arrays_zip(a, f), x -> x.a is not null and x.f is not null and n
 
 
 def register(spark: SparkSession, prefix: str = "ts_") -> list[str]:
-    """Make the scalar functions known to spark.sql; returns their names."""
+    """Make the scalar functions and aggregates known to spark.sql; returns their names."""
     names = []
 
     def put(name: str, udf) -> None:
@@ -103,6 +105,8 @@ def register(spark: SparkSession, prefix: str = "ts_") -> list[str]:
         o = forecast.options(method, None, detect=False, level=0.95)
         return forecast._kernel(v, h=int(horizon), o=o, in_sample=True)
 
+    for name, udf in aggregates():
+        put(name, udf)
     put("forecast_values", _array_udf(points, forecast._POINTS, ["method", "horizon"]))
     total = lambda term: f"aggregate({_PAIR}, 0D, (s, x) -> s + {term})"
     ok = f"size(a) = size(f) and size({_PAIR}) > 0"

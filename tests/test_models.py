@@ -235,6 +235,38 @@ def test_sql(spark):
         sql.call(spark, "nope", "sales")
 
 
+def test_aggregates_in_group_by(spark):
+    import random
+
+    from seriesmill.operators import analysis, forecast
+
+    sql.register(spark)
+    rng, day = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(g, day + dt.timedelta(days=i), None if rng.random() < 0.05 else round(rng.uniform(0, 9) + 5 * (i % 7 == 0) + 30 * (i > 40), 2)) for g in "ab" for i in range(70)]
+    rows += [("c", day, 1.0), ("c", day, 0.5), ("c", None, 7.0), ("n", None, 1.0), ("z", day, None)]
+    df = spark.createDataFrame(rows, "id string, ds timestamp, y double").repartition(3)
+    df.createOrReplaceTempView("agg_sales")
+    ask = lambda call: {r.id: r.x for r in spark.sql(f"select id, {call} as x from agg_sales group by id").collect()}
+    same = lambda got, want: all(str(got[r[0]]) == str(r[1]) for r in want.collect())
+    assert same(ask("ts_stats_agg(ds, y)"), stats.stats_agg(df, ["id"], "ds", "y"))
+    assert same(ask("ts_data_quality_agg(ds, y)"), stats.data_quality_agg(df, ["id"], "ds", "y"))
+    assert same(ask("ts_features_agg(ds, y)"), stats.features_agg(df, ["id"], "ds", "y"))
+    some = ask("ts_features(ds, y, array('mean', 'length'), null)")
+    assert some["a"].length == 70 - sum(r[2] is None for r in rows if r[0] == "a") and some["a"].median is None
+    assert same(ask("ts_detect_periods_agg(ds, y, 'acf')"), analysis.detect_periods_agg(df, ["id"], "ds", "y", "acf"))
+    assert same(ask("ts_classify_seasonality_agg(ds, y, 7)"), analysis.classify_seasonality_agg(df, ["id"], "ds", "y", 7))
+    assert same(ask("ts_detect_changepoints_agg(ds, y, map('hazard_lambda', '100'))"), analysis.detect_changepoints_agg(df, ["id"], "ds", "y", {"hazard_lambda": 100}))
+    got = ask("ts_forecast_agg(ds, y, 'SES', 3, map())")
+    want = {r.id: r.forecast for r in forecast.forecast_agg(df, ["id"], "ds", "y", "SES", 3).collect()}
+    for k in "ab":
+        assert got[k].point_forecast == want[k].point_forecast and got[k].lower_90 == want[k].lower_90 and got[k].insample_fitted == want[k].insample_fitted
+        assert got[k].forecast_timestamp == want[k].forecast_timestamp == [day + dt.timedelta(days=70 + i) for i in range(3)]
+    assert got["n"] is None and ask("ts_stats_agg(ds, y)")["n"] is None
+    assert spark.sql("select ts_stats_agg(cast(ds as date), y).length as n from agg_sales").first().n == 143
+    with pytest.raises(Exception, match="horizon"):
+        ask("ts_forecast_agg(ds, y, 'SES', 0, map())")
+
+
 def test_conformal_per_step_uses_all_pairs(spark, tmp_path):
     import math
     import random
