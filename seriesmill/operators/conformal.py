@@ -10,6 +10,7 @@ import math
 import zlib
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,13 +233,19 @@ def conformal_calibrate(df: DataFrame, actual: str, forecast: str, params: dict
     if not 0 <= alpha < 1:
         raise ValueError("alpha lies in [0, 1)")
     r = df.select(F.abs((F.col(actual) - F.col(forecast)).cast("double")).alias("r")).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    n, score = r.count(), None
-    if n:
-        at = min(1.0, math.ceil(round((n + 1) * (1 - alpha), 9)) / n) * (n - 1)
-        lo = math.floor(at)
-        score = order_statistic(r, "r", lo)
-        if at > lo:
-            score += (order_statistic(r, "r", lo + 1) - score) * (at - lo)
+    # Several passes read the residuals; kept on executors' disks, so that what they are made from runs once. A lost
+    # executor's part is made again.
+    r.persist(StorageLevel.DISK_ONLY)
+    try:
+        n, score = r.count(), None
+        if n:
+            at = min(1.0, math.ceil(round((n + 1) * (1 - alpha), 9)) / n) * (n - 1)
+            lo = math.floor(at)
+            score = order_statistic(r, "r", lo)
+            if at > lo:
+                score += (order_statistic(r, "r", lo + 1) - score) * (at - lo)
+    finally:
+        r.unpersist()
     return df.sparkSession.createDataFrame([(score, 1 - alpha, n)], "conformity_score double, coverage double, n_residuals long")
 
 

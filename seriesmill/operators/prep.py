@@ -102,6 +102,10 @@ def diff(df: DataFrame, group: str, date: str, value: str, order: int = 1) -> Da
 # ------------------------------------------------------------------ gaps
 
 
+#: Points that a gap gives at once, and the start of working columns' names.
+PIECE, _MORE = 10_000, "__fill_gaps_"
+
+
 def fill_gaps(df: DataFrame, group: str, date: str, value: str, freq: str | int) -> DataFrame:
     """The three columns, with a null value at every grid date that is missing between two rows of a group.
 
@@ -117,19 +121,23 @@ def fill_gaps(df: DataFrame, group: str, date: str, value: str, freq: str | int)
         first = F.trunc(F.col(date).cast("date"), unit)
         upto = F.trunc(F.col("_next").cast("date"), unit)
         months = fq.CALENDAR[unit]
-        grid = F.transform(F.sequence(F.lit(1), F.months_between(upto, first).cast("int").__truediv__(months).cast("int") - 1), lambda k: F.add_months(first, k * months).cast(kind))
-        extra = F.months_between(upto, first).cast("int") / months > 1
+        n = F.months_between(upto, first).cast("int").__truediv__(months).cast("int") - 1
+        at = lambda k: F.add_months(first, (k * months).cast("int")).cast(kind)
     else:
         step = fq.number_step(f, kind)
         gap = fq.as_number(F.col("_next"), kind) - fq.as_number(F.col(date), kind)
         # k < gap / step: a point that the next row itself takes is not inserted
-        n = F.expr("1") * F.ceil(gap / F.lit(step)).cast("int") - 1
-        grid = F.transform(F.sequence(F.lit(1), n), lambda k: fq.shift(F.col(date), f, kind, k))
-        extra = n >= 1
+        n = F.ceil(gap / F.lit(step)).cast("long") - 1
+        at = lambda k: fq.shift(F.col(date), f, kind, k)
+    # The points of a gap come in pieces, so that no array grows with the gap; the first piece has the row itself.
+    n = F.greatest(F.coalesce(n.cast("long"), F.lit(0)), F.lit(0))
+    piece, empty = F.col(f"{_MORE}p"), F.array().cast(more_type(df, date))
+    rows = rows.withColumn(f"{_MORE}n", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.col(f"{_MORE}n"), F.lit(1)) - 1) / PIECE))).alias(f"{_MORE}p"))
     here = F.struct(F.col(date).alias("d"), F.col(value).alias("v"))
     none = F.lit(None).cast("double")
-    more = F.when(F.coalesce(extra, F.lit(False)), F.transform(grid, lambda d: F.struct(d.alias("d"), none.alias("v"))))
-    out = rows.select(group, F.inline(F.concat(F.array(here), F.coalesce(more, F.array().cast(more_type(df, date))))))
+    grid = F.sequence(piece * PIECE + 1, F.least(F.col(f"{_MORE}n"), (piece + 1) * PIECE))
+    more = F.when(F.col(f"{_MORE}n") > 0, F.transform(grid, lambda k: F.struct(at(k).alias("d"), none.alias("v")))).otherwise(empty)
+    out = rows.select(group, F.inline(F.concat(F.when(piece == 0, F.array(here)).otherwise(empty), more)))
     return out.select(group, F.col("d").alias(date), F.col("v").alias(value))
 
 

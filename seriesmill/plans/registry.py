@@ -136,9 +136,10 @@ query("estimate_backtest_memory", "SELECT CAST((1000 * 365 * 5 * 40 + 1000 * 5 *
 # ------------------------------------------------------------------ statistics
 
 _R = lambda names: [F.round(n, 5).alias(n) for n in names]
+_EXPECTED = ", CASE WHEN count(*) >= 2 THEN max(ds) - min(ds) + 1 ELSE count(*) END AS expected_length"
 _STAT_SQL = """SELECT id, count(*) AS length, count(*) FILTER (y IS NULL) AS n_nulls, count(*) FILTER (y = 0) AS n_zeros, count(*) FILTER (y > 0) AS n_positive, count(DISTINCT y) AS n_unique_values,
-round(avg(y), 5) AS mean, round(median(y), 5) AS median, round(min(y), 5) AS min, round(max(y), 5) AS max, round(sum(y), 5) AS sum, round(CASE WHEN count(y) = 1 THEN 0 ELSE stddev_samp(y) END, 5) AS std_dev,
-round(quantile_cont(y, 0.25), 5) AS q1, round(quantile_cont(y, 0.75), 5) AS q3, CASE WHEN count(*) >= 2 THEN max(ds) - min(ds) + 1 ELSE count(*) END AS expected_length FROM {users} GROUP BY id HAVING count(y) > 0"""
+coalesce(round(avg(y), 5), 'NaN') AS mean, coalesce(round(median(y), 5), 'NaN') AS median, coalesce(round(min(y), 5), 'NaN') AS min, coalesce(round(max(y), 5), 'NaN') AS max, coalesce(round(sum(y), 5), 'NaN') AS sum, coalesce(round(CASE WHEN count(y) = 1 THEN 0 ELSE stddev_samp(y) END, 5), 'NaN') AS std_dev,
+coalesce(round(quantile_cont(y, 0.25), 5), 'NaN') AS q1, coalesce(round(quantile_cont(y, 0.75), 5), 'NaN') AS q3, CASE WHEN count(*) >= 2 THEN max(ds) - min(ds) + 1 ELSE count(*) END AS expected_length FROM {users} GROUP BY id"""
 simple("stats_by", t.users, lambda d: stats.stats_by(d, "id", "ds", "y", "1d").select("id", "length", "n_nulls", "n_zeros", "n_positive", "n_unique_values", *_R(["mean", "median", "min", "max", "sum", "std_dev", "q1", "q3"]), "expected_length"), _STAT_SQL)
 simple("stats_all", t.daily, lambda d: stats.stats_by(d, "id", "ds", "y", "1d"))
 simple("stats_agg", t.daily, lambda d: stats.stats_agg(d, ["id"], "ds", "y").select("id", F.col("stats.length").alias("length"), F.round("stats.mean", 5).alias("mean")), "SELECT id, count(*) AS length, round(avg(y), 5) AS mean FROM {daily} GROUP BY id")
@@ -350,6 +351,22 @@ _CHECKED_BY = f"ts_conformal_evaluate(a, {_BOUNDED}.lower, {_BOUNDED}.upper, 0.1
 simple("sql_conformal_evaluate", _pairs, _in_sql(f"round(ts_conformal_coverage(a, {_BOUNDED}.lower, {_BOUNDED}.upper), 4) AS coverage, round({_CHECKED_BY}.violation_rate, 4) AS violation_rate, round(ts_mean_interval_width({_BOUNDED}.lower, {_BOUNDED}.upper), 4) AS mean_width, round({_CHECKED_BY}.winkler_score, 4) AS winkler_score, {_CHECKED_BY}.n_observations AS n_observations", _arrays), _EVALUATED)
 
 
+def _grouped(call: str, build: Callable[[DataFrame], DataFrame]):
+    """`build` of id and r, the aggregate `call` of sources.aggregates by id."""
+
+    def run(d: DataFrame) -> DataFrame:
+        sql.register(d.sparkSession)
+        return build(d.sparkSession.sql(f"SELECT id, {call} AS r FROM {{rows}} GROUP BY id", rows=d))
+
+    return run
+
+
+_NUMBERS = ["mean", "median", "min", "max", "sum", "std_dev", "q1", "q3"]
+simple("sql_stats_agg", t.users, _grouped("ts_stats_agg(ds, y)", lambda g: g.select("id", "r.*").select("id", "length", "n_nulls", "n_zeros", "n_positive", "n_unique_values", *_R(_NUMBERS))), _STAT_SQL.replace(_EXPECTED, ""))
+simple("sql_data_quality_agg", t.users, _grouped("ts_data_quality_agg(ds, y)", lambda g: g.select("id", "r.*").withColumns({c: F.round(c, 6) for c in _SCORES})), ORACLES["data_quality_agg"])
+simple("sql_features_agg", t.daily, _grouped("ts_features_agg(ds, y, array('mean', 'length'))", lambda g: g.select("id", F.round("r.mean", 5).alias("mean"), "r.length")), ORACLES["features_agg"])
+simple("sql_forecast_agg", t.daily, _grouped("ts_forecast_agg(ds, y, 'Naive', 3, map())", lambda g: g.select("id", F.inline(F.arrays_zip("r.forecast_step", F.col("r.forecast_timestamp").alias("ds"), F.col("r.point_forecast").alias("yhat"))))), "WITH e AS (SELECT id, max(ds) AS last, arg_max(y, ds) AS y FROM {daily} GROUP BY id), k AS (SELECT unnest([1, 2, 3]) AS forecast_step) SELECT id, forecast_step, CAST(last + forecast_step AS TIMESTAMP) AS ds, y AS yhat FROM e, k")
+
 # ------------------------------------------------------------------ periods, shape, changepoints
 
 def _found(r: DataFrame, least: float | None = None) -> DataFrame:
@@ -434,6 +451,9 @@ simple("mstl_decomposition_by", t.daily, lambda d: analysis.mstl_decomposition_b
 simple("detect_changepoints_by", t.daily, lambda d: analysis.detect_changepoints_by(d, "id", "ds", "y", {"include_probabilities": True}).withColumn("changepoint_probability", F.round("changepoint_probability", 4)), oracles.CHANGES)
 simple("detect_changepoints_table", t.daily, lambda d: analysis.detect_changepoints(_total(d), "ds", "y"), oracles.changepoints(_TOTAL, "SELECT ds, y, signal > 0.5 AND t > 0 AS is_changepoint, CAST(0 AS DOUBLE) AS changepoint_probability FROM r JOIN sg ON sg.id = r.id AND sg.t = r.i"))
 simple("detect_changepoints_agg", t.daily, lambda d: analysis.detect_changepoints_agg(d, ["id"], "ds", "y", {"include_probabilities": True}).select("id", F.inline("changepoints")).withColumn("changepoint_probability", F.round("changepoint_probability", 4)), oracles.CHANGES.replace("SELECT r.id, ds, y, signal", 'SELECT r.id, ds AS "timestamp", y AS value, signal'))
+simple("sql_detect_periods_agg", t.daily, _grouped("ts_detect_periods_agg(ds, y)", lambda g: _found(g.select("id", "r.*"))), ORACLES["detect_periods_agg"])
+simple("sql_classify_seasonality_agg", t.daily, _grouped("ts_classify_seasonality_agg(ds, y, 7)", lambda g: _classes(g.select("id", "r.*"))), ORACLES["classify_seasonality_agg"])
+simple("sql_detect_changepoints_agg", t.daily, _grouped("ts_detect_changepoints_agg(ds, y, map('include_probabilities', 'true'))", lambda g: g.select("id", F.inline("r")).withColumns({"timestamp": F.col("timestamp").cast("date"), "changepoint_probability": F.round("changepoint_probability", 4)})), ORACLES["detect_changepoints_agg"])
 simple("detect_changepoints_pelt", t.daily, lambda d: _on_arrays("detect_changepoints_pelt")(d).select("id", "detect_changepoints_pelt.n_changepoints", F.array_join(F.transform("detect_changepoints_pelt.changepoints", lambda x: x.cast("string")), ",").alias("changepoints"), F.round("detect_changepoints_pelt.cost", 2).alias("cost")), oracles.PELT)
 
 

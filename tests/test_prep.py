@@ -45,6 +45,14 @@ def test_fill_gaps_hours_and_off_grid(spark):
     assert [r[1] for r in rows(out.where("v is null"), "d")] == [t(2), t(3)]
 
 
+@pytest.mark.parametrize("gap", [1, 2, prep.PIECE, prep.PIECE + 1, prep.PIECE + 2, 3 * prep.PIECE + 7])
+def test_fill_gaps_of_any_length(spark, gap):
+    df = spark.createDataFrame([("A", 5, 1.0), ("A", 5 + gap, 2.0), ("B", 3, None), ("B", 4, 4.0)], "g string, d long, v double")
+    out = [(r.g, r.d, r.v) for r in prep.fill_gaps(df, "g", "d", "v", "1").collect()]
+    want = [("A", d, {5: 1.0, 5 + gap: 2.0}.get(d)) for d in range(5, 6 + gap)] + [("B", 3, None), ("B", 4, 4.0)]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
 def test_fill_gaps_integers_and_quarters(spark):
     df = spark.createDataFrame([("A", 1, 1.0), ("A", 7, 2.0)], "g string, d int, v double")
     assert [r[1] for r in rows(prep.fill_gaps(df, "g", "d", "v", "2"), "d")] == [1, 3, 5, 7]
