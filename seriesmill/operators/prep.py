@@ -131,20 +131,19 @@ def fill_gaps(df: DataFrame, group: str, date: str, value: str, freq: str | int)
         at = lambda k: fq.shift(F.col(date), f, kind, k)
     # The points of a gap come in pieces, so that no array grows with the gap; the first piece has the row itself.
     n = F.greatest(F.coalesce(n.cast("long"), F.lit(0)), F.lit(0))
-    piece, empty = F.col(f"{_MORE}p"), F.array().cast(more_type(df, date))
-    rows = rows.withColumn(f"{_MORE}n", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.col(f"{_MORE}n"), F.lit(1)) - 1) / PIECE))).alias(f"{_MORE}p"))
+    piece = F.col(f"{_MORE}p")
+    n_of, one = F.col(f"{_MORE}n"), F.array(F.lit(0).cast("long"))
+    rows = rows.withColumn(f"{_MORE}n", n).drop("_next")
+    rows = rows.select("*", F.explode(F.when(n_of > PIECE, F.sequence(F.lit(0).cast("long"), F.floor((n_of - 1) / PIECE))).otherwise(one)).alias(f"{_MORE}p"))
     here = F.struct(F.col(date).alias("d"), F.col(value).alias("v"))
     none = F.lit(None).cast("double")
-    grid = F.sequence(piece * PIECE + 1, F.least(F.col(f"{_MORE}n"), (piece + 1) * PIECE))
-    more = F.when(F.col(f"{_MORE}n") > 0, F.transform(grid, lambda k: F.struct(at(k).alias("d"), none.alias("v")))).otherwise(empty)
-    out = rows.select(group, F.inline(F.concat(F.when(piece == 0, F.array(here)).otherwise(empty), more)))
+    grid = F.sequence(piece * PIECE + 1, F.least(n_of, (piece + 1) * PIECE))
+    more = F.transform(grid, lambda k: F.struct(at(k).alias("d"), none.alias("v")))
+    whole = F.when(n_of == 0, F.array(here)).when(piece == 0, F.concat(F.array(here), more)).otherwise(more)
+    out = rows.select(group, F.inline(whole))
     return out.select(group, F.col("d").alias(date), F.col("v").alias(value))
 
 
-def more_type(df: DataFrame, date: str) -> str:
-    return f"array<struct<d:{df.schema[date].dataType.simpleString()},v:double>>"
-
-
 def fill_forward(df: DataFrame, group: str, date: str, value: str, target, freq: str | int) -> DataFrame:
     """The three columns, extended with null values on the grid from each group's last date up to target."""
     kind, f = fq.check_date(df, date), fq.parse(freq)

@@ -224,7 +224,8 @@ ASYMMETRIC = _PAIRS + f"SELECT id AS group_col, round((({quantile('down', 0.1)})
 LEARNED = _PAIRS + f"SELECT id, round({quantile('absolute', 0.1)}, 4) AS score_10, round({quantile('absolute', 0.2)}, 4) AS score_20, round((({quantile('down', 0.05)}) + ({quantile('up', 0.05)})) / 2, 4) AS asymmetric, CAST(2 AS INTEGER) AS levels, round(fs[1] - ({quantile('absolute', 0.2)}), 4) AS first_lower_20 FROM l"
 PER_STEP = (
     _PAIRS + ", p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ds) - 1 AS j, count(*) OVER (PARTITION BY id) AS n FROM z), w AS (SELECT id, (j + 3 * (n - 4)) % 4 AS k, list(abs(r) ORDER BY abs(r)) AS l FROM p WHERE j < n - 4 GROUP BY ALL) "
-    f"SELECT p.id, CAST(k AS INTEGER) AS step, round(f, 4) AS point, round({quantile('l', 0.1)}, 4) AS half_width, round(f - ({quantile('l', 0.1)}), 4) AS lower, round(f + ({quantile('l', 0.1)}), 4) AS upper FROM p JOIN w ON w.id = p.id AND w.k = p.j - p.n + 4 WHERE p.n - 4 >= 8"
+    f"SELECT p.id, CAST(k AS INTEGER) AS step, round(f, 4) AS point, round({quantile('l', 0.1)}, 4) AS half_width, round(f - ({quantile('l', 0.1)}), 4) AS lower, round(f + ({quantile('l', 0.1)}), 4) AS upper FROM p JOIN w ON w.id = p.id AND w.k = p.j - p.n + 4 WHERE p.n - 4 >= 8 "
+    "UNION ALL SELECT DISTINCT id, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM p WHERE n - 4 < 8"
 )
 
 

@@ -310,13 +310,13 @@ def _learned(d: DataFrame) -> DataFrame:
 
 def _per_step(d: DataFrame, horizon: int = 4) -> DataFrame:
     """The last `horizon` pairs are the points and all before them the folds, counted back from the points; nulls, which no
-    width counts, fill up the first fold. A series without two whole folds gets null."""
+    width counts, fill up the first fold. A series without two whole folds gets one row of nulls."""
     z = _arrays(d).withColumn("n", F.size("f") - horizon)
     fill = F.array_repeat(F.lit(None).cast("double"), F.pmod(-F.col("n"), F.lit(horizon)))
     folds = lambda c: F.concat(fill, F.slice(c, 1, F.greatest("n", F.lit(0))))
     point = F.slice("f", F.greatest("n", F.lit(0)) + 1, horizon)
     c = F.when(F.col("n") >= 2 * horizon, conformal.conformal_predict_per_step(folds("f"), folds("a"), point, 0.1, horizon))
-    z = z.select("id", c.alias("c")).select("id", F.posexplode(F.arrays_zip("c.point", "c.half_widths", "c.lower", "c.upper")).alias("step", "z"))
+    z = z.select("id", c.alias("c")).select("id", F.posexplode_outer(F.arrays_zip("c.point", "c.half_widths", "c.lower", "c.upper")).alias("step", "z"))
     return z.select("id", "step", *[F.round(f"z.{k}", 4).alias(n) for k, n in (("point", "point"), ("half_widths", "half_width"), ("lower", "lower"), ("upper", "upper"))])
 
 

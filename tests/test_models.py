@@ -277,12 +277,14 @@ def test_conformal_per_step_uses_all_pairs(spark, tmp_path):
     series = {f"s{n}": [round(rng.uniform(0, 9), 3) for _ in range(n)] for n in (3, 10, 13, 14, 30, 103)}
     rows = [(k, day + dt.timedelta(days=i), y) for k, v in series.items() for i, y in enumerate(v)]
     spark.createDataFrame(rows, "event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.id: r for r in __spark_entry__.queries()["conformal_per_step"](spark, str(tmp_path)).collect()}
-    assert sorted(got) == sorted(series)
+    got = {k: [] for k in series}
+    for r in __spark_entry__.queries()["conformal_per_step"](spark, str(tmp_path)).orderBy("step").collect():
+        got[r.id].append(r)
+    assert all(got.values())
     for k, v in series.items():
         pairs = list(zip(v, v[1:]))  # forecast, actual
         if len(pairs) < 12:
-            assert got[k].point is None
+            assert [tuple(r)[1:] for r in got[k]] == [(None,) * 5]
             continue
         early = pairs[:-4]
         half = []
@@ -291,8 +293,10 @@ def test_conformal_per_step_uses_all_pairs(spark, tmp_path):
             at = min(1.0, math.ceil(round((len(r) + 1) * 0.9, 9)) / len(r)) * (len(r) - 1)
             lo = int(at)
             half.append(r[lo] + (r[min(lo + 1, len(r) - 1)] - r[lo]) * (at - lo))
-        assert got[k].point == [f for f, _ in pairs[-4:]]
-        assert np.allclose(got[k].half_widths, half) and np.allclose(got[k].upper, np.array(got[k].point) + half)
+        point = [f for f, _ in pairs[-4:]]
+        assert [(r.step, r.point) for r in got[k]] == list(enumerate(point))
+        for name, want in (("half_width", half), ("lower", np.array(point) - half), ("upper", np.array(point) + half)):
+            assert np.allclose([r[name] for r in got[k]], want, atol=1e-4)
 
 
 def test_stats_by_keeps_series_of_nulls(spark, tmp_path):
