@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models as _models
@@ -227,7 +227,15 @@ def _total(d: DataFrame) -> DataFrame:
     return d.groupBy("ds").agg(F.round(F.sum("y"), 3).alias("y"))
 
 
-simple("forecast_one", t.daily, lambda d: forecast.forecast(_total(d), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: F.round(x, 4).cast("string")), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(arg_max(y, ds) AS VARCHAR) AS v FROM (SELECT ds, round(sum(y), 3) AS y FROM {daily} GROUP BY ds))")
+def _digits(x: Column) -> Column:
+    """A double of up to four decimals as DuckDB writes it: all its digits below 1e16, where Spark's cast takes to
+    exponents from 1e7 on and under 1e-3."""
+    full = F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+    short = F.replace(F.lower(F.regexp_replace(x.cast("string"), r"(\.0)?E", "e+")), F.lit("infinity"), F.lit("inf"))
+    return F.when((F.abs(x) < 1e16) & (x != 0), full).otherwise(short)
+
+
+simple("forecast_one", t.daily, lambda d: forecast.forecast(_total(d), "ds", "y", "Naive", 3).select("model", F.array_join(F.transform("point", lambda x: _digits(F.round(x, 4))), ",").alias("point")), "SELECT 'Naive' AS model, array_to_string([v, v, v], ',') AS point FROM (SELECT CAST(arg_max(y, ds) AS VARCHAR) AS v FROM (SELECT ds, round(sum(y), 3) AS y FROM {daily} GROUP BY ds))")
 simple("forecast_agg", t.daily, lambda d: forecast.forecast_agg(d, ["id"], "ds", "y", "Theta", 3))
 
 

@@ -55,3 +55,15 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("f").count() == 12
+
+
+def test_forecast_one_writes_large_totals_as_its_sql(spark, tmp_path):
+    values = (3.25, 0.0, 12345678.901, 20000000.0, -7654321000.25)
+    rows = ", ".join(f"(timestamp'2024-01-0{i + 1} 05:00:00', 'view', {v}D)" for i, v in enumerate(values))
+    for n in range(3, len(values) + 1):
+        at = tmp_path / str(n)
+        spark.sql(f"SELECT * FROM VALUES {rows} AS t(ts, event_type, value)").orderBy("ts").limit(n).write.parquet(f"{at}/events.parquet")
+        c = duckdb.connect()
+        c.execute(f"create view events as select * from '{at}/events.parquet/*.parquet'")
+        got = entry.queries()["forecast_one"](spark, str(at))
+        assert [tuple(r) for r in got.collect()] == c.execute(entry.oracle_sql()["forecast_one"]).fetchall()
