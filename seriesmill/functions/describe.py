@@ -19,105 +19,178 @@ _COUNTS = "length n_nulls n_nan n_zeros n_positive n_negative n_unique_values n_
 _MEASURES = "mean median std_dev variance min max range sum skewness kurtosis tail_index bimodality_coef trimmed_mean coef_variation q1 q3 iqr autocorr_lag1 trend_strength seasonality_strength entropy stability".split()
 
 
-def longest_run(same: np.ndarray) -> int:
-    """Length of the longest run of true values."""
-    edges = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
-    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+def acf(v: np.ndarray, lag: int) -> float:
+    """Biased autocorrelation, 0 for a constant series."""
+    return float(_acf(v[None] - v.mean(), lag)[0])
 
 
-def plateau(v: np.ndarray) -> int:
-    return longest_run(v[1:] == v[:-1]) + 1 if len(v) else 0
+# Below, v is a matrix of equally long series, one a row, and c the same less each row's mean.
 
 
-def acf(v: np.ndarray, lag: int) -> float:
-    """Biased autocorrelation, 0 for a constant series."""
-    c = v - v.mean()
-    total = c @ c
-    if len(v) <= lag:
-        return 0.0
-    return float(c[lag:] @ c[: len(c) - lag] / total) if total > EPS else 0.0
+def _acf(c: np.ndarray, lag: int) -> np.ndarray:
+    n, total = c.shape[1], np.vecdot(c, c)
+    if n <= lag:
+        return np.zeros(len(c))
+    return np.where(total > EPS, np.vecdot(c[:, lag:], c[:, : n - lag]) / np.where(total > EPS, total, 1.0), 0.0)
+
+
+def longest_run(same: np.ndarray) -> np.ndarray:
+    """Length of the longest run of true values of each row."""
+    run, best = np.zeros(len(same), np.int64), np.zeros(len(same), np.int64)
+    for x in np.ascontiguousarray(same.T):
+        run = (run + 1) * x
+        np.maximum(best, run, out=best)
+    return best
+
 
+def _share_entropy(code: np.ndarray, kinds: int) -> np.ndarray:
+    """Entropy of the shares of the codes from 0 to kinds - 1 in each row."""
+    k, n = code.shape
+    p = np.bincount((code + np.arange(k)[:, None] * kinds).ravel(), minlength=k * kinds).reshape(k, kinds) / n
+    return -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)
 
-def binned_entropy(v: np.ndarray, bins: int = 10) -> float:
-    lo, span = v.min(), v.max() - v.min()
-    if span < EPS:
-        return 0.0
+
+def binned_entropy(v: np.ndarray, bins: int = 10) -> np.ndarray:
+    lo, span = v.min(1)[:, None], (v.max(1) - v.min(1))[:, None]
+    flat = span < EPS
     # halves away from zero, as the bins are defined
-    at = np.minimum(np.floor((v - lo) / span * (bins - 1) + 0.5).astype(int), bins - 1)
-    p = np.bincount(at, minlength=bins) / len(v)
-    p = p[p > 0]
-    return float(-(p * np.log(p)).sum())
+    at = np.minimum(np.floor((v - lo) / np.where(flat, 1.0, span) * (bins - 1) + 0.5).astype(int), bins - 1)
+    return np.where(flat[:, 0], 0.0, _share_entropy(at, bins))
 
 
-def line(v: np.ndarray) -> tuple[float, float, float]:
+def line(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slope, intercept and squared correlation with the index."""
-    n = len(v)
+    n = v.shape[1]
     if n < 2:
-        return 0.0, float(v[0]) if n else 0.0, 0.0
-    x = np.arange(n) - (n - 1) / 2
-    c = v - v.mean()
-    xx, xy, yy = x @ x, x @ c, c @ c
+        return np.zeros(len(v)), v[:, 0], np.zeros(len(v))
+    x, mean = np.arange(n) - (n - 1) / 2, v.mean(1)
+    c = v - mean[:, None]
+    xx, xy, yy = x @ x, np.vecdot(c, x), np.vecdot(c, c)
     slope = xy / xx
-    r2 = min(1.0, max(0.0, xy * xy / (xx * yy))) if yy > EPS else 0.0
-    return float(slope), float(v.mean() - slope * (n - 1) / 2), float(r2)
+    r2 = np.where(yy > EPS, np.clip(xy * xy / (xx * np.where(yy > EPS, yy, 1.0)), 0.0, 1.0), 0.0)
+    return slope, mean - slope * (n - 1) / 2, r2
 
 
-def hill(v: np.ndarray) -> float:
-    a = np.sort(np.abs(v)[np.abs(v) > EPS])[::-1]
-    if len(v) < 10 or len(a) < 10:
-        return NAN
-    k = min(max(int(math.sqrt(len(a))), 2), len(a) - 1)
-    h = np.log(a[:k] / a[k]).mean()
-    return float(1 / h) if h > EPS else NAN
+def hill(v: np.ndarray) -> np.ndarray:
+    out = np.full(len(v), NAN)
+    a = np.sort(np.abs(v), axis=1)[:, ::-1]
+    count = (a > EPS).sum(1)
+    if v.shape[1] < 10:
+        return out
+    top = np.minimum(np.maximum(np.sqrt(count).astype(int), 2), count - 1)
+    for k in np.unique(top[count >= 10]):
+        own = np.flatnonzero((count >= 10) & (top == k))
+        h = np.log(a[own, :k] / a[own, k, None]).mean(1)
+        out[own] = np.where(h > EPS, 1 / np.where(h > EPS, h, 1.0), NAN)
+    return out
+
+
+def stability(v: np.ndarray) -> np.ndarray:
+    n = v.shape[1]
+    if n < 10:
+        return np.full(len(v), NAN)
+    w = max(n // 5, 3)
+    means = sum(v[:, i : n - w + 1 + i] * (1 / w) for i in range(w))
+    m = np.abs(means.mean(1))
+    return np.where(m > EPS, 1 / (means.std(1) / np.where(m > EPS, m, 1.0) + 0.01), NAN)
+
+
+def _repeats(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values (by their bits) of each row: how many, and of all rows in order the row, the value and its count."""
+    k, n = v.shape
+    bits = np.sort(v.view(np.int64), axis=1)
+    new = np.ones((k, n), bool)
+    new[:, 1:] = bits[:, 1:] != bits[:, :-1]
+    at = np.flatnonzero(new)
+    return new.sum(1), at // n, bits.ravel()[at].view(np.float64), np.diff(np.r_[at, k * n])
+
+
+def _alike_series(keys: list) -> dict:
+    groups: dict = {}
+    for i, key in enumerate(keys):
+        groups.setdefault(key, []).append(i)
+    return groups
+
+
+def _together(parts: list[tuple], block, size: int) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Results of many series: which have one, and by name the values and which of them are missing.
+
+    parts has a tuple of arrays for each series; those of the same lengths go through block as matrices, a row a series,
+    and it gives (values, missing or None) by name. Series on which a whole block fails are tried one by one, as are
+    those with infinite values."""
+    present, values, missing = np.zeros(len(parts), bool), {}, {}
+
+    def put(own, got):
+        present[own] = True
+        for name, (x, gone) in got.items():
+            if name not in values:
+                values[name], missing[name] = np.full(len(parts), NAN), np.ones(len(parts), bool)
+            values[name][own], missing[name][own] = x, False if gone is None else gone
+
+    todo = [(lengths, own[i : i + size]) for lengths, own in _alike_series([(*map(len, p), 0 if np.isfinite(p[0]).all() else i + 1) for i, p in enumerate(parts)]).items() for i in range(0, len(own), size)]
+    with np.errstate(all="ignore"):
+        for _, own in todo:
+            for some in (own, *([i] for i in own)):
+                try:
+                    put(some, block(*(np.array([parts[i][j] for i in some]) for j in range(len(parts[0])))))
+                except (ValueError, IndexError, ArithmeticError):
+                    continue
+                if some is own:
+                    break
+    return present, values, missing
+
+
+def statistics_many(values: list[np.ndarray], nulls: list[np.ndarray]) -> tuple:
+    """The 34 statistics that need no dates, of many series. `nulls` marks nulls, which stand as NaN in values."""
+    present, got, missing = _together([(x[~np.isnan(x)], x, null > 0) for x, null in zip(values, nulls)], _statistics, 256)
+    return present, got, missing
 
 
-def stability(v: np.ndarray) -> float:
-    if len(v) < 10:
-        return NAN
-    w = max(len(v) // 5, 3)
-    means = np.convolve(v, np.ones(w) / w, "valid")
-    m = means.mean()
-    return float(1 / (means.std() / abs(m) + 0.01)) if abs(m) > EPS else NAN
+def statistics(values: np.ndarray, null: np.ndarray) -> dict:
+    """statistics_many of one series."""
+    got = statistics_many([values], [null])[1]
+    return {k: bool(x[0]) if k == "is_constant" else float(x[0]) if k in _MEASURES else int(x[0]) for k, x in got.items()}
 
 
-def statistics(values: np.ndarray, null: np.ndarray) -> dict:
-    """The 34 statistics that need no dates. `null` marks nulls, which stand as NaN in values."""
-    null = null > 0
-    out = dict.fromkeys(_COUNTS, 0) | dict.fromkeys(_MEASURES, NAN) | {"length": len(values), "n_nulls": int(null.sum()), "n_nan": int((np.isnan(values) & ~null).sum()), "is_constant": False}
-    v = values[~np.isnan(values)]
-    n = len(v)
-    if not n:
-        return out
-    zero = (values == 0) & ~null
-    out |= {"n_zeros": int((v == 0).sum()), "n_positive": int((v > 0).sum()), "n_negative": int((v < 0).sum()), "n_unique_values": len(np.unique(v.view(np.int64)))}
+def _statistics(v: np.ndarray, values: np.ndarray, null: np.ndarray) -> dict:
+    rows, n = v.shape
+    out: dict = dict.fromkeys(_COUNTS, 0) | dict.fromkeys(_MEASURES, NAN) | {"length": values.shape[1], "n_nulls": null.sum(1), "n_nan": (np.isnan(values) & ~null).sum(1), "is_constant": False}
+    if n:
+        _measure(v, (values == 0) & ~null, out)
+    return {k: (np.broadcast_to(x, rows), None) for k, x in out.items()}
+
+
+def _measure(v: np.ndarray, zero: np.ndarray, out: dict) -> None:
+    n = v.shape[1]
+    end = np.zeros((len(v), 1), bool)
+    out |= {"n_zeros": (v == 0).sum(1), "n_positive": (v > 0).sum(1), "n_negative": (v < 0).sum(1), "n_unique_values": _repeats(v)[0]}
     out["is_constant"] = out["n_unique_values"] == 1
-    out["n_zeros_start"] = int(np.argmin(np.r_[zero, False]))
-    out["n_zeros_end"] = int(np.argmin(np.r_[zero[::-1], False]))
-    out["plateau_size"] = plateau(v)
-    same = (v[1:] == v[:-1]) & (v[1:] != 0)
-    out["plateau_size_nonzero"] = longest_run(same) + 1 if (v != 0).any() else 0
-    mean, s = v.mean(), np.sort(v)
-    c = v - mean
-    var = float(c @ c / (n - 1)) if n > 1 else 0.0
-    sd = math.sqrt(var)
-    q1, med, q3 = np.quantile(s, [0.25, 0.5, 0.75])
+    out["n_zeros_start"] = np.argmin(np.hstack([zero, end]), axis=1)
+    out["n_zeros_end"] = np.argmin(np.hstack([zero[:, ::-1], end]), axis=1)
+    same = v[:, 1:] == v[:, :-1]
+    out["plateau_size"] = longest_run(same) + 1
+    out["plateau_size_nonzero"] = np.where((v != 0).any(1), longest_run(same & (v[:, 1:] != 0)) + 1, 0)
+    mean, s = v.mean(1), np.sort(v, axis=1)
+    c = v - mean[:, None]
+    var = np.vecdot(c, c) / (n - 1) if n > 1 else np.zeros(len(v))
+    sd = np.sqrt(var)
+    q1, med, q3 = np.quantile(s, [0.25, 0.5, 0.75], axis=1)
     cut = int(n * 0.1)
-    out |= {"mean": mean, "median": med, "std_dev": sd, "variance": var, "min": s[0], "max": s[-1], "range": s[-1] - s[0], "sum": v.sum(), "q1": q1, "q3": q3, "iqr": q3 - q1, "trimmed_mean": s[cut : n - cut].mean()}
-    if abs(mean) > EPS:
-        out["coef_variation"] = sd / abs(mean)
-    if n > 2 and sd > EPS:
-        out["skewness"] = float((c**3).mean() / sd**3 * math.sqrt(n * (n - 1)) / (n - 2))
-    if n > 3 and sd > EPS:
-        g2 = float((c**4).mean() / sd**4 - 3)
-        out["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-        out["bimodality_coef"] = (out["skewness"] ** 2 + 1) / (out["kurtosis"] + 3)
+    out |= {"mean": mean, "median": med, "std_dev": sd, "variance": var, "min": s[:, 0], "max": s[:, -1], "range": s[:, -1] - s[:, 0], "sum": v.sum(1), "q1": q1, "q3": q3, "iqr": q3 - q1, "trimmed_mean": s[:, cut : n - cut].mean(1)}
+    out["coef_variation"] = np.where(np.abs(mean) > EPS, sd / np.abs(mean), NAN)
+    varied = sd > EPS
+    if n > 2:
+        out["skewness"] = np.where(varied, (c**3).mean(1) / sd**3 * math.sqrt(n * (n - 1)) / (n - 2), NAN)
+    if n > 3:
+        g2 = (c**4).mean(1) / sd**4 - 3
+        out["kurtosis"] = np.where(varied, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), NAN)
+        out["bimodality_coef"] = np.where(varied, (out["skewness"] ** 2 + 1) / (out["kurtosis"] + 3), NAN)
     out["tail_index"] = hill(v)
-    out["autocorr_lag1"] = acf(v, 1)
-    out["trend_strength"] = math.sqrt(line(v)[2]) if n >= 4 else 0.0
-    out["seasonality_strength"] = min(1.0, max([0.0, *(abs(acf(v, k)) for k in (2, 4, 7, 12) if n > k)])) if n >= 4 else 0.0
+    out["autocorr_lag1"] = _acf(c, 1)
+    out["trend_strength"] = np.sqrt(line(v)[2]) if n >= 4 else 0.0
+    out["seasonality_strength"] = np.minimum(np.fmax.reduce([np.zeros(len(v)), *(np.abs(_acf(c, k)) for k in (2, 4, 7, 12) if n > k)]), 1.0) if n >= 4 else 0.0
     out["entropy"] = binned_entropy(v) if n >= 10 else NAN
     out["stability"] = stability(v)
-    return {k: (float(x) if k in _MEASURES else x) for k, x in out.items()}
 
 
 QUALITY_SCHEMA = "struct<structural_score:double,temporal_score:double,magnitude_score:double,behavioral_score:double,overall_score:double,n_gaps:bigint,n_missing:bigint,is_constant:boolean>"
@@ -186,35 +259,47 @@ def alike(v: np.ndarray, m: int, r: float) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def entropies(v: np.ndarray, m: int, r: float) -> tuple[float, float]:
-    """Sample entropy and approximate entropy."""
-    n = len(v)
-    if n < m + 1 or r <= 0:
-        return NAN, NAN
-    short, long = alike(v, m, r)
-    a = n - m + 1
-    phi = float(np.log(short[0] / a).mean()), float(np.log(long[0][: a - 1] / (a - 1)).mean())
-    sample = NAN
-    if n >= m + 3:
-        pairs = [int(c[1][: n - k].sum() - (n - k)) // 2 for c, k in ((short, m), (long, m + 1))]
-        norm = [(n - k) * (n - k - 1) // 2 for k in (m, m + 1)]
-        if pairs[0] and pairs[1]:
-            sample = float(-math.log(pairs[1] / norm[1] / (pairs[0] / norm[0])))
-    return sample, phi[0] - phi[1]
-
-
-def permutation_entropy(v: np.ndarray, order: int = 3) -> float:
-    if len(v) < order:
-        return NAN
-    ranks = np.argsort(np.lib.stride_tricks.sliding_window_view(v, order), axis=1, kind="stable")
-    p = np.unique(ranks @ (order ** np.arange(order)), return_counts=True)[1] / len(ranks)
-    return float(-(p * np.log(p)).sum() / math.log(math.factorial(order)))
-
-
-def phrase_complexity(v: np.ndarray, threshold: float) -> float:
-    """Number of phrases of the series cut at the threshold, times log2(n) / n. A phrase grows while it occurs in what
-    starts before it; the next begins after the longest tried length."""
-    bits = "".join("1" if x else "0" for x in v >= threshold)
+def entropies(v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sample entropy and approximate entropy of windows of 2 values. Series are taken in blocks, so that the matrices of
+    all pairs of values stay small; a long one goes through `alike`."""
+    m, (rows, n) = 2, v.shape
+    sample, approximate = np.full(rows, NAN), np.full(rows, NAN)
+    if n < m + 1:
+        return sample, approximate
+    step, k = max(1, 250_000 // (n * n)), n - m + 1
+    for i in range(0, rows, step):
+        x, far = v[i : i + step], r[i : i + step]
+        if n > 2000:
+            short, long = (a[:, None] for a in alike(x[0], m, far[0]))
+            long = long[:, :, : k - 1]
+        else:
+            near = np.abs(x[:, :, None] - x[:, None, :]) <= far[:, None, None]
+            two = near[:, :k, :k] & near[:, 1:, 1:]
+            three = two[:, : k - 1, : k - 1] & near[:, 2:, 2:]
+            # near is symmetric, so that sums by the middle axis are sums by the last
+            short, long = ((w.sum(1, dtype=np.int32), w[:, :-1].sum(1, dtype=np.int32)) for w in (two, three))
+        phi = np.log(short[0] / k).mean(1), np.log(long[0] / (k - 1)).mean(1)
+        on = far > 0
+        approximate[i : i + step] = np.where(on | np.isnan(far), phi[0] - phi[1], NAN)
+        if n >= m + 3:
+            pairs = [(c[1][:, : n - w].sum(1) - (n - w)) // 2 for c, w in ((short, m), (long, m + 1))]
+            norm = [(n - w) * (n - w - 1) // 2 for w in (m, m + 1)]
+            some = on & (pairs[0] > 0) & (pairs[1] > 0)
+            sample[i : i + step] = np.where(some, -np.log(pairs[1] / norm[1] / (pairs[0] / norm[0])), NAN)
+    return sample, approximate
+
+
+def permutation_entropy(v: np.ndarray) -> np.ndarray:
+    """Of the orders of three neighbours; equal ones count as rising."""
+    if v.shape[1] < 3:
+        return np.full(len(v), NAN)
+    a, b, c = v[:, :-2], v[:, 1:-1], v[:, 2:]
+    return _share_entropy(4 * (a <= b) + 2 * (b <= c) + (a <= c), 8) / math.log(6)
+
+
+def phrase_complexity(bits: bytes) -> float:
+    """Number of phrases of a row of bits, times log2(n) / n. A phrase grows while it occurs in what starts before it; the
+    next begins after the longest tried length."""
     n, phrases, at = len(bits), 1, 1
     while at < n:
         k = 1
@@ -226,98 +311,132 @@ def phrase_complexity(v: np.ndarray, threshold: float) -> float:
     return phrases * math.log2(n) / n if n > 1 else 0.0
 
 
-def benford(v: np.ndarray) -> float:
-    a = np.abs(v[np.abs(v) >= 1])
-    a = a[np.isfinite(a)]
-    if not len(a):
-        return 0.0
-    lead = np.array([int(f"{x:.17e}"[0]) for x in a])
-    share = np.bincount(lead, minlength=10)[1:10] / len(a)
-    return float(np.corrcoef(BENFORD, share)[0, 1]) if share.std() > EPS else 0.0
+def _leads() -> np.ndarray:
+    """The least double of each leading digit and power of ten, from 1 on."""
+    least = np.array([float(f"{d}e{e}") for e in range(309) for d in range(1, 10) if (d, e) < (2, 308) or e < 308])
+    return np.array([x if f"{x:.17e}"[0] == str(i % 9 + 1) else np.nextafter(x, np.inf) for i, x in enumerate(least)])
+
+
+LEADS = _leads()
+
+
+def benford(v: np.ndarray) -> np.ndarray:
+    a = np.abs(v)
+    row, at = np.nonzero((a >= 1) & np.isfinite(a))
+    lead = (np.searchsorted(LEADS, a[row, at], "right") - 1) % 9
+    count = np.bincount(row * 9 + lead, minlength=len(v) * 9).reshape(-1, 9)
+    share = count / np.maximum(count.sum(1), 1)[:, None]
+    x, y = BENFORD - BENFORD.mean(), share - share.mean(1)[:, None]
+    uneven = share.std(1) > EPS
+    return np.where(uneven, np.clip(y @ x / math.sqrt(x @ x) / np.sqrt(np.where(uneven, np.vecdot(y, y), 1.0)), -1.0, 1.0), 0.0)
+
+
+def features_many(values: list[np.ndarray], names: tuple[str, ...] | None = None) -> tuple:
+    """The features `names`, or all, of many series without their NaN; a feature that a series is too short or too flat
+    for is missing."""
+    wanted = tuple(feature_names() if names is None else names)
+    present, got, missing = _together([(x[~np.isnan(x)],) for x in values], lambda v: _features(v, wanted), 256)
+    none = np.full(len(values), NAN), np.ones(len(values), bool)
+    return present, {k: got.get(k, none[0]) for k in wanted}, {k: missing.get(k, none[1]) for k in wanted}
 
 
 def features(values: np.ndarray, names: tuple[str, ...] | None = None) -> dict | None:
-    """The features by name; None for a feature that the series is too short or too flat for. With `names`, only what
-    they need is computed; other features may be missing or None."""
-    wanted = feature_names() if names is None else names
+    """features_many of one series: a value or None by name; None for a series without values."""
+    present, got, missing = features_many([values], names)
+    return {k: None if missing[k][0] else float(x[0]) for k, x in got.items()} if present[0] else None
+
+
+def _features(v: np.ndarray, wanted: tuple[str, ...]) -> dict:
     need = lambda *starts: any(n.startswith(starts) for n in wanted)
-    v = values[~np.isnan(values)]
-    n = len(v)
+    n = v.shape[1]
     if not n:
-        return None
-    f: dict = dict.fromkeys(feature_names())
-    mean, lo, hi, s = v.mean(), v.min(), v.max(), np.sort(v)
-    c, sd, d = v - mean, v.std(), np.diff(v)
-    f |= {"length": n, "sum": v.sum(), "mean": mean, "minimum": lo, "maximum": hi, "range": hi - lo, "variance": v.var(), "standard_deviation": sd}
-    f |= {"variation_coefficient": sd / abs(mean) if abs(mean) > EPS else NAN, "large_standard_deviation": sd > 0.25 * (hi - lo), "median": np.median(v)}
+        raise ValueError("no values")
+    f: dict = {}
+    mean, lo, hi, s = v.mean(1), v.min(1), v.max(1), np.sort(v, axis=1)
+    c, sd, d = v - mean[:, None], v.std(1), np.diff(v, axis=1)
+    f |= {"length": n, "sum": v.sum(1), "mean": mean, "minimum": lo, "maximum": hi, "range": hi - lo, "variance": v.var(1), "standard_deviation": sd}
+    f |= {"variation_coefficient": np.where(np.abs(mean) > EPS, sd / np.abs(mean), NAN), "large_standard_deviation": sd > 0.25 * (hi - lo), "median": np.median(s, axis=1)}
     if need("quantile"):
-        f |= dict(zip((f"quantile_{q}" for q in (0.1, 0.25, 0.75, 0.9)), np.quantile(s, (0.1, 0.25, 0.75, 0.9))))
-    if sd > EPS:
-        f |= {"skewness": ((c / sd) ** 3).mean(), "kurtosis": ((c / sd) ** 4).mean() - 3}
-    above, below = v > mean, v < mean
-    f |= {"count_above_mean": above.sum(), "count_below_mean": below.sum(), "percentage_above_mean": above.mean()}
-    f["zero_crossing_rate"] = (np.sign(v[1:]) * np.sign(v[:-1]) < 0).sum() / max(n - 1, 1)
+        f |= dict(zip((f"quantile_{q}" for q in (0.1, 0.25, 0.75, 0.9)), np.quantile(s, (0.1, 0.25, 0.75, 0.9), axis=1)))
+    if need("skewness", "kurtosis"):
+        z = c / sd[:, None]
+        f |= {"skewness": (z**3).mean(1), "kurtosis": (z**4).mean(1) - 3}
+    above, below = v > mean[:, None], v < mean[:, None]
+    f |= {"count_above_mean": above.sum(1), "count_below_mean": below.sum(1), "percentage_above_mean": above.mean(1)}
+    sign = np.sign(v)
+    f["zero_crossing_rate"] = (sign[:, 1:] * sign[:, :-1] < 0).sum(1) / max(n - 1, 1)
     if n > 1:
-        f |= {"mean_change": d.mean(), "mean_abs_change": np.abs(d).mean(), "cid_ce": math.sqrt(d @ d), "absolute_sum_of_changes": np.abs(d).sum()}
-    r = {k: acf(v, k) for k in range(1, 11) if n > k} if need("autocorrelation", "partial_auto") else {}
+        f |= {"mean_change": d.mean(1), "mean_abs_change": np.abs(d).mean(1), "cid_ce": np.sqrt(np.vecdot(d, d)), "absolute_sum_of_changes": np.abs(d).sum(1)}
+    r = {k: _acf(c, k) for k in range(1, 11) if n > k} if need("autocorrelation", "partial_auto") else {}
     f |= {f"autocorrelation_lag{k}": x for k, x in r.items()}
     for k in range(1, 6):
         if n > k + 1 and r:  # beyond the first, every lag has the second one's formula
-            f[f"partial_autocorrelation_lag{k}"] = r[1] if k == 1 else 0.0 if abs(1 - r[1] ** 2) < EPS else (r[2] - r[1] ** 2) / (1 - r[1] ** 2)
-    f |= {"first_value": v[0], "last_value": v[-1]}
+            rest = 1 - r[1] ** 2
+            f[f"partial_autocorrelation_lag{k}"] = r[1] if k == 1 else np.where(np.abs(rest) < EPS, 0.0, (r[2] - r[1] ** 2) / rest)
+    f |= {"first_value": v[:, 0], "last_value": v[:, -1]}
     for name, x in (("maximum", hi), ("minimum", lo)):
-        at = np.flatnonzero(np.abs(v - x) < EPS)
-        f |= {f"first_location_of_{name}": (at[0] if len(at) else 0) / n, f"last_location_of_{name}": (at[-1] if len(at) else 0) / n}
-    f |= {"abs_energy": v @ v, "root_mean_square": math.sqrt(v @ v / n)}
+        at = np.abs(v - x[:, None]) < EPS
+        f |= {f"first_location_of_{name}": at.argmax(1) / n, f"last_location_of_{name}": np.where(at.any(1), n - 1 - at[:, ::-1].argmax(1), 0) / n}
+        f[f"has_duplicate_{name[:3]}"] = at.sum(1) > 1
+    energy = np.vecdot(v, v)
+    f |= {"abs_energy": energy, "root_mean_square": np.sqrt(energy / n)}
     if n > 2:
-        f["mean_second_derivative_central"] = np.diff(v, 2).mean()
+        f["mean_second_derivative_central"] = np.diff(d, axis=1).mean(1)
     f |= {"longest_strike_above_mean": longest_run(above), "longest_strike_below_mean": longest_run(below)}
-    top = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:]) if n > 2 else np.zeros(0, bool)
-    f["number_peaks"] = top.sum()
+    top = (v[:, 1:-1] > v[:, :-2]) & (v[:, 1:-1] > v[:, 2:]) if n > 2 else np.zeros((len(v), 0), bool)
+    f["number_peaks"] = top.sum(1)
     for k in (1, 2):
-        f[f"number_peaks_threshold_{k}"] = (top & (np.abs(c[1:-1]) > k * sd)).sum() if n > 2 else 0
-    f["benford_correlation"] = benford(v) if need("benford") else None
+        f[f"number_peaks_threshold_{k}"] = (top & (np.abs(c[:, 1:-1]) > (k * sd)[:, None])).sum(1) if n > 2 else 0
+    if need("benford"):
+        f["benford_correlation"] = benford(v)
     f["linear_trend_slope"], f["linear_trend_intercept"], f["linear_trend_r_squared"] = line(v)
     if need("sample_entropy", "approximate_entropy"):
-        f["sample_entropy"], f["approximate_entropy"] = entropies(v, 2, 0.2 * sd)
+        f["sample_entropy"], f["approximate_entropy"] = entropies(v, 0.2 * sd)
     if need("binned_entropy", "permutation_entropy"):
         f |= {"binned_entropy": binned_entropy(v), "permutation_entropy": permutation_entropy(v)}
-    f |= {f"ratio_beyond_r_sigma_{k}": (np.abs(c) > k * sd).mean() for k in (1, 2, 3)}
-    _, first, times = np.unique(v.view(np.int64), return_index=True, return_counts=True)
-    again = times > 1
-    f |= {"count_unique": len(times), "ratio_value_number_to_length": len(times) / n, "has_duplicate": len(times) < n}
-    f |= {"has_duplicate_max": (np.abs(v - hi) < EPS).sum() > 1, "has_duplicate_min": (np.abs(v - lo) < EPS).sum() > 1}
-    f["percentage_of_reoccurring_datapoints_to_all_datapoints"] = times[again].sum() / n
-    f["percentage_of_reoccurring_values_to_all_values"] = again.sum() / max(len(times), 1)
-    f["sum_of_reoccurring_values"] = v[first[again]].sum()
-    f["sum_of_reoccurring_datapoints"] = (v[first[again]] * times[again]).sum()
+    f |= {f"ratio_beyond_r_sigma_{k}": (np.abs(c) > (k * sd)[:, None]).mean(1) for k in (1, 2, 3)}
+    unique, row, value, times = _repeats(v)
+    row, value, times = (x[times > 1] for x in (row, value, times))
+    each = lambda x: np.bincount(row, x, len(v))
+    f |= {"count_unique": unique, "ratio_value_number_to_length": unique / n, "has_duplicate": unique < n}
+    f["percentage_of_reoccurring_datapoints_to_all_datapoints"] = each(times) / n
+    f["percentage_of_reoccurring_values_to_all_values"] = np.bincount(row, minlength=len(v)) / unique
+    f["sum_of_reoccurring_values"] = each(value)
+    f["sum_of_reoccurring_datapoints"] = each(value * times)
     for k in (1, 2, 3):
         if n > 2 * k and need("time_reversal", "c3_"):
-            a, b, e = v[: n - 2 * k], v[k : n - k], v[2 * k :]
-            f[f"time_reversal_asymmetry_stat_{k}"] = (e * e * b - a * b * b).mean()
-            f[f"c3_lag{k}"] = (a * b * e).mean()
-    f["lempel_ziv_complexity"] = phrase_complexity(v, mean) if need("lempel") else None
-    z = np.fft.fft(v) / n if need("fft_", "spectral_") else np.zeros(n)
-    for k in range(min(10, n)):
-        f |= {f"fft_coefficient_{k}_real": z[k].real, f"fft_coefficient_{k}_imag": z[k].imag, f"fft_coefficient_{k}_abs": abs(z[k])}
-    power, at = np.abs(z) ** 2, np.arange(n)
-    total = power.sum()
-    centre = (at * power).sum() / total if total > EPS else 0.0
-    f |= {"spectral_centroid": centre, "spectral_variance": ((at - centre) ** 2 * power).sum() / total if total > EPS else 0.0}
+            a, b, e = v[:, : n - 2 * k], v[:, k : n - k], v[:, 2 * k :]
+            f[f"time_reversal_asymmetry_stat_{k}"] = (e * e * b - a * b * b).mean(1)
+            f[f"c3_lag{k}"] = (a * b * e).mean(1)
+    if need("lempel"):
+        f["lempel_ziv_complexity"] = [phrase_complexity(x.tobytes()) for x in v >= mean[:, None]]
+    if need("fft_", "spectral_"):
+        z = np.fft.fft(v, axis=1) / n
+        size = np.abs(z)
+        for k in range(min(10, n)):
+            f |= {f"fft_coefficient_{k}_real": z[:, k].real, f"fft_coefficient_{k}_imag": z[:, k].imag, f"fft_coefficient_{k}_abs": size[:, k]}
+        power, at = size**2, np.arange(n)
+        total = power.sum(1)
+        some, whole = total > EPS, np.where(total > EPS, total, 1.0)
+        centre = np.where(some, (at * power).sum(1) / whole, 0.0)
+        f |= {"spectral_centroid": centre, "spectral_variance": np.where(some, ((at - centre[:, None]) ** 2 * power).sum(1) / whole, 0.0)}
     if need("agg_"):
         f |= dict(zip(("agg_linear_trend_slope", "agg_linear_trend_intercept", "agg_linear_trend_rvalue", "agg_linear_trend_stderr"), chunk_trend(v, max(n // 10, 2))))
-    return {k: None if x is None else float(x) for k, x in f.items()}
+    flat = ~(sd > EPS)
+    return {k: (f[k], flat if k in ("skewness", "kurtosis") else None) for k in wanted if k in f}
 
 
-def chunk_trend(v: np.ndarray, size: int) -> tuple[float, float, float, float]:
+def chunk_trend(v: np.ndarray, size: int) -> tuple:
     """Slope, intercept, correlation and standard error of the line through the means of chunks."""
-    if len(v) < size:
+    n = v.shape[1]
+    if n < size:
         return 0.0, 0.0, 0.0, 0.0
-    m = np.array([v[i : i + size].mean() for i in range(0, len(v), size)])
-    if len(m) < 2:
-        return 0.0, float(m[0]), 0.0, 0.0
+    m = np.stack([v[:, i : i + size].mean(1) for i in range(0, n, size)], axis=1)
+    k = m.shape[1]
+    if k < 2:
+        return 0.0, m[:, 0], 0.0, 0.0
     slope, intercept, r2 = line(m)
-    x = np.arange(len(m))
-    rest = ((m - intercept - slope * x) ** 2).sum()
+    x = np.arange(k)
+    rest = ((m - intercept[:, None] - slope[:, None] * x) ** 2).sum(1)
     xx = ((x - x.mean()) ** 2).sum()
-    return slope, intercept, math.sqrt(r2), math.sqrt(rest / (len(m) - 2) / xx) if len(m) > 2 else 0.0
+    return slope, intercept, np.sqrt(r2), np.sqrt(rest / (k - 2) / xx) if k > 2 else 0.0

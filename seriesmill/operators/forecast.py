@@ -109,10 +109,12 @@ def _check(df: DataFrame, date: str, horizon: int):
     return fq.check_date(df, date)
 
 
-def forecast_by(df: DataFrame, group: str, date: str, target: str, method: str, horizon: int, freq: str | int = "1d", params: dict | None = None) -> DataFrame:
-    """group, forecast_step, ds, yhat, yhat_lower, yhat_upper, model_name."""
+def forecast_by(df: DataFrame, group: str, date: str, target: str, method: str, horizon: int, freq: str | int = "1d", params: dict | None = None, fill: float | None = None, dealt: bool = False) -> DataFrame:
+    """group, forecast_step, ds, yhat, yhat_lower, yhat_upper, model_name. With `fill`, missing dates and values of the
+    history count as that number; for `dealt` see series.collect."""
     kind, o, f = _check(df, date, horizon), options(method, params), fq.parse(freq)
-    got = series.apply(series.collect(df, group, date, target), ["_v"], partial(_kernels, h=horizon, o=o), _POINTS, together=True)
+    rows = series.collect(df, group, date, target, fill=None if fill is None else (f, fill), dealt=dealt).select(group, F.array(F.element_at("_d", -1)).alias("_d"), "_v")
+    got = series.apply(rows, ["_v"], partial(_kernels, h=horizon, o=o), _POINTS, together=True, keep=[group, "_d"])
     return got.where(F.col("_r").isNotNull()).select(group, F.inline(_ahead(kind, f)))
 
 

@@ -16,8 +16,8 @@ from ..plans import series
 
 
 
-def _collected(df: DataFrame, group, date: str, value: str) -> DataFrame:
-    return series.collect(df, group, date, value).withColumn("_null", F.transform("_v", lambda x: F.when(x.isNull(), 1.0).otherwise(0.0)))
+def _measured(collected: DataFrame, keep: list[str]) -> DataFrame:
+    return series.apply(collected, ["_v"], k.statistics_many, k.STATS_SCHEMA, together=True, nulls=True, keep=keep)
 
 
 def _steps(kind, freq: fq.Frequency) -> tuple[Column, Column]:
@@ -37,17 +37,19 @@ def _steps(kind, freq: fq.Frequency) -> tuple[Column, Column]:
     return F.when(many, expected).otherwise(F.size(d)).cast("long"), F.when(many, F.size(F.filter(pairs, gap))).otherwise(0).cast("long")
 
 
-def stats_by(df: DataFrame, group: str, date: str, value: str, freq: str | int = "1d") -> DataFrame:
-    """group and 36 statistics of each series."""
+def stats_by(df: DataFrame, group: str, date: str, value: str, freq: str | int = "1d", fill: float | None = None, dealt: bool = False) -> DataFrame:
+    """group and 36 statistics of each series. With `fill`, missing dates and values count as that number; for `dealt`
+    see series.collect."""
     kind, f = fq.check_date(df, date), fq.parse(freq)
-    got = series.apply(_collected(df, group, date, value), ["_v", "_null"], k.statistics, k.STATS_SCHEMA)
     expected, gaps = _steps(kind, f)
-    return got.select(group, "_r.*", expected.alias("expected_length"), gaps.alias("n_gaps"))
+    rows = series.collect(df, group, date, value, fill=None if fill is None else (f, fill), dealt=dealt).select(group, "_v", expected.alias("expected_length"), gaps.alias("n_gaps"))
+    got = _measured(rows, [group, "expected_length", "n_gaps"])
+    return got.select(group, "_r.*", "expected_length", "n_gaps")
 
 
 def stats_agg(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """keys and one struct column `stats`."""
-    got = series.apply(_collected(df, keys, date, value), ["_v", "_null"], k.statistics, k.STATS_SCHEMA)
+    got = _measured(series.collect(df, keys, date, value), keys)
     return got.select(*keys, F.col("_r").alias("stats"))
 
 
@@ -62,13 +64,13 @@ def quality_report(stats: DataFrame, min_length: int) -> DataFrame:
 
 def data_quality_by(df: DataFrame, group: str, date: str, value: str, n_short: int | None = None, freq: str | int | None = None) -> DataFrame:
     """unique_id and the quality scores. n_short and freq are accepted and have no effect."""
-    got = series.apply(_collected(df, group, date, value), ["_v", "_null"], k.quality, k.QUALITY_SCHEMA)
+    got = series.apply(series.collect(df, group, date, value), ["_v"], k.quality, k.QUALITY_SCHEMA, nulls=True, keep=[group])
     return got.select(F.col(group).alias("unique_id"), "_r.*")
 
 
 def data_quality_agg(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """keys and one struct column `quality`."""
-    got = series.apply(_collected(df, keys, date, value), ["_v", "_null"], k.quality, k.QUALITY_SCHEMA)
+    got = series.apply(series.collect(df, keys, date, value), ["_v"], k.quality, k.QUALITY_SCHEMA, nulls=True, keep=keys)
     return got.select(*keys, F.col("_r").alias("quality"))
 
 
@@ -83,7 +85,8 @@ def data_quality_summary(df: DataFrame, group: str, date: str, value: str, n_sho
 
 def _featured(collected: DataFrame, names: list[str]) -> DataFrame:
     """collected with the features `names`, and no others, as struct _r."""
-    return series.apply(collected, ["_v"], partial(k.features, names=tuple(names)), "struct<" + ",".join(f"`{n}`:double" for n in names) + ">")
+    keep = [c for c in collected.columns if c not in ("_d", "_v")]
+    return series.apply(collected, ["_v"], partial(k.features_many, names=tuple(names)), "struct<" + ",".join(f"`{n}`:double" for n in names) + ">", together=True, keep=keep)
 
 
 def _selected(names: list[str] | None) -> list[str]:
@@ -95,10 +98,11 @@ def _selected(names: list[str] | None) -> list[str]:
     return [n for n in names if n in every]
 
 
-def features_by(df: DataFrame, group: str | list[str] | None, date: str, value: str, names: list[str] | None = None) -> DataFrame:
-    """group and one column a feature, all of them or those in `names`."""
+def features_by(df: DataFrame, group: str | list[str] | None, date: str, value: str, names: list[str] | None = None, freq: str | int = "1d", fill: float | None = None, dealt: bool = False) -> DataFrame:
+    """group and one column a feature, all of them or those in `names`. With `fill`, the dates of the frequency that are
+    missing, and missing values, count as that number; for `dealt` see series.collect."""
     chosen = _selected(names)
-    got = _featured(series.collect(df, group, date, value), chosen)
+    got = _featured(series.collect(df, group, date, value, fill=None if fill is None else (fq.parse(freq), fill), dealt=dealt).drop("_d"), chosen)
     keys = [] if group is None else [group] if isinstance(group, str) else group
     return got.where(F.col("_r").isNotNull()).select(*keys, *[F.col("_r")[n].alias(n) for n in chosen])
 

@@ -102,5 +102,20 @@ def number_step(freq: Frequency, kind: T.DataType) -> int:
     return step * 1_000_000 if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else step
 
 
+def between(a: Column, b: Column, freq: Frequency, kind: T.DataType) -> Column:
+    """How many points prep.fill_gaps inserts between two dates of a series; negative or null for none."""
+    if freq.calendar and not is_integer(kind):
+        at = lambda x: F.floor((F.year(x) * 12 + F.month(x) - 1) / CALENDAR[freq.unit])
+        return F.greatest(at(b) - at(a) - 1, F.lit(0)).cast("int")
+    return F.greatest(F.ceil((as_number(b, kind) - as_number(a, kind)) / F.lit(number_step(freq, kind))) - 1, F.lit(0)).cast("int")
+
+
+def inserted(at: Column, k: Column, freq: Frequency, kind: T.DataType) -> Column:
+    """The k-th of those points."""
+    if freq.calendar and not is_integer(kind):
+        return F.add_months(F.trunc(at.cast("date"), freq.unit), (k * CALENDAR[freq.unit]).cast("int")).cast(kind)
+    return shift(at, freq, kind, k)
+
+
 def literal(value, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)

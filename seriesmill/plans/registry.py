@@ -264,18 +264,14 @@ simple("backtest_theta", t.daily, lambda d: forecast.backtest_auto_by(d, "id", "
 # ------------------------------------------------------------------ many series
 
 
-def _filled(d: DataFrame) -> DataFrame:
-    """Monthly demand of every part, months without any as 0."""
-    return prep.fill_nulls_const(prep.fill_gaps(d, "id", "ds", "y", "1mo"), "id", "ds", "y", 0.0).select("id", "ds", F.col("filled_value").alias("y"))
-
-
+#: Monthly demand of every part; months without any count as 0 (`fill`), and the table deals its rows out by part.
 _DEMAND_MODELS = ("CrostonClassic", "CrostonSBA", "CrostonOptimized", "TSB", "ADIDA")
 for _name in _DEMAND_MODELS:
-    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(_filled(d), "id", "ds", "y", n, 6, "1mo").withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")}), oracles.intermittent(_name, oracles.FILLED, "to_months(CAST(k AS INTEGER))", 6))
+    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(d, "id", "ds", "y", n, 6, "1mo", fill=0.0, dealt=True).withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")}), oracles.intermittent(_name, oracles.FILLED, "to_months(CAST(k AS INTEGER))", 6))
 for _name in ("AutoETS", "Theta"):
-    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(_filled(d), "id", "ds", "y", n, 6, "1mo", {"seasonal_period": 12} if n == "AutoETS" else None))
-simple("demand_stats", t.demand, lambda d: stats.stats_by(_filled(d), "id", "ds", "y", "1mo"))
-simple("demand_features", t.demand, lambda d: stats.features_by(_filled(d), "id", "ds", "y"))
+    simple(f"demand_{_name}", t.demand, lambda d, n=_name: forecast.forecast_by(d, "id", "ds", "y", n, 6, "1mo", {"seasonal_period": 12} if n == "AutoETS" else None, 0.0, True))
+simple("demand_stats", t.demand, lambda d: stats.stats_by(d, "id", "ds", "y", "1mo", 0.0, True))
+simple("demand_features", t.demand, lambda d: stats.features_by(d, "id", "ds", "y", freq="1mo", fill=0.0, dealt=True))
 
 # ------------------------------------------------------------------ conformal
 
