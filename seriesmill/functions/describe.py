@@ -147,8 +147,10 @@ def statistics_many(values: list[np.ndarray], nulls: list[np.ndarray]) -> tuple:
 
 
 def statistics(values: np.ndarray, null: np.ndarray) -> dict:
-    """statistics_many of one series."""
-    got = statistics_many([values], [null])[1]
+    """statistics_many of one series; ValueError if it has none."""
+    present, got, _ = statistics_many([values], [null])
+    if not present[0]:
+        raise ValueError("no statistics")
     return {k: bool(x[0]) if k == "is_constant" else float(x[0]) if k in _MEASURES else int(x[0]) for k, x in got.items()}
 
 

@@ -42,6 +42,8 @@ def stats_by(df: DataFrame, group: str, date: str, value: str, freq: str | int =
     see series.collect."""
     kind, f = fq.check_date(df, date), fq.parse(freq)
     expected, gaps = _steps(kind, f)
+    if fill is not None:  # the points that were put in leave no gap
+        gaps = F.lit(0).cast("long")
     rows = series.collect(df, group, date, value, fill=None if fill is None else (f, fill), dealt=dealt).select(group, "_v", expected.alias("expected_length"), gaps.alias("n_gaps"))
     got = _measured(rows, [group, "expected_length", "n_gaps"])
     return got.select(group, "_r.*", "expected_length", "n_gaps")

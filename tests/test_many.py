@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from seriesmill.functions import describe
-from seriesmill.operators import prep
+from seriesmill.operators import prep, stats
 from seriesmill.plans import frequency as fq
 from seriesmill.plans import series as plan
 
@@ -53,3 +53,29 @@ def test_features_of_many_series_are_those_of_each():
     v = np.array([300.0, 20, -20, 0, 5e-1, 3, 7e22])  # leading digits 3 2 2 3 7
     share = np.array([0, 2, 2, 0, 0, 0, 1, 0, 0]) / 5
     assert describe.features(v)["benford_correlation"] == pytest.approx(np.corrcoef(describe.BENFORD, share)[0, 1])
+
+
+def test_statistics_of_many_series_are_those_of_each():
+    many = some_series()
+    nulls = [(np.arange(len(v)) % 4 == 2) * 1.0 for v in many]
+    many = [np.where(n > 0, np.nan, v) for v, n in zip(many, nulls)]
+    present, got, missing = describe.statistics_many(many, nulls)
+    for i, (v, n) in enumerate(zip(many, nulls)):
+        assert present[i] or np.isinf(v).any()
+        if np.isfinite(v[~np.isnan(v)]).all():
+            each = describe.statistics(v, n)
+            assert all(same(x, got[k][i]) and not missing[k][i] for k, x in each.items())
+            x = v[~np.isnan(v)]
+            assert (each["length"], each["n_nulls"], each["n_nan"]) == (len(v), n.sum(), np.isnan(v).sum() - n.sum())
+            if len(x) > 1:
+                assert same(each["std_dev"], x.std(ddof=1)) and same(each["median"], np.median(x)) and each["n_unique_values"] == len(np.unique(x.view(np.int64)))
+
+
+def test_filled_statistics_equal_those_of_filled_rows(spark):
+    rows = [(g, dt.date(2024, 1 + m, 1 + (m % 3)), float(m)) for g in "AB" for m in (0, 1, 4, 5, 9, 11) if g == "A" or m > 1]
+    df = spark.createDataFrame(rows, "g string, d date, y double")
+    for freq in ("1mo", "1d", "1w"):
+        filled = prep.fill_nulls_const(prep.fill_gaps(df, "g", "d", "y", freq), "g", "d", "y", 0.0)
+        want = stats.stats_by(filled, "g", "d", "filled_value", freq).orderBy("g").collect()
+        got = stats.stats_by(df, "g", "d", "y", freq, 0.0).orderBy("g").collect()
+        assert [str(r) for r in got] == [str(r) for r in want]
