@@ -18,8 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import frequency as fq
 
-#: Series a batch: their arrays are in a worker's memory together. Kernels of many series take larger ones.
-BATCH, BATCH_TOGETHER = 256, 2048
+#: Series a batch: their arrays are in a worker's memory together. Kernels of many series take larger ones, of so many
+#: values at most (or one series).
+BATCH, BATCH_TOGETHER, VALUES_TOGETHER = 256, 10_000, 2_000_000
 
 
 def collect(df: DataFrame, group: list[str] | str | None, date: str, value: str, extra: dict[str, str] | None = None, fill: tuple[fq.Frequency, float] | None = None, dealt: bool = False) -> DataFrame:
@@ -99,7 +100,10 @@ def apply(df: DataFrame, columns_in: list[str], kernel: Callable, schema: str, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = BATCH_TOGETHER if together else BATCH
+            size = BATCH
+            if together:
+                values = sum(len(whole.column(k).flatten()) for k in at if pa.types.is_list(whole.column(k).type))
+                size = max(1, min(BATCH_TOGETHER, VALUES_TOGETHER * whole.num_rows // max(values, 1)))
             for i in range(0, whole.num_rows, size):
                 b = whole.slice(i, size)
                 arrays = [to_numpy(b.column(k)) if pa.types.is_list(b.column(k).type) or pa.types.is_large_list(b.column(k).type) else b.column(k).to_pylist() for k in at]

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from seriesmill.functions import describe
-from seriesmill.operators import prep, stats
+from seriesmill.functions import describe, models, smoothing
+from seriesmill.operators import forecast, prep, stats
 from seriesmill.plans import frequency as fq
 from seriesmill.plans import series as plan
 
@@ -79,3 +79,21 @@ def test_filled_statistics_equal_those_of_filled_rows(spark):
         want = stats.stats_by(filled, "g", "d", "filled_value", freq).orderBy("g").collect()
         got = stats.stats_by(df, "g", "d", "y", freq, 0.0).orderBy("g").collect()
         assert [str(r) for r in got] == [str(r) for r in want]
+
+
+def waves():
+    rng = np.random.default_rng(6)
+    return [10 + 4 * np.sin(np.arange(60) * 2 * np.pi / p) + rng.normal(size=60) * 0.2 for p in (4, 5, 7, 11, 12) for _ in range(2)] + [rng.normal(size=60), np.r_[np.inf, np.ones(59)], np.ones(60)]
+
+
+def test_theta_takes_all_periods_of_a_length_at_once(monkeypatch):
+    many, calls, whole = waves(), [], smoothing.theta_many
+    o = forecast.options("Theta", None)
+    periods = [models.season_of(v, o) for v in many]
+    assert models.seasons_of(many, o) == periods and len(set(periods)) > 5
+    each = [None if np.isinf(v).any() else models.point_forecast(v, 6, o)[0] for v in many]
+    monkeypatch.setattr(smoothing, "theta_many", lambda x, *a: calls.append(len(x)) or whole(x, *a))
+    got = models.point_forecasts(many, [6] * len(many), o)
+    assert max(calls) >= len([p for p in periods if p > 1]) and len([c for c in calls if c > 1]) <= 2
+    for a, b in zip(each, got):
+        assert (a is None) == (b is None) and (a is None or np.allclose(a, b[0], rtol=1e-9))
