@@ -97,3 +97,27 @@ def test_theta_takes_all_periods_of_a_length_at_once(monkeypatch):
     assert max(calls) >= len([p for p in periods if p > 1]) and len([c for c in calls if c > 1]) <= 2
     for a, b in zip(each, got):
         assert (a is None) == (b is None) and (a is None or np.allclose(a, b[0], rtol=1e-9))
+
+
+@pytest.mark.parametrize("spec", ["ANN", "AAN", "AAdN", "AAA", "MNM", "MMN", "MMM"])
+def test_starts_and_searches_of_many_series_are_those_of_each(spec):
+    spec, m = smoothing.parse_spec(spec), 12
+    many = [np.abs(v) + 1 for v in waves() if np.isfinite(v).all()]
+    level, trend, season = smoothing.start(np.array(many), spec, m)
+    fits = smoothing.fit_many(many, spec, m, details=False)
+    for i, v in enumerate(many):
+        one = smoothing.start(v[None], spec, m)
+        assert np.allclose([level[i], trend[i], *season[:, i]], [one[0][0], one[1][0], *one[2][:, 0]], rtol=1e-12)
+        if spec.season == "N" and spec.trend == "A":
+            slope, cut = np.polyfit(np.arange(10), v[:10], 1)
+            assert np.allclose([level[i], trend[i]], [cut - slope, slope])
+        # with details the plain recursion runs, without them that in place
+        f = smoothing.fit(v, spec, m)
+        assert np.allclose(f.forecast(8), fits[i].forecast(8), rtol=1e-9) and np.isclose(f.aicc, fits[i].aicc)
+
+
+def test_best_smoothing_of_many_series_is_that_of_each():
+    many = [v for v in waves() if np.isfinite(v).all()] + [np.zeros(60), np.arange(60.0)]
+    for v, f in zip(many, smoothing.auto_many(many, 12)):
+        one = min((smoothing.fit(v, s, 12, count=40, rounds=3) for s in smoothing.pool("reduced", True, True) if smoothing.possible(v, s, 12)), key=lambda f: f.aicc)
+        assert f.spec == one.spec and np.allclose(f.forecast(6), one.forecast(6), rtol=1e-9, atol=1e-9)
